@@ -266,3 +266,373 @@ QUERIES = {
     "polynomial_features": q_polynomial_features,
     "hash_split": q_hash_split,
 }
+
+
+# =================================================================================
+# Models, metrics and chart data
+# =================================================================================
+import uuid  # noqa: E402
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tabforge.operators import chartdata, density, hierarchy, metrics, models, neighbors  # noqa: E402
+from tabforge.operators import ordinal  # noqa: E402
+from tabforge.session import scratch_path  # noqa: E402
+
+
+def lineitem_split(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    return li.withColumn("is_test", split.is_test(key))
+
+
+def _fit_ols(df, features, label):
+    data = models.assemble(df, features).withColumn("label", F.col(label).cast("double"))
+    return models.linear_regression().fit(data.where(~F.col("is_test")))
+
+
+def _coef_frame(spark, model, names):
+    rows = [("intercept", float(model.intercept))] + [
+        (n, float(v)) for n, v in zip(names, model.coefficients.toArray())]
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+def q_linear_regression(spark, sf_dir):
+    m = _fit_ols(lineitem_split(spark, sf_dir), ["l_quantity"], "l_extendedprice")
+    c = _coef_frame(spark, m, ["l_quantity"])
+    return c.select("term", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
+
+
+def q_multiple_regression(spark, sf_dir):
+    m = _fit_ols(lineitem_split(spark, sf_dir), ["l_quantity", "l_discount"], "l_extendedprice")
+    c = _coef_frame(spark, m, ["l_quantity", "l_discount"])
+    return c.select("term", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
+
+
+def q_polynomial_regression(spark, sf_dir):
+    p = split.hash_split(table(spark, sf_dir, "part"), "p_partkey")
+    data = models.assemble(p, ["p_size"]).withColumn("label", F.col("p_retailprice"))
+    pipe = models.polynomial_regression(2).fit(data.where(~F.col("is_test")))
+    lr = pipe.stages[-1]
+    c = _coef_frame(spark, lr, ["poly_0", "poly_1"])
+    return c.select("term", r6(F.col("coefficient")).alias("coefficient"))
+
+
+def _predict_ols(df, features, label, key):
+    m = _fit_ols(df, features, label)
+    data = models.assemble(df, features).withColumn("label", F.col(label).cast("double"))
+    return m.transform(data).select(key, *features, "is_test", F.col("label").alias("y_true"),
+                                    F.col("prediction").alias("y_pred"))
+
+
+def q_regression_metrics(spark, sf_dir):
+    li = lineitem_split(spark, sf_dir).withColumn("k", F.monotonically_increasing_id())
+    pred = _predict_ols(li, ["l_quantity"], "l_extendedprice", "k")
+    mt = metrics.regression_metrics(pred)
+    return mt.select("n_test", F.round("mse_train", 2).alias("mse_train"),
+                     F.round("mse_test", 2).alias("mse_test"), F.round("mse_diff", 2).alias("mse_diff"),
+                     r6(F.col("r2")).alias("r2"), "grade")
+
+
+def _part_test_predictions(spark, sf_dir):
+    p = split.hash_split(table(spark, sf_dir, "part"), "p_partkey")
+    pred = _predict_ols(p, ["p_size"], "p_retailprice", "p_partkey")
+    return pred.where("is_test")
+
+
+def q_line_series(spark, sf_dir):
+    s = chartdata.line_series(_part_test_predictions(spark, sf_dir), "p_partkey")
+    return s.select("index", "p_partkey", r6(F.col("y_true")).alias("y_true"),
+                    r6(F.col("y_pred")).alias("y_pred"))
+
+
+def q_residuals(spark, sf_dir):
+    s = chartdata.residual_series(_part_test_predictions(spark, sf_dir), "p_partkey")
+    return s.select("index", "p_partkey", r6(F.col("residual")).alias("residual"))
+
+
+def q_scatter_points(spark, sf_dir):
+    s = chartdata.scatter_points(_part_test_predictions(spark, sf_dir), ["p_size"], "p_partkey")
+    return s.select("p_partkey", "x", F.col("y").cast("double").alias("y"), r6(F.col("label")).alias("label"))
+
+
+def flagship_frame(spark, sf_dir):
+    o = clean.drop_incomplete(orders_with_gaps(spark, sf_dir), ["o_totalprice"])
+    d = o.select("o_orderkey", "o_totalprice", "o_orderpriority", *S.date_parts(date_text(), "date"))
+    d = clean.drop_incomplete(d, ["date_year"])
+    d = encode.one_hot(d, "o_orderpriority")
+    d = split.hash_split(d, "o_orderkey")
+    feats = ["date_year", "date_month", "date_day"]
+    d = scale.standard_scale(d, feats, fit_on=d.where(~F.col("is_test")))
+    onehots = [c for c in d.columns if c.startswith("o_orderpriority_")]
+    return d, feats + onehots
+
+
+def q_flagship(spark, sf_dir):
+    d, feats = flagship_frame(spark, sf_dir)
+    pred = _predict_ols(d, feats, "o_totalprice", "o_orderkey")
+    mt = metrics.regression_metrics(pred)
+    return mt.select("n_test", F.round("mse_train", 2).alias("mse_train"),
+                     F.round("mse_test", 2).alias("mse_test"), r6(F.col("r2")).alias("r2"), "grade")
+
+
+# ---- classifiers on embeddings -----------------------------------------------------
+def emb_split(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return split.hash_split(e, "vec_id").withColumn("label", F.col("label").cast("double"))
+
+
+def _classify(spark, sf_dir, estimator_fn):
+    e = models.assemble(emb_split(spark, sf_dir), ["embedding"])
+    est = estimator_fn(e)
+    m = est.fit(e.where(~F.col("is_test")))
+    out = m.transform(e.where("is_test"))
+    return out.select("vec_id", F.col("label").cast("long").alias("y_true"),
+                      F.col("prediction").cast("long").alias("y_pred"))
+
+
+def q_logistic(spark, sf_dir):
+    return _classify(spark, sf_dir, lambda e: models.logistic_regression(e.where(~F.col("is_test")).count()))
+
+
+def q_decision_tree(spark, sf_dir):
+    return _classify(spark, sf_dir, lambda e: models.decision_tree(False))
+
+
+def q_bagging(spark, sf_dir):
+    return _classify(spark, sf_dir, lambda e: models.bagging())
+
+
+def q_forest_classifier(spark, sf_dir):
+    return _classify(spark, sf_dir, lambda e: models.forest_classifier())
+
+
+def q_svm(spark, sf_dir):
+    e = emb_split(spark, sf_dir)
+    train = e.where(~F.col("is_test"))
+    prepare, ovr = models.svm_rbf(train, ["embedding"], "label")
+    m = ovr.fit(prepare(train))
+    out = m.transform(prepare(e.where("is_test")))
+    return out.select("vec_id", F.col("label").cast("long").alias("y_true"),
+                      F.col("prediction").cast("long").alias("y_pred"))
+
+
+def q_forest_regressor(spark, sf_dir):
+    p = split.hash_split(table(spark, sf_dir, "part"), "p_partkey")
+    d = models.assemble(p, ["p_size", "p_partkey"]).withColumn("label", F.col("p_retailprice"))
+    m = models.forest_regressor().fit(d.where(~F.col("is_test")))
+    return m.transform(d.where("is_test")).select("p_partkey", F.col("label").alias("y_true"),
+                                                  F.col("prediction").alias("y_pred"))
+
+
+def _lineitem_tree(spark, sf_dir):
+    feats = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    d = models.assemble(lineitem_split(spark, sf_dir), feats).withColumn("label", F.col("l_extendedprice"))
+    return models.decision_tree(True).fit(d.where(~F.col("is_test"))), feats
+
+
+def q_feature_importance(spark, sf_dir):
+    m, feats = _lineitem_tree(spark, sf_dir)
+    return chartdata.feature_importance(spark, m, feats)
+
+
+def q_tree_nodes(spark, sf_dir):
+    m, _ = _lineitem_tree(spark, sf_dir)
+    return chartdata.tree_nodes(spark, m, scratch_path(spark, f"tree-{uuid.uuid4().hex}"))
+
+
+# ---- label metrics ------------------------------------------------------------------
+def label_pairs(spark, sf_dir):
+    lb = table(spark, sf_dir, "labels")
+    return lb.select("doc_id", F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
+
+
+def q_accuracy_error(spark, sf_dir):
+    a = metrics.accuracy(label_pairs(spark, sf_dir))
+    return a.select("n", r6(F.col("accuracy")).alias("accuracy"), r6(F.col("error_rate")).alias("error_rate"))
+
+
+def q_confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(label_pairs(spark, sf_dir))
+
+
+def q_label_union(spark, sf_dir):
+    lp = label_pairs(spark, sf_dir)
+    return profile.label_union(lp, "y_true", lp, "y_pred")
+
+
+def roc_input(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lb = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = d.join(lb, "doc_id")
+    pos = j.select(F.lit(1).alias("class"), (F.col("quality") == 1).cast("int").alias("y"),
+                   F.col("n_chars").cast("double").alias("score"))
+    neg = j.select(F.lit(0).alias("class"), (F.col("quality") == 0).cast("int").alias("y"),
+                   (-F.col("n_chars")).cast("double").alias("score"))
+    return pos.unionByName(neg)
+
+
+def q_roc_points(spark, sf_dir):
+    pts = metrics.roc_points(roc_input(spark, sf_dir), "y", "score")
+    return pts.select("class", "pos", "threshold", r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"))
+
+
+def q_roc_auc(spark, sf_dir):
+    a = metrics.roc_auc(roc_input(spark, sf_dir), "y", "score")
+    return a.select("class", r6(F.col("auc")).alias("auc"))
+
+
+# ---- neighbours ---------------------------------------------------------------------
+def _knn_sets(spark, sf_dir):
+    e = emb_split(spark, sf_dir).select("vec_id", "embedding", F.col("label").cast("long").alias("label"),
+                                        "is_test")
+    train = e.where(~F.col("is_test")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    test = e.where("is_test").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return train, test
+
+
+def q_knn_classify(spark, sf_dir):
+    train, test = _knn_sets(spark, sf_dir)
+    nb = neighbors.knn(train, test.select("id", "vec"), 5)
+    v = neighbors.vote(nb)
+    return (test.select(F.col("id").alias("vec_id"), F.col("label").alias("y_true"))
+            .join(v.select(F.col("q_id").alias("vec_id"), F.col("y_pred").cast("long")), "vec_id"))
+
+
+def q_knn_regress(spark, sf_dir):
+    train, test = _knn_sets(spark, sf_dir)
+    nb = neighbors.knn(train, test.select("id", "vec"), 5)
+    r = neighbors.regress(nb)
+    return (test.select(F.col("id").alias("vec_id"), F.col("label").cast("double").alias("y_true"))
+            .join(r.select(F.col("q_id").alias("vec_id"), r6(F.col("y_pred")).alias("y_pred")), "vec_id"))
+
+
+def q_k_value_curve(spark, sf_dir):
+    _, test = _knn_sets(spark, sf_dir)
+    k_max = neighbors.k_max_for(test.count())
+    nb = neighbors.knn(test, test.select("id", "vec"), k_max)
+    truth = test.select(F.col("id").alias("q_id"), F.col("label").alias("y_true"))
+    c = neighbors.k_value_curve(nb, truth, k_max)
+    return c.select(F.col("k").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+# ---- clustering -------------------------------------------------------------------------
+def part_standard(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return scale.standard_scale(p, ["p_size", "p_retailprice"])
+
+
+def q_dbscan(spark, sf_dir):
+    p = part_standard(spark, sf_dir).select("p_partkey", F.array("p_size", "p_retailprice").alias("v"))
+    return density.dbscan(p, "p_partkey", "v", eps=0.1, min_samples=5)
+
+
+def q_cluster_summary(spark, sf_dir):
+    return profile.cluster_counts(q_dbscan(spark, sf_dir), "cluster")
+
+
+def q_boundary_grid(spark, sf_dir):
+    p = part_standard(spark, sf_dir)
+    r = p.agg(F.min("p_size"), F.max("p_size"), F.min("p_retailprice"), F.max("p_retailprice")).first()
+    g = chartdata.boundary_grid(spark, (r[0], r[1]), (r[2], r[3]))
+    return g.select("i", "j", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+def emb_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return models.assemble(e, ["embedding"])
+
+
+def q_kmeans(spark, sf_dir):
+    e = emb_vectors(spark, sf_dir)
+    m = models.kmeans(8).fit(e)
+    return m.transform(e).select("vec_id", F.col("cluster").cast("long"))
+
+
+def q_elbow_k1(spark, sf_dir):
+    c = chartdata.elbow_curve(emb_vectors(spark, sf_dir), k_max=1)
+    return c.select("k", (F.round("inertia", 4) + 0.0).alias("inertia"))
+
+
+def q_elbow_curve(spark, sf_dir):
+    return chartdata.elbow_curve(emb_vectors(spark, sf_dir))
+
+
+def q_ward_clusters(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    labels, _ = hierarchy.ward(e, "vec_id", "embedding", 2)
+    return labels
+
+
+def q_ward_linkage(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    _, link = hierarchy.ward(e, "vec_id", "embedding", 2)
+    return link
+
+
+# ---- feature selection ---------------------------------------------------------------------
+def q_mi_top_k(spark, sf_dir):
+    from tabforge.operators import select as sel
+    li = table(spark, sf_dir, "lineitem")
+    mi = sel.mutual_information(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey",
+                                     "l_suppkey"], "l_extendedprice", bins=10)
+    return sel.top_k(mi, 10).select("feature", r6(F.col("mi")).alias("mi"))
+
+
+def q_pca_ratio(spark, sf_dir):
+    from tabforge.operators import select as sel
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    s = scale.standard_scale(c, ["c_acctbal", "c_nationkey"])
+    r = sel.pca_variance(s, ["c_acctbal", "c_nationkey"])
+    return r.select("component", r6(F.col("explained_ratio")).alias("explained_ratio"),
+                    r6(F.col("cumulative")).alias("cumulative"), "kept")
+
+
+# ---- sources round trip ----------------------------------------------------------------------
+def q_csv_roundtrip(spark, sf_dir):
+    from tabforge.sources import sinks
+    path = scratch_path(spark, f"customer-csv-{uuid.uuid4().hex}")
+    sinks.write_csv(table(spark, sf_dir, "customer"), path)
+    back = csvsrc.read_table(spark, path)
+    return back
+
+
+QUERIES.update({
+    "linear_regression": q_linear_regression,
+    "multiple_regression": q_multiple_regression,
+    "polynomial_regression": q_polynomial_regression,
+    "regression_metrics": q_regression_metrics,
+    "line_series": q_line_series,
+    "residuals": q_residuals,
+    "scatter_points": q_scatter_points,
+    "flagship": q_flagship,
+    "logistic": q_logistic,
+    "decision_tree": q_decision_tree,
+    "bagging": q_bagging,
+    "forest_classifier": q_forest_classifier,
+    "forest_regressor": q_forest_regressor,
+    "svm": q_svm,
+    "feature_importance": q_feature_importance,
+    "tree_nodes": q_tree_nodes,
+    "accuracy_error": q_accuracy_error,
+    "confusion_matrix": q_confusion_matrix,
+    "label_union": q_label_union,
+    "roc_points": q_roc_points,
+    "roc_auc": q_roc_auc,
+    "knn_classify": q_knn_classify,
+    "knn_regress": q_knn_regress,
+    "k_value_curve": q_k_value_curve,
+    "dbscan": q_dbscan,
+    "cluster_summary": q_cluster_summary,
+    "boundary_grid": q_boundary_grid,
+    "kmeans": q_kmeans,
+    "elbow_k1": q_elbow_k1,
+    "elbow_curve": q_elbow_curve,
+    "ward_clusters": q_ward_clusters,
+    "ward_linkage": q_ward_linkage,
+    "mi_top_k": q_mi_top_k,
+    "pca_ratio": q_pca_ratio,
+    "csv_roundtrip": q_csv_roundtrip,
+})
+
+_ = (vector_to_array, ordinal)

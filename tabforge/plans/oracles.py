@@ -187,3 +187,160 @@ ORACLES: dict[str, str] = {
     "polynomial_features": _polynomial(),
     "hash_split": f"SELECT o_orderkey, {IS_TEST.format(k='o_orderkey')} AS is_test FROM orders",
 }
+
+
+# ---- models, metrics, chart data ------------------------------------------------------
+LI_TRAIN = ("(SELECT * FROM lineitem WHERE NOT (substring(md5(concat(CAST(l_orderkey AS VARCHAR), '-', "
+            "CAST(l_linenumber AS VARCHAR), '-42')), 1, 8) < '4ccccccc'))")
+LI_SPLIT = ("(SELECT *, substring(md5(concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR), "
+            "'-42')), 1, 8) < '4ccccccc' AS is_test FROM lineitem)")
+PART_SPLIT = f"(SELECT *, {IS_TEST.format(k='p_partkey')} AS is_test FROM part)"
+EMB_SPLIT = f"(SELECT *, {IS_TEST.format(k='vec_id')} AS is_test FROM embeddings)"
+
+
+def _ols2(src: str, x1: str, x2: str, y: str, names: tuple[str, str], digits: int) -> str:
+    """Two-feature least squares from population (co)variances."""
+    return f"""WITH s AS (SELECT covar_pop({x1}, {x1}) s11, covar_pop({x2}, {x2}) s22, covar_pop({x1}, {x2}) s12,
+                      covar_pop({x1}, {y}) s1y, covar_pop({x2}, {y}) s2y, avg({x1}) m1, avg({x2}) m2, avg({y}) my
+               FROM {src}),
+     b AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1,
+                  (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2, m1, m2, my FROM s)
+SELECT 'intercept' AS term, round(my - b1 * m1 - b2 * m2, {digits}) + 0.0 AS coefficient FROM b
+UNION ALL SELECT '{names[0]}', round(b1, {digits}) + 0.0 FROM b
+UNION ALL SELECT '{names[1]}', round(b2, {digits}) + 0.0 FROM b"""
+
+
+PART_OLS = f"""WITH f AS (SELECT regr_slope(p_retailprice, p_size) b1, regr_intercept(p_retailprice, p_size) b0
+                          FROM {PART_SPLIT} WHERE NOT is_test),
+t AS (SELECT p_partkey, p_size, p_retailprice AS y_true, b0 + b1 * p_size AS y_pred,
+             row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM {PART_SPLIT}, f WHERE is_test)"""
+
+ROC_INPUT = """WITH j AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT 1 AS class, CAST(quality = 1 AS INTEGER) AS y, CAST(n_chars AS DOUBLE) AS score FROM j
+      UNION ALL SELECT 0, CAST(quality = 0 AS INTEGER), -CAST(n_chars AS DOUBLE) FROM j),
+g AS (SELECT class, score AS threshold, sum(y) AS tp_n, sum(1 - y) AS fp_n FROM s GROUP BY 1, 2),
+c AS (SELECT *, sum(tp_n) OVER w AS tps, sum(fp_n) OVER w AS fps, row_number() OVER w AS pos,
+             sum(tp_n) OVER (PARTITION BY class) AS P, sum(fp_n) OVER (PARTITION BY class) AS N,
+             lead(fp_n) OVER w AS nfp, lead(tp_n) OVER w AS ntp
+      FROM g WINDOW w AS (PARTITION BY class ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+KNN_PAIRS = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label, is_test FROM {EMB_SPLIT}),
+q AS (SELECT * FROM e WHERE is_test), t AS (SELECT * FROM e WHERE NOT is_test),
+d AS (SELECT q.vec_id AS q_id, q.label AS y_true, t.vec_id AS t_id, t.label AS t_label,
+             sqrt(list_sum(list_transform(list_zip(q.v, t.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+      FROM q, t),
+nb AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, t_id) AS rnk FROM d QUALIFY rnk <= 5)"""
+
+KCURVE = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS label FROM {EMB_SPLIT} WHERE is_test),
+n AS (SELECT least(31, count(*) // 2) - 1 AS kmax FROM e),
+d AS (SELECT a.vec_id AS q_id, a.label AS y_true, b.vec_id AS t_id, b.label AS t_label,
+             sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+      FROM e a, e b),
+nb AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, t_id) AS rnk FROM d, n QUALIFY rnk <= kmax),
+ks AS (SELECT nb.*, k FROM nb, n, generate_series(1, n.kmax) g(k) WHERE rnk <= k),
+c AS (SELECT k, q_id, y_true, t_label, count(*) AS c FROM ks GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY k, q_id ORDER BY c DESC, t_label) AS r FROM c QUALIFY r = 1)
+SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(t_label = y_true AS DOUBLE)), 6) + 0.0 AS accuracy FROM p GROUP BY k"""
+
+PART_STD = """(SELECT p_partkey, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x,
+        (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS y FROM part)"""
+
+DBSCAN = f"""WITH RECURSIVE pts AS {PART_STD},
+nb AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM pts a JOIN pts b
+       ON abs(a.x - b.x) <= 0.1 AND abs(a.y - b.y) <= 0.1
+       WHERE list_sum([(a.x - b.x) * (a.x - b.x), (a.y - b.y) * (a.y - b.y)]) <= 0.1 * 0.1),
+core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT nb.a, nb.b FROM nb WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+reach(node, lab) AS (SELECT a, a FROM core UNION SELECT ce.b, reach.lab FROM reach JOIN ce ON reach.node = ce.a),
+comp AS (SELECT node, min(lab) AS lab FROM reach GROUP BY node),
+num AS (SELECT lab, dense_rank() OVER (ORDER BY lab) - 1 AS cluster FROM (SELECT DISTINCT lab FROM comp)),
+corel AS (SELECT node, cluster FROM comp JOIN num USING (lab)),
+border AS (SELECT nb.a AS node, min(corel.cluster) AS cluster FROM nb JOIN corel ON nb.b = corel.node
+           WHERE nb.a NOT IN (SELECT a FROM core) GROUP BY nb.a)
+SELECT p_partkey, CAST(coalesce(c.cluster, b.cluster, -1) AS BIGINT) AS cluster, c.node IS NOT NULL AS is_core
+FROM part LEFT JOIN corel c ON c.node = p_partkey LEFT JOIN border b ON b.node = p_partkey"""
+
+GRID = f"""WITH s AS (SELECT min(x) - 1.0 AS x0, max(x) + 1.0 AS x1, min(y) - 1.0 AS y0, max(y) + 1.0 AS y1 FROM {PART_STD}),
+n AS (SELECT x0, y0, CAST(ceil((x1 - x0) / 0.1) AS BIGINT) AS nx, CAST(ceil((y1 - y0) / 0.1) AS BIGINT) AS ny FROM s)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(x0 + i * 0.1, 6) + 0.0 AS x, round(y0 + j * 0.1, 6) + 0.0 AS y
+FROM n, range(0, n.nx) a(i), range(0, n.ny) b(j)"""
+
+MI = """WITH r AS (SELECT min(l_extendedprice) ymn, max(l_extendedprice) ymx,
+        min(l_quantity) a0, max(l_quantity) b0, min(l_discount) a1, max(l_discount) b1, min(l_tax) a2, max(l_tax) b2,
+        min(l_linenumber) a3, max(l_linenumber) b3, min(l_partkey) a4, max(l_partkey) b4, min(l_suppkey) a5, max(l_suppkey) b5
+        FROM lineitem),
+x AS (SELECT CAST(least(floor((l_extendedprice - ymn) / (ymx - ymn) * 10), 9) AS BIGINT) AS by,
+        unnest([
+          {'feature': 'l_quantity', 'bx': CAST(least(floor((l_quantity - a0) / (b0 - a0) * 10), 9) AS BIGINT)},
+          {'feature': 'l_discount', 'bx': CAST(least(floor((l_discount - a1) / (b1 - a1) * 10), 9) AS BIGINT)},
+          {'feature': 'l_tax', 'bx': CAST(least(floor((l_tax - a2) / (b2 - a2) * 10), 9) AS BIGINT)},
+          {'feature': 'l_linenumber', 'bx': CAST(least(floor((CAST(l_linenumber AS DOUBLE) - a3) / (b3 - a3) * 10), 9) AS BIGINT)},
+          {'feature': 'l_partkey', 'bx': CAST(least(floor((CAST(l_partkey AS DOUBLE) - a4) / (b4 - a4) * 10), 9) AS BIGINT)},
+          {'feature': 'l_suppkey', 'bx': CAST(least(floor((CAST(l_suppkey AS DOUBLE) - a5) / (b5 - a5) * 10), 9) AS BIGINT)}
+        ]) AS p FROM lineitem, r),
+c AS (SELECT p.feature AS feature, p.bx AS bx, by, count(*) AS c FROM x GROUP BY ALL),
+t AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, bx) AS px,
+             sum(c) OVER (PARTITION BY feature, by) AS py FROM c)
+SELECT feature, round(sum(c / n * ln(c * n / (px * py))), 6) + 0.0 AS mi FROM t GROUP BY feature
+ORDER BY mi DESC, feature LIMIT 10"""
+
+PCA = """WITH s AS (SELECT abs(corr(c_acctbal, c_nationkey)) AS r FROM customer),
+v AS (SELECT 0 AS component, (1 + r) / 2 AS ratio FROM s UNION ALL SELECT 1, (1 - r) / 2 FROM s),
+c AS (SELECT component, ratio, sum(ratio) OVER (ORDER BY component) AS cum,
+             coalesce(max(CAST(sum(ratio) OVER (ORDER BY component) >= 0.95 AS INTEGER)) OVER (ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_reached
+      FROM v)
+SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) + 0.0 AS explained_ratio,
+       round(cum, 6) + 0.0 AS cumulative, prev_reached = 0 AS kept FROM c"""
+
+ORACLES.update({
+    "linear_regression": f"""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) + 0.0 AS coefficient FROM {LI_TRAIN}
+        UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 FROM {LI_TRAIN}""",
+    "multiple_regression": _ols2(LI_TRAIN, "l_quantity", "l_discount", "l_extendedprice",
+                                 ("l_quantity", "l_discount"), 4),
+    "polynomial_regression": _ols2(f"(SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_size AS DOUBLE) * p_size AS x2, p_retailprice FROM {PART_SPLIT} WHERE NOT is_test)",
+                                   "x1", "x2", "p_retailprice", ("poly_0", "poly_1"), 6),
+    "regression_metrics": f"""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) b1, regr_intercept(l_extendedprice, l_quantity) b0 FROM {LI_TRAIN}),
+        p AS (SELECT is_test, l_extendedprice AS y, b0 + b1 * l_quantity AS yp FROM {LI_SPLIT}, f),
+        m AS (SELECT is_test, avg((y - yp) * (y - yp)) AS mse, sum((y - yp) * (y - yp)) AS sse,
+                     sum((y - (SELECT avg(y) FROM p p2 WHERE p2.is_test = p.is_test)) ^ 2) AS sst, count(*) AS n FROM p GROUP BY is_test),
+        w AS (SELECT max(CASE WHEN NOT is_test THEN mse END) AS mse_train, max(CASE WHEN is_test THEN mse END) AS mse_test,
+                     max(CASE WHEN is_test THEN 1 - sse / sst END) AS r2, max(CASE WHEN is_test THEN n END) AS n_test FROM m)
+        SELECT CAST(n_test AS BIGINT) AS n_test, round(mse_train, 2) AS mse_train, round(mse_test, 2) AS mse_test,
+               round(mse_train - mse_test, 2) AS mse_diff, round(r2, 6) + 0.0 AS r2,
+               CASE WHEN r2 > 0.8 THEN 'high' WHEN r2 > 0.5 THEN 'medium' ELSE 'low' END AS grade FROM w""",
+    "line_series": PART_OLS + " SELECT CAST(idx AS BIGINT) AS \"index\", p_partkey, round(y_true, 6) + 0.0 AS y_true, round(y_pred, 6) + 0.0 AS y_pred FROM t",
+    "residuals": PART_OLS + " SELECT CAST(idx AS BIGINT) AS \"index\", p_partkey, round(y_true - y_pred, 6) + 0.0 AS residual FROM t",
+    "scatter_points": PART_OLS + " SELECT p_partkey, CAST(idx AS DOUBLE) AS x, CAST(p_size AS DOUBLE) AS y, round(y_pred, 6) + 0.0 AS label FROM t",
+    "accuracy_error": """SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(quality = toxic AS DOUBLE)), 6) + 0.0 AS accuracy,
+        round(1 - avg(CAST(quality = toxic AS DOUBLE)), 6) + 0.0 AS error_rate FROM labels""",
+    "confusion_matrix": """WITH l AS (SELECT quality AS label FROM labels UNION SELECT toxic FROM labels)
+        SELECT a.label AS y_true, b.label AS y_pred,
+               CAST((SELECT count(*) FROM labels WHERE quality = a.label AND toxic = b.label) AS BIGINT) AS n
+        FROM l a, l b""",
+    "label_union": "SELECT quality AS label FROM labels UNION SELECT toxic FROM labels",
+    "roc_points": ROC_INPUT + """,
+        k AS (SELECT * FROM c WHERE pos = 1 OR nfp IS NULL OR nfp <> fp_n OR ntp <> tp_n),
+        a AS (SELECT class, CAST(pos AS BIGINT) AS pos, threshold, tps, fps, P, N FROM k
+              UNION ALL SELECT class, 0, NULL, 0, 0, P, N FROM c WHERE pos = 1)
+        SELECT class, pos, threshold, round(CASE WHEN N > 0 THEN fps / N END, 6) + 0.0 AS fpr,
+               round(CASE WHEN P > 0 THEN tps / P END, 6) + 0.0 AS tpr FROM a""",
+    "roc_auc": ROC_INPUT + " SELECT class, round(coalesce(sum(fp_n / N * (2 * tps - tp_n) / P / 2), 0), 6) + 0.0 AS auc FROM c GROUP BY class",
+    "knn_classify": KNN_PAIRS + """,
+        v AS (SELECT q_id, y_true, t_label, count(*) AS c FROM nb GROUP BY ALL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, t_label) AS r FROM v QUALIFY r = 1)
+        SELECT q_id AS vec_id, y_true, t_label AS y_pred FROM p""",
+    "knn_regress": KNN_PAIRS + """
+        SELECT q_id AS vec_id, CAST(any_value(y_true) AS DOUBLE) AS y_true, round(avg(CAST(t_label AS DOUBLE)), 6) + 0.0 AS y_pred
+        FROM nb GROUP BY q_id""",
+    "k_value_curve": KCURVE,
+    "dbscan": DBSCAN,
+    "cluster_summary": f"""WITH d AS ({DBSCAN.replace('WITH RECURSIVE', 'WITH RECURSIVE', 1)})
+        SELECT CAST(count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) AS n_clusters,
+               CAST(count(*) FILTER (WHERE cluster = -1) AS BIGINT) AS n_noise FROM d""",
+    "boundary_grid": GRID,
+    "elbow_k1": """WITH u AS (SELECT unnest(generate_series(1, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+        SELECT 1 AS k, round(sum(s), 4) + 0.0 AS inertia FROM (SELECT var_pop(x) * count(*) AS s FROM u GROUP BY i)""",
+    "mi_top_k": MI,
+    "pca_ratio": PCA,
+    "csv_roundtrip": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+})
