@@ -6,8 +6,8 @@
   exploded to its 3^g neighbouring cell keys and equi-joined on the key, then the
   full distance is checked. No cross join.
 * Core rows: at least ``min_samples`` neighbours within ``eps`` (self included).
-* Clusters: connected components of the core graph by min-label propagation
-  with pointer jumping; each round's labels are checkpointed to the shared folder
+* Clusters: connected components of the core graph by alternating large-star /
+  small-star rounds; each round's edge set is checkpointed to the shared folder
   (lineage stays short and a lost executor repeats one round only).
 * Numbering as the reference: clusters are numbered by their smallest core row
   id, a border row takes the lowest-numbered adjacent cluster, noise is -1.
@@ -42,27 +42,45 @@ def neighbour_pairs(df: DataFrame, id_col: str, vec: str, eps: float, grid_dims:
     return probe.join(base, "cell").where(d2 <= F.lit(eps * eps)).select("a", "b")
 
 
+def _sym(e: DataFrame) -> DataFrame:
+    """Both directions, no self loops, no duplicates."""
+    both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.where(F.col("a") != F.col("b")).distinct()
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every neighbour larger than u is linked to the smallest of u's closed neighbourhood."""
+    m = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    return _sym(e.where(F.col("b") > F.col("a")).join(m, "a")
+                .select(F.col("b").alias("a"), F.col("m").alias("b")))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """u and its smaller neighbours are linked to the smallest of them."""
+    le = e.where(F.col("b") < F.col("a"))
+    m = le.groupBy("a").agg(F.min("b").alias("m"))
+    spokes = le.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    centre = m.select("a", F.col("m").alias("b"))
+    keep = e.join(m.select("a"), "a", "left_anti")  # nodes without smaller neighbours keep theirs
+    return _sym(spokes.union(centre).union(keep))
+
+
 def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label = smallest node id of its component). ``nodes``: (node);
-    ``edges``: (a, b) symmetric."""
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint(eager=True)
+    """(node, label = smallest node id of its component) by alternating large-star
+    and small-star rounds (O(log^2 n) rounds); the edge set is checkpointed to the
+    shared folder after every round. ``nodes``: (node); ``edges``: (a, b)."""
+    e = _sym(edges).checkpoint(eager=True)
     for _ in range(MAX_ROUNDS):
-        # one hop: the smallest label among the neighbours
-        hop = (edges.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-               .groupBy(F.col("a").alias("node")).agg(F.min("lb").alias("lb")))
-        new = (labels.join(hop, "node", "left")
-               .select("node", F.least("label", F.coalesce("lb", "label")).alias("label")))
-        # pointer jumping: take the label of your label
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("ll"))
-        new = (new.join(jump, "label", "left")
-               .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"))
-               .checkpoint(eager=True))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(
-            F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            return labels
-    raise RuntimeError("label propagation did not converge")
+        nxt = _small_star(_large_star(e)).checkpoint(eager=True)
+        same = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
+        e = nxt
+        if same:
+            break
+    else:
+        raise RuntimeError("connected components did not converge")
+    lab = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    return (nodes.join(lab, "node", "left")
+            .select("node", F.least(F.col("node"), F.coalesce("m", "node")).alias("label")))
 
 
 def dbscan(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples: int = MIN_SAMPLES,

@@ -269,7 +269,7 @@ MI = """WITH r AS (SELECT min(l_extendedprice) ymn, max(l_extendedprice) ymx,
         min(l_quantity) a0, max(l_quantity) b0, min(l_discount) a1, max(l_discount) b1, min(l_tax) a2, max(l_tax) b2,
         min(l_linenumber) a3, max(l_linenumber) b3, min(l_partkey) a4, max(l_partkey) b4, min(l_suppkey) a5, max(l_suppkey) b5
         FROM lineitem),
-x AS (SELECT CAST(least(floor((l_extendedprice - ymn) / (ymx - ymn) * 10), 9) AS BIGINT) AS by,
+x AS (SELECT CAST(least(floor((l_extendedprice - ymn) / (ymx - ymn) * 10), 9) AS BIGINT) AS yb,
         unnest([
           {'feature': 'l_quantity', 'bx': CAST(least(floor((l_quantity - a0) / (b0 - a0) * 10), 9) AS BIGINT)},
           {'feature': 'l_discount', 'bx': CAST(least(floor((l_discount - a1) / (b1 - a1) * 10), 9) AS BIGINT)},
@@ -278,17 +278,16 @@ x AS (SELECT CAST(least(floor((l_extendedprice - ymn) / (ymx - ymn) * 10), 9) AS
           {'feature': 'l_partkey', 'bx': CAST(least(floor((CAST(l_partkey AS DOUBLE) - a4) / (b4 - a4) * 10), 9) AS BIGINT)},
           {'feature': 'l_suppkey', 'bx': CAST(least(floor((CAST(l_suppkey AS DOUBLE) - a5) / (b5 - a5) * 10), 9) AS BIGINT)}
         ]) AS p FROM lineitem, r),
-c AS (SELECT p.feature AS feature, p.bx AS bx, by, count(*) AS c FROM x GROUP BY ALL),
+c AS (SELECT p.feature AS feature, p.bx AS bx, yb, count(*) AS c FROM x GROUP BY ALL),
 t AS (SELECT feature, c, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, bx) AS px,
-             sum(c) OVER (PARTITION BY feature, by) AS py FROM c)
+             sum(c) OVER (PARTITION BY feature, yb) AS py FROM c)
 SELECT feature, round(sum(c / n * ln(c * n / (px * py))), 6) + 0.0 AS mi FROM t GROUP BY feature
 ORDER BY mi DESC, feature LIMIT 10"""
 
 PCA = """WITH s AS (SELECT abs(corr(c_acctbal, c_nationkey)) AS r FROM customer),
 v AS (SELECT 0 AS component, (1 + r) / 2 AS ratio FROM s UNION ALL SELECT 1, (1 - r) / 2 FROM s),
-c AS (SELECT component, ratio, sum(ratio) OVER (ORDER BY component) AS cum,
-             coalesce(max(CAST(sum(ratio) OVER (ORDER BY component) >= 0.95 AS INTEGER)) OVER (ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_reached
-      FROM v)
+c0 AS (SELECT component, ratio, sum(ratio) OVER (ORDER BY component) AS cum FROM v),
+c AS (SELECT *, coalesce(max(CAST(cum >= 0.95 AS INTEGER)) OVER (ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_reached FROM c0)
 SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) + 0.0 AS explained_ratio,
        round(cum, 6) + 0.0 AS cumulative, prev_reached = 0 AS kept FROM c"""
 
