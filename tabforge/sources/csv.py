@@ -145,5 +145,8 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None,
         types = _infer_types(good, names)
         good = good.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) for n in names])
     if with_rejects:
-        return good, raw.where(too_long).select(F.col(CORRUPT).alias("line"))
+        # the reader refuses a query on the corrupt column alone: re-split the text
+        lines = spark.read.option("encoding", encoding).text(path)
+        rejects = parse_lines(lines, names, sep, keep=["value"]).where(F.col("status") == "long")
+        return good, rejects.select(F.col("value").alias("line"))
     return good
