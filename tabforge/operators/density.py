@@ -20,6 +20,8 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.session import materialize
+
 from tabforge.operators.ordinal import dense_codes
 
 MAX_ROUNDS = 200
@@ -69,9 +71,9 @@ def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label = smallest node id of its component) by alternating large-star
     and small-star rounds (O(log^2 n) rounds); the edge set is checkpointed to the
     shared folder after every round. ``nodes``: (node); ``edges``: (a, b)."""
-    e = _sym(edges).checkpoint(eager=True)
+    e = _sym(edges).transform(materialize)
     for _ in range(MAX_ROUNDS):
-        nxt = _small_star(_large_star(e)).checkpoint(eager=True)
+        nxt = _small_star(_large_star(e)).transform(materialize)
         same = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
         e = nxt
         if same:
@@ -86,7 +88,7 @@ def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples: int = MIN_SAMPLES,
            grid_dims: int = 3) -> DataFrame:
     """``id_col, cluster`` (-1 = noise) and ``is_core``."""
-    pairs = neighbour_pairs(df, id_col, vec, eps, grid_dims).checkpoint(eager=True)
+    pairs = neighbour_pairs(df, id_col, vec, eps, grid_dims).transform(materialize)
     counts = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_nb"))
     core = counts.where(F.col("n_nb") >= min_samples).select("node")
     core_ids = core.withColumnRenamed("node", "a")

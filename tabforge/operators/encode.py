@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.session import materialize
+
 from tabforge.operators.ordinal import dense_codes
 
 ONE_HOT_MAX_DISTINCT = 10  # fixed value: fewer distinct values -> one-hot
@@ -23,10 +25,10 @@ ONE_HOT_MAX_DISTINCT = 10  # fixed value: fewer distinct values -> one-hot
 
 def fit_label_codes(df: DataFrame, col: str, persist: bool = True) -> DataFrame:
     """Dictionary ``(value, code)`` for ``col``. With ``persist`` the
-    dictionary is reliably checkpointed (it is the fitted state of the encoder,
+    dictionary is written to the shared folder (it is the fitted state of the encoder,
     and is read twice: once per join)."""
     codes = dense_codes(df, col, "code").withColumnRenamed(col, "value")
-    return codes.checkpoint(eager=True) if persist else codes
+    return codes.transform(materialize) if persist else codes
 
 
 def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, out: str | None = None) -> DataFrame:

@@ -19,36 +19,57 @@ grows with their product. The search here is exact and blocked instead:
 from __future__ import annotations
 
 import math
+import os
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.session import materialize
+
 MAX_ROUNDS = 30
+_DEBUG = bool(os.environ.get("TABFORGE_DEBUG"))
 
 
 def _sqdist(a: Column, b: Column) -> Column:
+    """Squared distance with higher-order functions (any length; interpreted)."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                        lambda acc, v: acc + v)
 
 
-def centroid(df: DataFrame, vec: str) -> list[float]:
-    """Per-dimension mean (d values reach the driver)."""
-    rows = (df.select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "v"))
-            .groupBy("i").agg(F.avg("v").alias("m")).collect())
-    out = [0.0] * len(rows)
-    for r in rows:
-        out[r["i"]] = r["m"]
+def sqdist_flat(a: str, b: str, d: int) -> Column:
+    """Squared distance of two length-``d`` array columns as one flat arithmetic
+    expression (stays inside whole-stage codegen)."""
+    terms = [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(d)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
     return out
 
 
+def centroid(df: DataFrame, vec: str) -> list[float]:
+    """Per-dimension mean: one aggregate, d values reach the driver."""
+    d = df.select(F.size(vec)).first()[0]
+    v = F.col(vec).cast("array<double>")
+    return [float(x) for x in df.agg(*[F.avg(v[i]) for i in range(d)]).first()]
+
+
 def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str = "vec",
         label: str = "label", rings: int | None = None) -> DataFrame:
     """Exact k nearest training rows of every query row.
 
     ``train``: (id_col, vec, label); ``query``: (id_col, vec). Output:
-    ``q_id, t_id, t_label, dist, rank`` with rank 1..k (ties by training id)."""
+    ``q_id, t_id, t_label, dist, rank`` with rank 1..k (ties by training id).
+
+    Round 0 is a pilot over the query's own ring: it is exact for queries whose
+    k-th candidate is closer than the ring's edges and gives every other query
+    an upper bound of its k-th distance; round 1 searches exactly that radius,
+    which finishes every query (later rounds only run when a ring held fewer
+    than k rows)."""
     spark = train.sparkSession
-    c = F.array(*[F.lit(x) for x in centroid(train, vec)])
+    cen = centroid(train, vec)
+    d = len(cen)
+    c = F.array(*[F.lit(x) for x in cen])
     t = train.select(F.col(id_col).alias("t_id"), F.col(vec).cast("array<double>").alias("t_vec"),
                      F.col(label).alias("t_label"))
     t = t.withColumn("t_r", F.sqrt(_sqdist(F.col("t_vec"), c)))
@@ -56,44 +77,69 @@ def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str
     n_train = stats["n"] or 0
     if n_train == 0:
         raise ValueError("empty training set")
+    need = min(k, n_train)
     lo, hi = stats["lo"], stats["hi"]
     n_rings = rings or max(1, min(4096, n_train // 256))
     width = max((hi - lo) / n_rings, 1e-12)
-    t = t.withColumn("ring", F.floor((F.col("t_r") - F.lit(lo)) / F.lit(width)).cast("long"))
+    ring_of = lambda r: F.least(F.floor((r - F.lit(lo)) / F.lit(width)), F.lit(n_rings - 1)).cast("long")
+    # Few rings would mean few join keys and idle cores (and one hot ring would
+    # be one hot task): training rows also get a salt, queries are replicated
+    # over the salts, so every pair is still formed exactly once.
+    par = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, math.ceil(4 * par / n_rings))
+    t = t.withColumn("ring", ring_of(F.col("t_r"))).withColumn(
+        "salt", F.pmod(F.xxhash64("t_id"), F.lit(salts)))
 
     q = query.select(F.col(id_col).alias("q_id"), F.col(vec).cast("array<double>").alias("q_vec"))
-    q = q.withColumn("q_r", F.sqrt(_sqdist(F.col("q_vec"), c))).withColumn("radius", F.lit(width))
+    q = q.withColumn("q_r", F.sqrt(_sqdist(F.col("q_vec"), c)))
+    # pilot: own ring only; exact within the distance to the ring's edges
+    own = ring_of(F.col("q_r"))
+    edge_lo = F.when(own == 0, F.lit(float("inf"))).otherwise(F.col("q_r") - (F.lit(lo) + own * F.lit(width)))
+    edge_hi = F.when(own == n_rings - 1, F.lit(float("inf"))).otherwise(
+        F.lit(lo) + (own + 1) * F.lit(width) - F.col("q_r"))
+    q = q.select("q_id", "q_vec", "q_r", own.alias("r_lo"), own.alias("r_hi"),
+                 F.least(edge_lo, edge_hi).alias("radius"))
     done = None
-    full = (hi - lo) + 2 * width
     for rnd in range(MAX_ROUNDS):
         last = rnd == MAX_ROUNDS - 1
-        radius = F.lit(float("inf")) if last else F.col("radius")
-        lo_ring = F.greatest(F.floor((F.col("q_r") - radius - F.lit(lo)) / F.lit(width)), F.lit(0)).cast("long")
-        hi_ring = F.least(F.floor((F.col("q_r") + radius - F.lit(lo)) / F.lit(width)),
-                          F.lit(n_rings)).cast("long")
-        qe = q.withColumn("ring", F.explode(F.sequence(lo_ring, F.greatest(lo_ring, hi_ring))))
-        cand = (qe.join(t, "ring")
-                .where(F.abs(F.col("t_r") - F.col("q_r")) <= radius)
-                .select("q_id", "q_r", "radius", "t_id", "t_label",
-                        F.sqrt(_sqdist(F.col("q_vec"), F.col("t_vec"))).alias("dist")))
+        if last:
+            q = q.withColumn("r_lo", F.lit(0).cast("long")).withColumn("r_hi", F.lit(n_rings - 1).cast("long")) \
+                 .withColumn("radius", F.lit(float("inf")))
+        qe = (q.withColumn("ring", F.explode(F.sequence("r_lo", "r_hi")))
+              .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+        cand = (qe.join(t, ["ring", "salt"])
+                .where(F.abs(F.col("t_r") - F.col("q_r")) <= F.col("radius") + F.lit(width) * 2)
+                .select("q_id", "radius", "t_id", "t_label",
+                        F.sqrt(sqdist_flat("q_vec", "t_vec", d)).alias("dist")))
         w = Window.partitionBy("q_id").orderBy("dist", "t_id")
-        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        _t0 = time.time()
+        top = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+               .transform(materialize))
+        if _DEBUG:
+            print(f"knn round {rnd}: top-k {time.time() - _t0:.1f}s", flush=True)
         per_q = top.groupBy("q_id").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("kth"),
                                         F.first("radius").alias("radius"))
-        ok = per_q.where((F.col("m") >= min(k, n_train)) & ((F.col("kth") <= F.col("radius")) | F.lit(last)))
-        final = top.join(ok.select("q_id"), "q_id", "left_semi").select(
-            "q_id", "t_id", "t_label", "dist", "rank").checkpoint(eager=True)
+        ok = per_q.where((F.col("m") >= need) & ((F.col("kth") <= F.col("radius")) | F.lit(last)))
+        final = top.join(ok.select("q_id"), "q_id", "left_semi").select("q_id", "t_id", "t_label", "dist", "rank")
         done = final if done is None else done.unionByName(final)
-        # next radius: the k-th distance found (finishes the query) or double
-        nxt = (q.join(final.select("q_id").distinct(), "q_id", "left_anti")
-               .join(per_q.select("q_id", F.col("m"), F.col("kth")), "q_id", "left")
-               .withColumn("radius", F.when(F.col("m") >= min(k, n_train), F.col("kth"))
-                           .otherwise(F.least(F.col("radius") * 2, F.lit(full))))
-               .select("q_id", "q_vec", "q_r", "radius")).checkpoint(eager=True)
+        # next round: the k-th distance found bounds the search (finishes the query);
+        # with fewer than k candidates, widen to every ring
+        nxt = (q.join(ok.select("q_id"), "q_id", "left_anti")
+               .join(per_q.select("q_id", "m", "kth"), "q_id", "left")
+               .withColumn("radius", F.when(F.col("m") >= need, F.col("kth")).otherwise(F.lit(float("inf")))))
+        nxt = (nxt.withColumn("r_lo", F.greatest(ring_of(F.col("q_r") - F.col("radius")), F.lit(0)).cast("long"))
+               .withColumn("r_hi", ring_of(F.when(F.col("radius") == float("inf"), F.lit(hi))
+                                           .otherwise(F.col("q_r") + F.col("radius"))))
+               .withColumn("r_lo", F.when(F.col("radius") == float("inf"), F.lit(0).cast("long"))
+                           .otherwise(F.col("r_lo")))
+               .select("q_id", "q_vec", "q_r", "r_lo", "r_hi", "radius")).transform(materialize)
+        if _DEBUG:
+            print(f"knn round {rnd}: left {nxt.count()}", flush=True)
         if nxt.isEmpty():
             break
         q = nxt
-    return done if done is not None else spark.createDataFrame([], "q_id long, t_id long, t_label long, dist double, rank int")
+    return done if done is not None else spark.createDataFrame(
+        [], "q_id long, t_id long, t_label long, dist double, rank int")
 
 
 def vote(neigh: DataFrame, k: int | None = None) -> DataFrame:

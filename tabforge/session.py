@@ -66,3 +66,15 @@ def _settable(spark: SparkSession) -> bool:
         return spark.conf.isModifiable(_CKPT_KEY)
     except Exception:  # pragma: no cover - older API
         return False
+
+
+def materialize(df, name: str = "t"):
+    """Cut lineage: write ``df`` once as parquet under the shared checkpoint folder
+    and read it back. One job (a reliable RDD checkpoint of an unpersisted
+    DataFrame computes it twice), and a lost executor never replays the
+    lineage before this point."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
