@@ -15,19 +15,19 @@ from tabforge.operators.ordinal import ordered_cumsum
 
 def regression_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred",
                        split_col: str = "is_test") -> DataFrame:
-    """``mse_train, mse_test, mse_diff (train - test), r2 (test), grade``.
-    One pass for the split means, one for the sums (both partial per task)."""
-    means = pred.groupBy(split_col).agg(F.avg(y).alias("_ybar"))
+    """``n_test, mse_train, mse_test, mse_diff (train - test), r2 (test), grade``.
+    ONE pass over the predictions: per split the count, sum of squared errors,
+    sum of y and sum of y^2 (partial per task, two rows after the shuffle);
+    SST = sum(y^2) - n * mean(y)^2."""
     e = F.col(y) - F.col(p)
-    per = (pred.join(F.broadcast(means), split_col)  # 2-row table
-           .groupBy(split_col)
-           .agg(F.avg(e * e).alias("mse"), F.sum(e * e).alias("sse"),
-                F.sum((F.col(y) - F.col("_ybar")) ** 2).alias("sst"),
-                F.count(F.lit(1)).alias("n")))
+    per = pred.groupBy(split_col).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"),
+        F.sum(F.col(y)).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     piv = per.agg(
-        F.max(F.when(~F.col(split_col), F.col("mse"))).alias("mse_train"),
-        F.max(F.when(F.col(split_col), F.col("mse"))).alias("mse_test"),
-        F.max(F.when(F.col(split_col), 1 - F.col("sse") / F.col("sst"))).alias("r2"),
+        F.max(F.when(~F.col(split_col), F.col("sse") / F.col("n"))).alias("mse_train"),
+        F.max(F.when(F.col(split_col), F.col("sse") / F.col("n"))).alias("mse_test"),
+        F.max(F.when(F.col(split_col), 1 - F.col("sse") / sst)).alias("r2"),
         F.max(F.when(F.col(split_col), F.col("n"))).cast("long").alias("n_test"))
     return piv.select("n_test", "mse_train", "mse_test",
                       (F.col("mse_train") - F.col("mse_test")).alias("mse_diff"), "r2",
