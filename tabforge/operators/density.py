@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +75,9 @@ def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = _sym(edges).transform(materialize)
     for _ in range(MAX_ROUNDS):
         nxt = _small_star(_large_star(e)).transform(materialize)
-        same = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
+        # unchanged edge set <=> no edge on only one side of a full outer join
+        same = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["a", "b"], "full_outer")
+                .where(F.col("_n").isNull() | F.col("_o").isNull()).isEmpty())
         e = nxt
         if same:
             break
@@ -85,9 +88,92 @@ def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select("node", F.least(F.col("node"), F.coalesce("m", "node")).alias("label")))
 
 
+def _clique_offsets(d: int) -> list[list[int]]:
+    """Offsets of the cells (side eps/sqrt(d)) that can hold a point within eps of
+    a point in the centre cell, the centre excluded."""
+    r = math.ceil(math.sqrt(d))
+    out = []
+    for o in itertools.product(range(-r, r + 1), repeat=d):
+        if all(x == 0 for x in o):
+            continue
+        gap = sum((max(abs(x) - 1, 0)) ** 2 for x in o) / d   # in units of eps^2
+        if gap <= 1.0:
+            out.append(list(o))
+    return out
+
+
 def dbscan(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples: int = MIN_SAMPLES,
            grid_dims: int = 3) -> DataFrame:
-    """``id_col, cluster`` (-1 = noise) and ``is_core``."""
+    """``id_col, cluster`` (-1 = noise) and ``is_core``.
+
+    For up to 3 dimensions the grid has cells of side eps/sqrt(d): any two points
+    of one cell are within eps, so a cell is a clique and pairs INSIDE a cell are
+    never formed (a cell holding a third of the rows costs nothing extra).
+    Identical points are merged first (weight = multiplicity). Only pairs
+    across cells are enumerated:
+      * neighbour count = weight of the own cell + weights of close points of
+        other cells; cells of weight >= min_samples are all core;
+      * two cells are connected when a core pair across them is within eps;
+        components of the cell graph give the clusters;
+      * a non-core point takes the lowest cluster among its own cell's and
+        its close core neighbours'.
+    Higher dimensions fall back to ``dbscan_pairs`` (grid on 3 dimensions)."""
+    d = df.select(F.size(vec)).first()[0]
+    if d > grid_dims:
+        return dbscan_pairs(df, id_col, vec, eps, min_samples, grid_dims)
+    side = eps / math.sqrt(d)
+    v = F.col(vec).cast("array<double>")
+    # merge identical points (pre-aggregated before any pair is formed)
+    pts = (df.select(F.col(id_col).alias("_id"), v.alias("v"))
+           .groupBy("v").agg(F.min("_id").alias("pid"), F.count(F.lit(1)).alias("w"))
+           .withColumn("cell", F.array(*[F.floor(F.col("v")[i] / F.lit(side)).cast("long") for i in range(d)]))
+           .transform(materialize))
+    cells = pts.groupBy("cell").agg(F.sum("w").alias("cw"))
+    offs = _clique_offsets(d)
+    shifted = F.array(*[F.array(*[(F.col("cell")[i] + F.lit(o[i])) for i in range(d)]) for o in offs])
+    probe = pts.select(F.col("pid").alias("a"), F.col("v").alias("va"), F.col("cell").alias("ca"),
+                       F.explode(shifted).alias("cell"))
+    base = pts.select(F.col("pid").alias("b"), F.col("v").alias("vb"), F.col("w").alias("wb"), "cell")
+    d2 = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                     lambda acc, z: acc + z)
+    cross = (probe.join(base, "cell").where(d2 <= F.lit(eps * eps))
+             .select("a", "b", "wb", F.col("ca"), F.col("cell").alias("cb"))).transform(materialize)
+    near = cross.groupBy("a").agg(F.sum("wb").alias("nw"))
+    info = (pts.join(cells, "cell").join(near.withColumnRenamed("a", "pid"), "pid", "left")
+            .select("pid", "v", "cell", "w", "cw",
+                    ((F.col("cw") + F.coalesce("nw", F.lit(0))) >= min_samples).alias("is_core"))
+            ).transform(materialize)
+    core = info.where("is_core")
+    # a cell's node id: its smallest core point id
+    cell_node = core.groupBy("cell").agg(F.min("pid").alias("node"))
+    core_ids = core.select(F.col("pid").alias("a"))
+    core_cross = (cross.join(core_ids, "a", "left_semi")
+                  .join(core_ids.withColumnRenamed("a", "b"), "b", "left_semi"))
+    edges = (core_cross.join(cell_node.withColumnRenamed("cell", "ca").withColumnRenamed("node", "na"), "ca")
+             .join(cell_node.withColumnRenamed("cell", "cb").withColumnRenamed("node", "nb"), "cb")
+             .select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
+    comp = connected_min_labels(cell_node.select("node"), edges)
+    numbers = dense_codes(comp, "label", "cluster")
+    cell_cluster = (cell_node.join(comp, "node").join(numbers, "label").select("cell", "cluster"))
+    core_lab = core.join(cell_cluster, "cell").select("pid", "cluster", F.lit(True).alias("is_core"))
+    noncore = info.where(~F.col("is_core")).select("pid", "cell")
+    own = noncore.join(cell_cluster, "cell").select("pid", "cluster")
+    via = (cross.join(noncore.select(F.col("pid").alias("a")), "a", "left_semi")
+           .join(core_lab.select(F.col("pid").alias("b"), "cluster"), "b")
+           .select(F.col("a").alias("pid"), "cluster"))
+    border = own.unionByName(via).groupBy("pid").agg(F.min("cluster").alias("cluster"))
+    labelled = (noncore.select("pid").join(border, "pid", "left")
+                .select("pid", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.lit(False).alias("is_core"))
+                .unionByName(core_lab))
+    point_lab = pts.select("v", "pid").join(labelled, "pid").select("v", "cluster", "is_core")
+    return (df.select(F.col(id_col), v.alias("v")).join(point_lab, "v")
+            .select(id_col, F.col("cluster").cast("long"), "is_core"))
+
+
+def dbscan_pairs(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples: int = MIN_SAMPLES,
+                 grid_dims: int = 3) -> DataFrame:
+    """M11 for more than ``grid_dims`` dimensions: every pair within eps (grid of
+    side eps on the first dimensions, then the full distance)."""
     pairs = neighbour_pairs(df, id_col, vec, eps, grid_dims).transform(materialize)
     counts = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_nb"))
     core = counts.where(F.col("n_nb") >= min_samples).select("node")

@@ -78,3 +78,47 @@ def test_ward_two_groups(spark):
     assert link.count() == 79
     d = [r.distance for r in link.orderBy("step").collect()]
     assert all(x <= y + 1e-9 for x, y in zip(d, d[1:]))
+
+
+def _brute_dbscan(pts, eps, min_samples):
+    """Reference-order DBSCAN on a small list (index order = id order)."""
+    n = len(pts)
+    P = np.array(pts)
+    nb = [np.where(np.sqrt(((P - P[i]) ** 2).sum(1)) <= eps)[0] for i in range(n)]
+    core = [len(x) >= min_samples for x in nb]
+    lab = [-1] * n
+    c = 0
+    for i in range(n):
+        if not core[i] or lab[i] != -1:
+            continue
+        lab[i] = c
+        stack = [i]
+        while stack:
+            j = stack.pop()
+            for k in nb[j]:
+                if lab[k] == -1:
+                    lab[k] = c
+                    if core[k]:
+                        stack.append(k)
+        c += 1
+    return lab
+
+
+def test_dbscan_hot_duplicates_match_bruteforce(spark):
+    rng = np.random.default_rng(11)
+    pts = [[0.5, 0.5]] * 60 + [list(map(float, p)) for p in rng.uniform(0, 2, size=(120, 2))]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = {r.id: r.cluster for r in density.dbscan(df, "id", "v", eps=0.15, min_samples=5).collect()}
+    want = _brute_dbscan(pts, 0.15, 5)
+    # same partition into clusters and same noise (numbering by smallest core id)
+    assert [got[i] for i in range(len(pts))] == want
+
+
+def test_dbscan_high_dim_fallback(spark):
+    rng = np.random.default_rng(12)
+    a = rng.normal(0, 0.05, size=(20, 5))
+    b = rng.normal(0, 0.05, size=(20, 5)) + 3
+    pts = [list(map(float, p)) for p in np.vstack([a, b])] + [[9.0] * 5]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = {r.id: r.cluster for r in density.dbscan(df, "id", "v", eps=0.5, min_samples=5).collect()}
+    assert [got[i] for i in range(len(pts))] == _brute_dbscan(pts, 0.5, 5)
