@@ -18,6 +18,12 @@ INCH_CM = 2.54
 # day-first reading beats a month-first one for ambiguous text.
 #   %Y-%m-%d, %d/%m/%Y, %b %d, %Y, %Y/%m/%d, %m/%d/%Y
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "MMM d, yyyy", "yyyy/M/d", "M/d/yyyy")
+# Loose shapes of the formats above (a superset of what each format parses); a
+# text that does not have the shape is not handed to the parser at all, which
+# spares the parser's failure path on the other formats.
+DATE_SHAPES = {"yyyy-M-d": r"^\d+-\d+-\d+$", "d/M/yyyy": r"^\d+/\d+/\d+$",
+               "MMM d, yyyy": r"^[A-Za-z]+ \d+, \d+$", "yyyy/M/d": r"^\d+/\d+/\d+$",
+               "M/d/yyyy": r"^\d+/\d+/\d+$"}
 # Regular expression for "the first number in a text".
 FIRST_NUMBER_PATTERN = r"([0-9]+[.]?[0-9]*)"
 # R2 grade thresholds: high > 0.8, medium > 0.5, else low.
@@ -46,7 +52,12 @@ def parse_date(col: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Colu
     """C4 helper: the first format that parses the whole text, as a timestamp.
     Date and timestamp columns pass through unchanged (see ``date_parts``)."""
     c = _c(col).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    tries = []
+    for f in formats:
+        t = F.try_to_timestamp(c, F.lit(f))
+        shape = DATE_SHAPES.get(f)
+        tries.append(F.when(c.rlike(shape), t) if shape else t)
+    return F.coalesce(*tries)
 
 
 def date_parts(col: str | Column, name: str, dtype: str = "string",

@@ -277,7 +277,7 @@ from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from tabforge.operators import chartdata, density, hierarchy, metrics, models, neighbors  # noqa: E402
 from tabforge.operators import ordinal  # noqa: E402
-from tabforge.session import scratch_path  # noqa: E402
+from tabforge.session import materialize, scratch_path  # noqa: E402
 
 
 def lineitem_split(spark, sf_dir):
@@ -361,7 +361,9 @@ def flagship_frame(spark, sf_dir):
     d = o.select("o_orderkey", "o_totalprice", "o_orderpriority", *S.date_parts(date_text(), "date"))
     d = clean.drop_incomplete(d, ["date_year"])
     d = encode.one_hot(d, "o_orderpriority")
-    d = split.hash_split(d, "o_orderkey")
+    # the prepared table feeds the scaler statistics, every pass of the fit and
+    # the scoring: write it once to the shared folder instead of re-deriving it
+    d = split.hash_split(d, "o_orderkey").transform(materialize)
     feats = ["date_year", "date_month", "date_day"]
     d = scale.standard_scale(d, feats, fit_on=d.where(~F.col("is_test")))
     onehots = [c for c in d.columns if c.startswith("o_orderpriority_")]

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tabforge.functions import scalar as S
 from tabforge.operators import clean, encode, profile, scale
+from tabforge.session import materialize
 
 # Column-name triggers of the rules.
 HEIGHT_NAMES = ("height",)
@@ -130,6 +131,9 @@ def preprocess(df: DataFrame, x: Sequence[str], y: str, key: str | None = None,
             d = encode.split_one_hot(d, c)
             features += [k for k in d.columns if k not in before]
     d = clean.drop_incomplete(d)
+    # the encoded table is read by the target transform, the scaler statistics,
+    # every pass of a fit and the scoring: write it once to the shared folder
+    d = materialize(d, "prep")
     if is_categorical and types["y"] == "string":
         d = encode.label_encode(d, "y")
     elif not is_categorical and y.lower() == SALARY_NAME:
