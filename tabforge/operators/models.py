@@ -43,6 +43,10 @@ MODEL_NAMES = ("Linear_Regression", "Multiple_Regression", "Polynomial_Regressio
 CLASSIFY_BINNED = ("logistic_regression", "svm", "bagging_classifier", "random_forest_classifier")
 CLUSTERING = ("dbscan", "kmeans", "agglomerative_clustering")
 TREE_MAX_DEPTH = 30  # Spark's limit; the reference's trees are unlimited
+# Deep trees: cache each row's node id (one pass per level instead of re-routing
+# every row through the tree), checkpoint that cache every 10 levels to the
+# shared folder, and let more nodes be split per pass.
+TREE_TUNING = dict(cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -76,26 +80,26 @@ def logistic_regression(n_rows: int, c: float = 1.0, features="features", label=
 def decision_tree(continuous: bool, features="features", label="label", max_depth: int = TREE_MAX_DEPTH):
     """M5: regressor for a continuous target, classifier otherwise."""
     cls = DecisionTreeRegressor if continuous else DecisionTreeClassifier
-    return cls(featuresCol=features, labelCol=label, maxDepth=max_depth, maxBins=32, seed=SEED)
+    return cls(featuresCol=features, labelCol=label, maxDepth=max_depth, maxBins=32, seed=SEED, **TREE_TUNING)
 
 
 def bagging(features="features", label="label", max_depth: int = TREE_MAX_DEPTH) -> RandomForestClassifier:
     """M8: 10 bootstrap trees, every feature considered at each split."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=10,
                                   featureSubsetStrategy="all", bootstrap=True, subsamplingRate=1.0,
-                                  maxDepth=max_depth, seed=SEED)
+                                  maxDepth=max_depth, seed=SEED, **TREE_TUNING)
 
 
 def forest_classifier(features="features", label="label", max_depth: int = TREE_MAX_DEPTH):
     """M9: 100 trees, sqrt(features) per split."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=100,
-                                  featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=SEED)
+                                  featureSubsetStrategy="sqrt", maxDepth=max_depth, seed=SEED, **TREE_TUNING)
 
 
 def forest_regressor(features="features", label="label", max_depth: int = TREE_MAX_DEPTH):
     """100 trees, all features per split."""
     return RandomForestRegressor(featuresCol=features, labelCol=label, numTrees=100,
-                                 featureSubsetStrategy="all", maxDepth=max_depth, seed=SEED)
+                                 featureSubsetStrategy="all", maxDepth=max_depth, seed=SEED, **TREE_TUNING)
 
 
 def kmeans(k: int = 8, features="features", prediction="cluster") -> KMeans:
