@@ -5,7 +5,9 @@ helpers here keep the work distributed:
 
 1. range-partition the rows on the ordering (Spark samples the bounds),
 2. sort inside each partition and take a running sum per partition
-   (vectorised, ``mapInPandas``; no extra shuffle),
+   (vectorised, ``mapInPandas``; no extra shuffle) - or, for plain row
+   numbering, read the in-partition position off ``monotonically_increasing_id``
+   (JVM only),
 3. total each partition (a table of ``num_partitions x groups`` rows), turn the
    totals into offsets with a window over that small table, and join them back.
 
@@ -105,10 +107,24 @@ def ordered_cumsum(df: DataFrame, order: Sequence[Column], values: dict[str, str
 def row_positions(df: DataFrame, order: Sequence[Column], name: str = "index",
                   num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (a distributed ``row_number() - 1``).
-    The ordering must be total (unique keys) for a deterministic result."""
-    out = ordered_cumsum(df.withColumn("_tf_one", F.lit(1)), order, {"_tf_pos": "_tf_one"},
-                         num_partitions=num_partitions)
-    return out.withColumn(name, (F.col("_tf_pos") - 1).cast("long")).drop("_tf_pos", "_tf_one")
+    The ordering must be total (unique keys) for a deterministic result.
+
+    JVM only: after range partitioning and an in-partition sort,
+    ``monotonically_increasing_id`` is ``partition << 33 | position in partition``;
+    partition sizes (one row per partition) become offsets."""
+    n = _partitions(df, num_partitions)
+    shift = 1 << 33
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_tf_mid", F.monotonically_increasing_id()))
+    ranged = (ranged.withColumn(_PID, F.shiftright(F.col("_tf_mid"), 33))
+              .withColumn("_tf_local", F.col("_tf_mid") - F.col(_PID) * F.lit(shift)))
+    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tf_n"))
+    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    # at most num_partitions rows: a proven bound for the broadcast
+    offsets = sizes.select(_PID, F.coalesce(F.sum("_tf_n").over(w), F.lit(0)).alias("_tf_off"))
+    return (ranged.join(F.broadcast(offsets), _PID)
+            .withColumn(name, (F.col("_tf_local") + F.col("_tf_off")).cast("long"))
+            .drop("_tf_mid", _PID, "_tf_local", "_tf_off"))
 
 
 def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
