@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tabforge.functions.scalar import r2_grade
 from tabforge.operators.ordinal import ordered_cumsum
 
+MAX_CLASSES = 10_000  # the label list drives a pivot; more labels is not a class set
+
 
 def regression_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred",
                        split_col: str = "is_test") -> DataFrame:
@@ -49,7 +51,9 @@ def confusion_matrix(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
         F.count(F.lit(1)).alias("n"))
     labels = (counts.select(F.col("y_true").alias("label"))
               .union(counts.select(F.col("y_pred").alias("label"))).distinct())
-    values = sorted(r[0] for r in labels.collect())
+    values = sorted(r[0] for r in labels.limit(MAX_CLASSES + 1).collect())
+    if len(values) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels: not a classification result")
     wide = counts.groupBy("y_true").pivot("y_pred", values).agg(F.sum("n"))
     rows = labels.join(wide, labels["label"] == wide["y_true"], "left")
     cells = F.array(*[F.struct(F.lit(v).alias("y_pred"),
