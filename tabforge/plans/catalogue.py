@@ -464,14 +464,17 @@ def q_label_union(spark, sf_dir):
 
 
 def roc_input(spark, sf_dir):
+    """One-vs-rest rows (class, y, score) from ONE scan of the joined tables: each
+    example is exploded into one row per class (score = n_chars for class 1 and
+    -n_chars, i.e. 1 - p, for class 0)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     lb = table(spark, sf_dir, "labels").select("doc_id", "quality")
     j = d.join(lb, "doc_id")
-    pos = j.select(F.lit(1).alias("class"), (F.col("quality") == 1).cast("int").alias("y"),
-                   F.col("n_chars").cast("double").alias("score"))
-    neg = j.select(F.lit(0).alias("class"), (F.col("quality") == 0).cast("int").alias("y"),
-                   (-F.col("n_chars")).cast("double").alias("score"))
-    return pos.unionByName(neg)
+    s = F.col("n_chars").cast("double")
+    per_class = F.array(
+        F.struct(F.lit(1).alias("class"), (F.col("quality") == 1).cast("int").alias("y"), s.alias("score")),
+        F.struct(F.lit(0).alias("class"), (F.col("quality") == 0).cast("int").alias("y"), (-s).alias("score")))
+    return j.select(F.explode(per_class).alias("r")).select("r.*")
 
 
 def q_roc_points(spark, sf_dir):
