@@ -97,6 +97,21 @@ def boundary_grid(spark: SparkSession, x_range: tuple[float, float], y_range: tu
         (F.lit(y0) + F.col("j") * F.lit(step)).alias("y"))
 
 
+def boundary_predictions(spark: SparkSession, features: Sequence[str],
+                         x_range: tuple[float, float], y_range: tuple[float, float],
+                         predict: Callable[[DataFrame], DataFrame],
+                         step: float = GRID_STEP, margin: float = GRID_MARGIN) -> DataFrame:
+    """V8: predictions over the decision-boundary grid of a 2-feature model.
+    ``predict`` maps a DataFrame with the two feature columns to one with a
+    ``prediction`` column (``model.transform`` of a pipeline, or a neighbour vote)."""
+    if len(features) != 2:
+        raise ValueError(f"a decision boundary needs exactly 2 features, got {len(features)}")
+    g = boundary_grid(spark, x_range, y_range, step, margin)
+    g = g.select("i", "j", F.col("x").alias(features[0]), F.col("y").alias(features[1]))
+    return predict(g).select("i", "j", F.col(features[0]).alias("x"), F.col(features[1]).alias("y"),
+                             "prediction")
+
+
 def feature_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
     """V7: ``feature, importance`` sorted by importance (descending)."""
     imp = model.featureImportances.toArray()

@@ -101,3 +101,19 @@ def test_chart_menu(spark):
     assert chartdata.available_charts("KNN") == ("Scatter", "DecisionBoundary", "KValuePlot")
     with pytest.raises(ValueError):
         chartdata.dispatch("KMeans", "ROCCurve", {})
+
+
+def test_boundary_predictions(spark, iris_like):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    data = iris_like.withColumn("label", F.col("flower_class").cast("double"))
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
+                            models.decision_tree(False, max_depth=5)]).fit(data)
+    r = data.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    out = chartdata.boundary_predictions(spark, ["a", "b"], (r[0], r[1]), (r[2], r[3]), pipe.transform)
+    x0, nx = chartdata.grid_axis(r[0], r[1])
+    y0, ny = chartdata.grid_axis(r[2], r[3])
+    assert out.count() == nx * ny
+    assert set(x.prediction for x in out.select("prediction").distinct().collect()) <= {0.0, 1.0, 2.0}
+    with pytest.raises(ValueError):
+        chartdata.boundary_predictions(spark, ["a"], (0, 1), (0, 1), pipe.transform)
