@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values --------------------------------------------------------------------
 # Texts read as missing (the pandas 2.x default NA set), in its natural order.
@@ -28,7 +27,6 @@ DEFAULT_DELIMITER = ","
 DEFAULT_ENCODING = "utf-8"
 # ----------------------------------------------------------------------------------
 
-CORRUPT = "_corrupt_record"
 _QUOTED = r'"([^"]|"")*"'
 
 
@@ -78,10 +76,21 @@ def delimiter_votes(lines: DataFrame, line_col: str = "value",
                     ((F.col("rk") == 1) & eligible).alias("chosen")))
 
 
+def raw_lines(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING) -> DataFrame:
+    """Decoded text lines (column ``value``) of a file or folder in any encoding:
+    the CSV reader with a control character as separator and quoting off hands
+    back each line whole (a leading byte-order mark is dropped, blank lines are
+    skipped as pandas does)."""
+    df = (spark.read.option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000")
+          .option("header", False).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000__no_null__")
+          .schema("value string").csv(path))
+    return df.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.col("value").isNotNull())
+
+
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING) -> str:
     """The separator of a delimited text file (``,`` when nothing qualifies)."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    best = delimiter_votes(lines).where("chosen").select("candidate").first()
+    best = delimiter_votes(raw_lines(spark, path, encoding)).where("chosen").select("candidate").first()
     return best[0] if best else DEFAULT_DELIMITER
 
 
@@ -118,35 +127,39 @@ def _infer_types(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
     return out
 
 
+def header_names(header: str, sep: str) -> list[str]:
+    """Column names from a header line: blank -> ``_c{i}``, a repeated name gets
+    its position appended (Spark's convention)."""
+    import csv as _csv
+    fields = next(_csv.reader([header.lstrip("\ufeff")], delimiter=sep, quotechar='"'))
+    names = [f.strip() or f"_c{i}" for i, f in enumerate(fields)]
+    lowered = [n.lower() for n in names]
+    return [f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
 def read_table(spark: SparkSession, path: str, sep: str | None = None,
                encoding: str = DEFAULT_ENCODING, infer: bool = True,
                with_rejects: bool = False):
-    """Read a CSV file (or folder) with a header.
+    """Read a CSV file (or folder of part files, each with the header) with a header.
 
-    ``sep=None`` detects the separator (S2). All cells are read as text, the NA
-    tokens become NULL (S5), then long/double/string types are inferred with one
-    aggregate. Rows with too many fields are removed (S4); with
-    ``with_rejects=True`` they are returned as a second DataFrame."""
+    ``sep=None`` detects the separator (S2). Lines are split quote-aware, the NA
+    tokens become NULL (S5), short rows are padded, rows with too many fields
+    are set aside (S4; returned as a second DataFrame with ``with_rejects``),
+    then long/double/string types are inferred with one aggregate."""
     sep = sep or detect_delimiter(spark, path, encoding)
-    reader = (spark.read.option("header", True).option("sep", sep)
-              .option("encoding", encoding).option("quote", '"').option("escape", '"')
-              .option("multiLine", False))
-    names = reader.option("inferSchema", False).csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names]
-                          + [T.StructField(CORRUPT, T.StringType(), True)])
-    raw = (reader.schema(schema).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT)
-           .option("nullValue", "\u0000__tabforge_no_null__").csv(path))
-    nfields = F.size(F.split(F.col(CORRUPT), _split_regex(sep)))
-    too_long = F.col(CORRUPT).isNotNull() & (nfields > len(names))
-    good = raw.where(~too_long | F.col(CORRUPT).isNull()).select(
-        *[null_tokens(F.col(f"`{n}`")).alias(n) for n in names])
+    lines = raw_lines(spark, path, encoding)
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"no lines in {path}")
+    header = first["value"]
+    names = header_names(header, sep)
+    body = lines.where(F.col("value") != F.lit(header))
+    parsed = parse_lines(body, names, sep, keep=["value"])
+    good = parsed.where(F.col("status") != "long").select(*[F.col(f"`{n}`") for n in names])
     if infer:
         types = _infer_types(good, names)
         good = good.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) for n in names])
     if with_rejects:
-        # the reader refuses a query on the corrupt column alone: re-split the text
-        lines = spark.read.option("encoding", encoding).text(path)
-        rejects = parse_lines(lines, names, sep, keep=["value"]).where(F.col("status") == "long")
-        return good, rejects.select(F.col("value").alias("line"))
+        rejects = parsed.where(F.col("status") == "long").select(F.col("value").alias("line"))
+        return good, rejects
     return good

@@ -51,3 +51,25 @@ def test_csv_roundtrip_and_sinks(spark, tmp_dir):
     sinks.append_run_report(rep, os.path.join(tmp_dir, "runs"))
     sinks.append_run_report(rep, os.path.join(tmp_dir, "runs"))
     assert spark.read.parquet(os.path.join(tmp_dir, "runs")).count() == 2
+
+
+def test_bom_blank_header_and_count(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "bom.csv")
+    with open(p, "w", encoding="utf-8-sig", newline="") as f:
+        f.write(',sepal length (cm),flower_class\r\n0,5.1,0\r\n1,4.9,1\r\n2,"4,7",1\r\n')
+    df = C.read_table(spark, p)
+    assert df.columns == ["_c0", "sepal length (cm)", "flower_class"]
+    assert df.count() == 3                      # count() alone must work
+    assert dict(df.dtypes)["sepal length (cm)"] == "string"   # "4,7" is text
+    assert df.where("flower_class = 1").count() == 2
+
+
+def test_non_utf8_encoding(spark, tmp_dir):
+    # single-byte charset; Spark 4 accepts the standard charsets only
+    # (others need spark.sql.legacy.javaCharsets)
+    p = os.path.join(tmp_dir, "latin1.csv")
+    with open(p, "w", encoding="iso-8859-1", newline="") as f:
+        f.write("sales_name,année\ncafé,1\nthé,2\n")
+    df = C.read_table(spark, p, encoding="iso-8859-1")
+    assert df.columns == ["sales_name", "année"]
+    assert sorted(r[0] for r in df.collect()) == ["café", "thé"]
