@@ -59,28 +59,29 @@ def ordered_cumsum(df: DataFrame, order: Sequence[Column], values: dict[str, str
         for ln, src in zip(local_names, in_names)])
 
     def running(batches):
-        carry: dict = {}
+        carry = None          # last running value per group key (a small frame)
+        total = None          # last running value without groups
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(**{ln: pd.Series(dtype="float64") for ln in local_names})
                 continue
             vals = pdf[in_names].fillna(0)
             if group_cols:
-                keys = pdf[group_cols].astype(object).apply(tuple, axis=1)
-                cs = vals.groupby(keys.values, sort=False).cumsum()
-                base = pd.DataFrame([carry.get(k, [0] * len(in_names)) for k in keys],
-                                    index=pdf.index, columns=in_names)
-                cs = cs + base
-                last = cs.groupby(keys.values, sort=False).tail(1)
-                for k, row in zip(keys.loc[last.index], last.itertuples(index=False)):
-                    carry[k] = list(row)
+                key = (pdf[group_cols[0]] if len(group_cols) == 1
+                       else pdf[group_cols].astype(str).agg("\x1f".join, axis=1)).to_numpy()
+                cs = vals.groupby(key, sort=False).cumsum()
+                if carry is not None:
+                    cs = cs + carry.reindex(key).fillna(0).to_numpy()
+                last = cs.groupby(key, sort=False).last()
+                carry = last if carry is None else last.combine_first(carry)
             else:
-                base = carry.get((), [0] * len(in_names))
-                cs = vals.cumsum() + base
-                carry[()] = list(cs.iloc[-1])
+                cs = vals.cumsum()
+                if total is not None:
+                    cs = cs + total
+                total = cs.iloc[-1].to_numpy()
             out = pdf.copy()
             for ln, src in zip(local_names, in_names):
-                out[ln] = cs[src].values
+                out[ln] = cs[src].to_numpy()
             yield out
 
     local = ranged.mapInPandas(running, schema)

@@ -31,3 +31,24 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "y double").repartition(5)
     got = ordinal.exact_quantiles(df, "y", [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])
     assert got == pytest.approx(list(np.quantile(vals, [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0])))
+
+
+def test_cumsum_carries_across_arrow_batches(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 500), "x": rng.permutation(500),
+                        "w": rng.normal(size=500)})
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = spark.createDataFrame(pdf)
+        out = ordinal.ordered_cumsum(df, [F.col("x")], {"c": "w"}, group_cols=["g"], num_partitions=3).toPandas()
+        plain = ordinal.ordered_cumsum(df, [F.col("x")], {"c": "w"}, num_partitions=3).toPandas()
+    finally:
+        spark.conf.set(key, old)
+    exp = pdf.sort_values(["g", "x"]).assign(c=lambda d: d.groupby("g")["w"].cumsum())
+    m = out.merge(exp, on=["g", "x"])
+    assert np.allclose(m["c_x"], m["c_y"]) and len(m) == 500
+    exp2 = pdf.sort_values("x").assign(c=lambda d: d["w"].cumsum())
+    m2 = plain.merge(exp2, on=["x"])
+    assert np.allclose(m2["c_x"], m2["c_y"])
