@@ -77,6 +77,13 @@ def q_column_profile(spark, sf_dir):
     return profile.column_profile(table(spark, sf_dir, "orders"))
 
 
+def _text_profile(name):
+    def q(spark, sf_dir):
+        return profile.column_profile(table(spark, sf_dir, name))
+    q.__name__ = f"q_{name}_profile"
+    return q
+
+
 def q_preview_rows(spark, sf_dir):
     return profile.preview(table(spark, sf_dir, "customer"), ["c_custkey"], 5)
 
@@ -239,6 +246,9 @@ def q_hash_split(spark, sf_dir):
 
 QUERIES = {
     "column_profile": q_column_profile,
+    "pages_profile": _text_profile("pages"),
+    "conversations_profile": _text_profile("conversations"),
+    "benchmark_profile": _text_profile("benchmark"),
     "preview_rows": q_preview_rows,
     "display_width": q_display_width,
     "numeric_stats": q_numeric_stats,
@@ -326,8 +336,8 @@ def _predict_ols(df, features, label, key):
 
 
 def q_regression_metrics(spark, sf_dir):
-    li = lineitem_split(spark, sf_dir).withColumn("k", F.monotonically_increasing_id())
-    pred = _predict_ols(li, ["l_quantity"], "l_extendedprice", "k")
+    li = lineitem_split(spark, sf_dir)
+    pred = _predict_ols(li, ["l_quantity"], "l_extendedprice", "l_orderkey")
     mt = metrics.regression_metrics(pred)
     return mt.select("n_test", F.round("mse_train", 2).alias("mse_train"),
                      F.round("mse_test", 2).alias("mse_test"), F.round("mse_diff", 2).alias("mse_diff"),

@@ -33,6 +33,12 @@ def _column_profile() -> str:
         f"CAST(count({c}) AS BIGINT) AS non_null FROM orders" for i, (c, t) in enumerate(cols))
 
 
+def _profile(tab: str, cols: list[tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {i} AS position, '{t}' AS data_type, "
+        f"CAST(count({c}) AS BIGINT) AS non_null FROM {tab}" for i, (c, t) in enumerate(cols))
+
+
 def _display_width() -> str:
     cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     head = "(SELECT * FROM customer ORDER BY c_custkey LIMIT 5)"
@@ -101,6 +107,10 @@ def _polynomial() -> str:
 ORACLES: dict[str, str] = {
     "column_profile": _column_profile(),
     "preview_rows": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
+    "pages_profile": _profile("pages", [("page_id", "bigint"), ("url", "string"), ("html", "string")]),
+    "conversations_profile": _profile("conversations", [("conv_id", "bigint"), ("turn", "bigint"),
+                                                        ("role", "string"), ("text", "string")]),
+    "benchmark_profile": _profile("benchmark", [("item_id", "bigint"), ("text", "string")]),
     "display_width": _display_width(),
     "numeric_stats": _numeric_stats(),
     "missing_report": f"""

@@ -52,3 +52,22 @@ def test_cumsum_carries_across_arrow_batches(spark):
     exp2 = pdf.sort_values("x").assign(c=lambda d: d["w"].cumsum())
     m2 = plain.merge(exp2, on=["x"])
     assert np.allclose(m2["c_x"], m2["c_y"])
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    """SURVEY 5.4: same result under repartition(1) and repartition(7)."""
+    from tabforge.operators import density, encode, scale
+    rng = np.random.default_rng(21)
+    words = [f"w{int(i)}" for i in rng.integers(0, 40, 400)]
+    pts = rng.uniform(0, 1, size=(400, 2))
+    base = spark.createDataFrame([(i, words[i], float(pts[i, 0]), [float(x) for x in pts[i]])
+                                  for i in range(400)], "k long, s string, y double, v array<double>")
+    outs = []
+    for n in (1, 7):
+        df = base.repartition(n)
+        codes = sorted(map(tuple, encode.label_encode(df, "s", "code").select("k", "code").collect()))
+        edges = scale.quantile_edges(df, "y")
+        clusters = sorted(map(tuple, density.dbscan(df, "k", "v", eps=0.08, min_samples=4)
+                              .select("k", "cluster").collect()))
+        outs.append((codes, edges, clusters))
+    assert outs[0] == outs[1]
