@@ -43,16 +43,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is unset
     (local tests) a fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
+    configured = spark.conf.get(_CKPT_KEY, None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get(_CKPT_KEY, None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="tabforge-ckpt-", dir="/tmp")
-        spark.conf.set(_CKPT_KEY, configured) if _settable(spark) else None
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        if _settable(spark):
+            spark.conf.set(_CKPT_KEY, configured)
+    if sc is not None:
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
