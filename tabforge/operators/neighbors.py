@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tabforge.session import materialize
 
 MAX_ROUNDS = 30
+ROWS_PER_RING, MAX_RINGS = 2048, 65536  # a ring is the pilot round's candidate block
 _DEBUG = bool(os.environ.get("TABFORGE_DEBUG"))
 
 
@@ -79,7 +80,7 @@ def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str
         raise ValueError("empty training set")
     need = min(k, n_train)
     lo, hi = stats["lo"], stats["hi"]
-    n_rings = rings or max(1, min(4096, n_train // 256))
+    n_rings = rings or max(1, min(MAX_RINGS, n_train // ROWS_PER_RING))
     width = max((hi - lo) / n_rings, 1e-12)
     ring_of = lambda r: F.least(F.floor((r - F.lit(lo)) / F.lit(width)), F.lit(n_rings - 1)).cast("long")
     # Few rings would mean few join keys and idle cores (and one hot ring would
