@@ -49,10 +49,11 @@ def sqdist_flat(a: str, b: str, d: int) -> Column:
 
 
 def centroid(df: DataFrame, vec: str) -> list[float]:
-    """Per-dimension mean: one aggregate, d values reach the driver."""
-    d = df.select(F.size(vec)).first()[0]
-    v = F.col(vec).cast("array<double>")
-    return [float(x) for x in df.agg(*[F.avg(v[i]) for i in range(d)]).first()]
+    """Per-dimension mean: one vector aggregate, d values reach the driver."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    m = df.select(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))).alias("m")).first()["m"]
+    return [float(x) for x in m.toArray()]
 
 
 def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str = "vec",
