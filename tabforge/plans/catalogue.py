@@ -612,7 +612,39 @@ def q_csv_roundtrip(spark, sf_dir):
     return back
 
 
+# ---- the whole prep plan and the model runner ----------------------------------------
+def _customer_prep(spark, sf_dir):
+    from tabforge.plans import prep as P
+    c = table(spark, sf_dir, "customer")
+    return P.preprocess(c, ["c_nationkey", "c_name", "c_mktsegment"], "c_acctbal", key="c_custkey")
+
+
+def q_prep_table(spark, sf_dir):
+    """Entry 2 end to end: profile job -> rules (c_name: label code by its name,
+    c_mktsegment: one-hot, 5 values) -> standardized numeric features."""
+    res = _customer_prep(spark, sf_dir)
+    std = res.standard()
+    onehots = [f for f in res.features if f not in res.scaled]
+    return std.select("c_custkey", *[r6(F.col(f"`{f}`")).alias(f) for f in res.scaled],
+                      *[F.col(f"`{f}`") for f in onehots], F.col("y").alias("c_acctbal"))
+
+
+def q_prep_rules(spark, sf_dir):
+    res = _customer_prep(spark, sf_dir)
+    return spark.createDataFrame([(r.column, r.kind) for r in res.rules], "column_name string, rule string")
+
+
+def q_model_run(spark, sf_dir):
+    """Entry 3 end to end: the runner on the prepared customer table, as its run record."""
+    from tabforge.plans import runner
+    res = runner.run_model(_customer_prep(spark, sf_dir), "Linear_Regression")
+    return res.report()
+
+
 QUERIES.update({
+    "prep_table": q_prep_table,
+    "prep_rules": q_prep_rules,
+    "model_run": q_model_run,
     "linear_regression": q_linear_regression,
     "multiple_regression": q_multiple_regression,
     "polynomial_regression": q_polynomial_regression,

@@ -301,7 +301,18 @@ c AS (SELECT *, coalesce(max(CAST(cum >= 0.95 AS INTEGER)) OVER (ORDER BY compon
 SELECT CAST(component AS INTEGER) AS component, round(ratio, 6) + 0.0 AS explained_ratio,
        round(cum, 6) + 0.0 AS cumulative, prev_reached = 0 AS kept FROM c"""
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  # test-table values
+PREP_TABLE = """WITH b AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS n, c_acctbal, c_mktsegment,
+                        CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS DOUBLE) AS code FROM customer)
+SELECT c_custkey,
+       round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) + 0.0 AS c_nationkey,
+       round((code - avg(code) OVER ()) / stddev_pop(code) OVER (), 6) + 0.0 AS c_name, """ + ", ".join(
+    f"CAST(c_mktsegment = '{v}' AS INTEGER) AS \"c_mktsegment_{v}\"" for v in SEGMENTS) + """, c_acctbal FROM b"""
+
 ORACLES.update({
+    "prep_table": PREP_TABLE,
+    "prep_rules": """SELECT 'c_name' AS column_name, 'label' AS rule
+        UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) < 10 THEN 'onehot' ELSE 'label' END FROM customer""",
     "linear_regression": f"""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) + 0.0 AS coefficient FROM {LI_TRAIN}
         UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 FROM {LI_TRAIN}""",
     "multiple_regression": _ols2(LI_TRAIN, "l_quantity", "l_discount", "l_extendedprice",

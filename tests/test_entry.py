@@ -15,7 +15,7 @@ def test_catalogue_and_oracles_align():
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(q) >= 65
+    assert len(q) >= 68
 
 
 def test_smoke_queries_run(spark):
