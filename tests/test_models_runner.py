@@ -117,3 +117,21 @@ def test_boundary_predictions(spark, iris_like):
     assert set(x.prediction for x in out.select("prediction").distinct().collect()) <= {0.0, 1.0, 2.0}
     with pytest.raises(ValueError):
         chartdata.boundary_predictions(spark, ["a"], (0, 1), (0, 1), pipe.transform)
+
+
+def test_chart_data_dispatch(spark, iris_like):
+    from tabforge.plans.charts import chart_data
+    prep = P.preprocess(iris_like, ["a", "b"], "flower_class", key="k", is_categorical=True)
+    res = R.run_model(prep, "Logistic_Regression")
+    roc = chart_data(res, prep, "ROCCurve")
+    assert {r["class"] for r in roc.select("class").distinct().collect()} == {0, 1, 2}
+    cm = chart_data(res, prep, "ConfusionMatrix")
+    assert cm.count() == 9
+    assert chart_data(res, prep, "Scatter").count() == 150
+    tree = R.run_model(prep, "Decision_Tree")
+    assert chart_data(tree, prep, "DecisionBoundary").count() > 0
+    assert chart_data(tree, prep, "FeatureImportance").count() == 2
+    with pytest.raises(ValueError):
+        chart_data(res, prep, "Dendrogram")
+    ward = R.run_model(prep, "Agglomerative_Clustering")
+    assert chart_data(ward, prep, "Dendrogram").count() == 149
