@@ -36,10 +36,19 @@ def chart_data(run: RunResult, prep: PrepResult, chart: str) -> DataFrame:
             if len(feats) == 2 else None
         if r is None:
             raise ValueError("a decision boundary needs exactly 2 features")
-        return chartdata.boundary_predictions(
-            spark, feats, (r[0], r[1]), (r[2], r[3]),
-            lambda g: run.model.transform(g.withColumn("features", array_to_vector(
-                F.array(*[F.col(f).cast("double") for f in feats])))))
+        vec = F.array(*[F.col(f).cast("double") for f in feats])
+        if run.model is not None:
+            def predict(g):
+                return run.model.transform(g.withColumn("features", array_to_vector(vec)))
+        else:  # kNN keeps no model: vote of the k nearest training rows
+            train = pred.where(~F.col("is_test")).select(F.col(key).alias("id"), vec.alias("vec"),
+                                                         F.col("y_true").alias("label"))
+
+            def predict(g):
+                q = g.withColumn("id", F.col("i") * F.lit(1 << 31) + F.col("j"))
+                v = neighbors.vote(neighbors.knn(train, q.select("id", vec.alias("vec")), 5))
+                return q.join(v.select(F.col("q_id").alias("id"), F.col("y_pred").alias("prediction")), "id")
+        return chartdata.boundary_predictions(spark, feats, (r[0], r[1]), (r[2], r[3]), predict)
 
     def k_curve():
         test = pred.where("is_test").select(F.col(key).alias("id"),

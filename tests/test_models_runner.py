@@ -135,3 +135,13 @@ def test_chart_data_dispatch(spark, iris_like):
         chart_data(res, prep, "Dendrogram")
     ward = R.run_model(prep, "Agglomerative_Clustering")
     assert chart_data(ward, prep, "Dendrogram").count() == 149
+
+
+def test_knn_boundary_and_k_curve(spark, iris_like):
+    from tabforge.plans.charts import chart_data
+    prep = P.preprocess(iris_like, ["a", "b"], "flower_class", key="k", is_categorical=True)
+    res = R.run_model(prep, "KNN")
+    grid = chart_data(res, prep, "DecisionBoundary")
+    assert grid.count() > 0 and grid.where("prediction is null").count() == 0
+    curve = chart_data(res, prep, "KValuePlot").orderBy("k").collect()
+    assert curve[0]["accuracy"] == 1.0      # k = 1: every row is its own neighbour
