@@ -78,6 +78,11 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5) -> RunRes
         if "probability" in out.columns:
             out = models.probabilities(out)
             cols.append("y_prob")
+        elif "rawPrediction" in out.columns:
+            # SVM has no probabilities: its per-class decision scores rank the
+            # same way, which is all a ROC curve needs
+            out = models.probabilities(out, "rawPrediction")
+            cols.append("y_prob")
         pred = out.select(*cols)
     test = pred.where("is_test")
     mdf = metrics.regression_metrics(pred) if cont else metrics.accuracy(test)

@@ -145,3 +145,12 @@ def test_knn_boundary_and_k_curve(spark, iris_like):
     assert grid.count() > 0 and grid.where("prediction is null").count() == 0
     curve = chart_data(res, prep, "KValuePlot").orderBy("k").collect()
     assert curve[0]["accuracy"] == 1.0      # k = 1: every row is its own neighbour
+
+
+def test_svm_roc_from_decision_scores(spark, iris_like):
+    from tabforge.plans.charts import chart_data
+    prep = P.preprocess(iris_like, ["a", "b", "c", "d"], "flower_class", key="k", is_categorical=True)
+    res = R.run_model(prep, "SVM")
+    assert "y_prob" in res.predictions.columns
+    roc = chart_data(res, prep, "ROCCurve")
+    assert roc.select("class").distinct().count() == 3
