@@ -154,3 +154,14 @@ def test_svm_roc_from_decision_scores(spark, iris_like):
     assert "y_prob" in res.predictions.columns
     roc = chart_data(res, prep, "ROCCurve")
     assert roc.select("class").distinct().count() == 3
+
+
+def test_scaler_fit_on_all_or_train(spark, iris_like):
+    df = iris_like.withColumn("target", F.col("a") * 3 + F.col("b"))
+    prep = P.preprocess(df, ["a", "b"], "target", key="k")
+    a = R.run_model(prep, "Linear_Regression", scaler_fit_on="all").metrics.first()
+    t = R.run_model(prep, "Linear_Regression").metrics.first()
+    # OLS is invariant to an affine rescaling of its inputs: same fit either way
+    assert a.mse_test == pytest.approx(t.mse_test, rel=1e-6, abs=1e-9)
+    with pytest.raises(ValueError):
+        R.run_model(prep, "Linear_Regression", scaler_fit_on="test")
