@@ -63,14 +63,14 @@ def scatter_points(pred: DataFrame, features: Sequence[str], key: str, label: st
     if len(features) >= 2:
         return pred.select(key, F.col(features[0]).alias("x"), F.col(features[1]).alias("y"),
                            F.col(label).alias("label"))
-    idx = row_positions(pred.select(key, features[0], label), [F.col(key)])
+    idx = row_positions(pred.select(key, features[0], label), [key])
     return idx.select(key, F.col("index").cast("double").alias("x"), F.col(features[0]).alias("y"),
                       F.col(label).alias("label"))
 
 
 def line_series(pred: DataFrame, key: str) -> DataFrame:
     """V2: sample index, y_true, y_pred (distributed row numbering)."""
-    return row_positions(pred.select(key, "y_true", "y_pred"), [F.col(key)]).select(
+    return row_positions(pred.select(key, "y_true", "y_pred"), [key]).select(
         "index", key, "y_true", "y_pred")
 
 

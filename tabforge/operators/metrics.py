@@ -69,7 +69,7 @@ def _roc_table(scored: DataFrame, y: str, score: str, cls: str) -> DataFrame:
     g = scored.groupBy(cls, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(y).cast("long")).alias("tp_n"),
         F.sum((1 - F.col(y)).cast("long")).alias("fp_n")).withColumn("one", F.lit(1))
-    cum = ordered_cumsum(g, [F.col("threshold").desc()],
+    cum = ordered_cumsum(g, [("threshold", False)],
                          {"tps": "tp_n", "fps": "fp_n", "pos": "one"}, group_cols=[cls])
     tot = g.groupBy(cls).agg(F.sum("tp_n").alias("P"), F.sum("fp_n").alias("N"))
     return cum.join(F.broadcast(tot), cls)  # one row per class

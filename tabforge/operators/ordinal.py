@@ -1,131 +1,133 @@
 """Order-dependent numbering without a single-partition window.
 
-``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task. The
-helpers here keep the work distributed:
+``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task. Here
 
-1. range-partition the rows on the ordering (Spark samples the bounds),
-2. sort inside each partition and take a running sum per partition
-   (vectorised, ``mapInPandas``; no extra shuffle) - or, for plain row
-   numbering, read the in-partition position off ``monotonically_increasing_id``
-   (JVM only),
-3. total each partition (a table of ``num_partitions x groups`` rows), turn the
-   totals into offsets with a window over that small table, and join them back.
+1. split points are read once, as literals, from a bounded sample of the order keys
+   (they decide how even the buckets are, never the result),
+2. each row's bucket is its place among those literals - a pure function of the row,
+   so every branch of a plan gives a row the same bucket, whatever the optimizer does,
+3. a window inside (bucket, groups) gives the local running sum; the totals of the
+   buckets (at most ``buckets x groups`` rows) become offsets, joined back.
 
 Used for label codes (dense rank of distinct values), row positions, exact
-quantiles and ROC cumulative counts.
+quantiles, ROC cumulative counts and global row numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_PID = "_tf_pid"
+_BUCKET = "_tf_bucket"
+#: Sampled keys per bucket, and the most keys that reach the driver.
+SAMPLE_PER_BUCKET, SAMPLE_MAX = 40, 20_000
+
+Order = str | tuple[str, bool]
+
+
+def _keys(order: Sequence[Order]) -> list[tuple[str, bool]]:
+    return [(o, True) if isinstance(o, str) else o for o in order]
+
+
+def _sort(order: Sequence[Order]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in _keys(order)]
+
+
+def split_points(df: DataFrame, order: Sequence[Order], n: int) -> list[tuple]:
+    """At most ``n - 1`` distinct key tuples, ascending in ``order``, from a bounded sample."""
+    names = [c for c, _ in _keys(order)]
+    if n <= 1:
+        return []
+    want = min(SAMPLE_MAX, n * SAMPLE_PER_BUCKET)
+    keys = df.select(*names)
+    total = keys.count()
+    if total > want:
+        keys = keys.sample(fraction=min(1.0, 1.3 * want / total), seed=11)
+    rows = [tuple(r) for r in keys.limit(2 * want).orderBy(*_sort(order)).collect()]
+    if not rows:
+        return []
+    picked = [rows[len(rows) * i // n] for i in range(1, n)]
+    return [p for i, p in enumerate(picked) if not i or p != picked[i - 1]]
+
+
+def _before(order: Sequence[Order], point: tuple) -> Column:
+    """Is the row's key strictly before ``point``? Never NULL."""
+    out = F.lit(False)
+    for (name, up), v in reversed(list(zip(_keys(order), point))):
+        c = F.col(name)
+        if v is None:
+            less = F.lit(False) if up else c.isNotNull()
+        else:
+            less = F.coalesce((c < F.lit(v)) if up else (c > F.lit(v)), F.lit(up))
+        out = less | (c.eqNullSafe(F.lit(v)) & out)
+    return out
+
+
+def bucket_of(order: Sequence[Order], points: list[tuple]) -> Column:
+    """Number of split points at or before the row's key: a binary search written as
+    nested CASEs, so a row costs log2(n) comparisons."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(_before(order, points[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+    return tree(0, len(points))
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return num_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def ordered_cumsum(df: DataFrame, order: Sequence[Column], values: dict[str, str],
+def ordered_cumsum(df: DataFrame, order: Sequence[Order], values: dict[str, str],
                    group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` (out_name -> input column) in ``order``,
     restarting for each combination of ``group_cols``.
 
-    ``order`` is a list of sort expressions (``F.col(x)`` or ``F.col(x).desc()``);
-    ties must be broken by the caller if the result has to be deterministic.
-    """
-    n = _partitions(df, num_partitions)
+    ``order`` lists column names, or (name, ascending) pairs; ties must be broken by
+    the caller if the result has to be deterministic. NULL values count as 0."""
     group_cols = list(group_cols)
-    sort_exprs = [F.col(g) for g in group_cols] + list(order)
-    ranged = (df.repartitionByRange(n, *sort_exprs)
-              .sortWithinPartitions(*sort_exprs)
-              .withColumn(_PID, F.spark_partition_id()))
-
-    out_names = list(values)
-    in_names = [values[k] for k in out_names]
-    local_names = [f"_tf_local_{k}" for k in out_names]
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField(ln, T.DoubleType() if isinstance(ranged.schema[src].dataType,
-                                                        (T.DoubleType, T.FloatType, T.DecimalType))
-                      else T.LongType(), True)
-        for ln, src in zip(local_names, in_names)])
-
-    def running(batches):
-        carry = None          # last running value per group key (a small frame)
-        total = None          # last running value without groups
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{ln: pd.Series(dtype="float64") for ln in local_names})
-                continue
-            vals = pdf[in_names].fillna(0)
-            if group_cols:
-                key = (pdf[group_cols[0]] if len(group_cols) == 1
-                       else pdf[group_cols].astype(str).agg("\x1f".join, axis=1)).to_numpy()
-                cs = vals.groupby(key, sort=False).cumsum()
-                if carry is not None:
-                    cs = cs + carry.reindex(key).fillna(0).to_numpy()
-                last = cs.groupby(key, sort=False).last()
-                carry = last if carry is None else last.combine_first(carry)
-            else:
-                cs = vals.cumsum()
-                if total is not None:
-                    cs = cs + total
-                total = cs.iloc[-1].to_numpy()
-            out = pdf.copy()
-            for ln, src in zip(local_names, in_names):
-                out[ln] = cs[src].to_numpy()
-            yield out
-
-    local = ranged.mapInPandas(running, schema)
-
-    totals = ranged.groupBy(_PID, *group_cols).agg(
-        *[F.sum(F.coalesce(F.col(src), F.lit(0))).alias(f"_tf_tot_{k}")
-          for k, src in zip(out_names, in_names)])
-    w = (Window.partitionBy(*group_cols).orderBy(_PID)
-         .rowsBetween(Window.unboundedPreceding, -1)) if group_cols else \
-        Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # The offsets table has at most num_partitions x groups rows.
-    offsets = totals.select(
-        _PID, *group_cols,
-        *[F.coalesce(F.sum(f"_tf_tot_{k}").over(w), F.lit(0)).alias(f"_tf_off_{k}")
-          for k in out_names])
-    offsets = F.broadcast(offsets) if not group_cols else offsets
-    joined = local.join(offsets, [_PID, *group_cols], "left")
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(ln) + F.coalesce(F.col(f"_tf_off_{k}"), F.lit(0))).alias(k)
-          for ln, k in zip(local_names, out_names)])
-
-
-def row_positions(df: DataFrame, order: Sequence[Column], name: str = "index",
+    points = split_points(df, order, _partitions(df, num_partitions))
+    rows = df.withColumn(_BUCKET, bucket_of(order, points))
+    w = (Window.partitionBy(_BUCKET, *group_cols).orderBy(*_sort(order))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = rows.withColumns({f"_tf_local_{k}": F.sum(F.coalesce(F.col(src), F.lit(0))).over(w)
+                              for k, src in values.items()})
+    totals = rows.groupBy(_BUCKET, *group_cols).agg(
+        *[F.sum(F.coalesce(F.col(src), F.lit(0))).alias(f"_tf_tot_{k}") for k, src in values.items()])
+    # at most buckets x groups rows
+    up_to = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy(_BUCKET)
+    up_to = up_to.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_BUCKET, *[F.col(g).alias(f"_tf_g{i}") for i, g in enumerate(group_cols)],
+                            *[F.coalesce(F.sum(f"_tf_tot_{k}").over(up_to), F.lit(0)).alias(f"_tf_off_{k}")
+                              for k in values]).withColumnRenamed(_BUCKET, "_tf_b")
+    on = F.col(_BUCKET) == F.col("_tf_b")
+    for i, g in enumerate(group_cols):
+        on = on & F.col(g).eqNullSafe(F.col(f"_tf_g{i}"))
+    # without groups the offsets have one row per bucket: a proven bound for the broadcast
+    joined = local.join(offsets if group_cols else F.broadcast(offsets), on, "left")
+    return joined.select(*df.columns, *[(F.col(f"_tf_local_{k}") + _offset(k)).alias(k) for k in values])
+
+
+def _offset(k: str) -> Column:
+    return F.coalesce(F.col(f"_tf_off_{k}"), F.raise_error(F.lit("ordinal: a bucket has no total")).cast("long"))
+
+
+def row_positions(df: DataFrame, order: Sequence[Order], name: str = "index",
                   num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (a distributed ``row_number() - 1``).
-    The ordering must be total (unique keys) for a deterministic result.
-
-    JVM only: after range partitioning and an in-partition sort,
-    ``monotonically_increasing_id`` is ``partition << 33 | position in partition``;
-    partition sizes (one row per partition) become offsets."""
-    n = _partitions(df, num_partitions)
-    shift = 1 << 33
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_tf_mid", F.monotonically_increasing_id()))
-    ranged = (ranged.withColumn(_PID, F.shiftright(F.col("_tf_mid"), 33))
-              .withColumn("_tf_local", F.col("_tf_mid") - F.col(_PID) * F.lit(shift)))
-    sizes = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_tf_n"))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    # at most num_partitions rows: a proven bound for the broadcast
-    offsets = sizes.select(_PID, F.coalesce(F.sum("_tf_n").over(w), F.lit(0)).alias("_tf_off"))
-    return (ranged.join(F.broadcast(offsets), _PID)
-            .withColumn(name, (F.col("_tf_local") + F.col("_tf_off")).cast("long"))
-            .drop("_tf_mid", _PID, "_tf_local", "_tf_off"))
+    Rows that tie on the whole ``order`` get different positions in any order."""
+    points = split_points(df, order, _partitions(df, num_partitions))
+    rows = df.withColumn(_BUCKET, bucket_of(order, points))
+    sizes = rows.groupBy(_BUCKET).agg(F.count(F.lit(1)).alias("_tf_n"))
+    up_to = Window.partitionBy().orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(_BUCKET).alias("_tf_b"),
+                           F.coalesce(F.sum("_tf_n").over(up_to), F.lit(0)).alias("_tf_off_rn"))
+    rn = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*_sort(order)))
+    return (rows.withColumn("_tf_rn", rn)
+            .join(F.broadcast(offsets), F.col(_BUCKET) == F.col("_tf_b"), "left")
+            .select(*df.columns, (F.col("_tf_rn") - 1 + _offset("rn")).cast("long").alias(name)))
 
 
 def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
@@ -133,42 +135,45 @@ def dense_codes(values: DataFrame, value_col: str, code_col: str = "code",
     """Codes 0..k-1 for the distinct values of ``value_col`` in code-point order
     (what a label encoder fits). Output: (value_col, code_col)."""
     distinct = values.select(value_col).where(F.col(value_col).isNotNull()).distinct()
-    return row_positions(distinct, [F.col(value_col)], code_col, num_partitions)
+    return row_positions(distinct, [value_col], code_col, num_partitions)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    num_partitions: int | None = None) -> list[float | None]:
-    """Linear-interpolated quantiles (pandas / ``quantile_cont``) without pulling the
-    column into one task: value counts, distributed running count, then only the
-    (at most 2 per probability) rows at the wanted ranks reach the driver."""
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+    """Linear-interpolated quantiles (pandas / ``quantile_cont``), exact, without
+    shuffling the column: approximate percentiles give a bracket around each wanted
+    rank, one aggregate counts the rows below each bracket, and only a bracket's own
+    values are counted by value. A bracket that turns out not to hold its rank (the
+    sketch's error is not a hard bound) is widened to the whole column."""
     base = df.select(F.col(col).cast("double").alias("_q_v")).where(
         F.col("_q_v").isNotNull() & ~F.isnan("_q_v"))
-    counts = base.groupBy("_q_v").agg(F.count(F.lit(1)).alias("_q_n"))
-    n = base.count()  # a scan without the shuffle of the value counts
+    err = 1e-3
+    marks = sorted({min(1.0, max(0.0, p + s * 2 * err)) for p in probs for s in (-1, 1)})
+    head = base.agg(F.count(F.lit(1)).alias("n"), F.min("_q_v").alias("lo"), F.max("_q_v").alias("hi"),
+                    F.percentile_approx("_q_v", marks, int(1 / err)).alias("q")).first()
+    n = head["n"]
     if not n:
         return [None for _ in probs]
-    wanted = set()
-    spots = []
+    at = dict(zip(marks, head["q"]))
+    spots, brackets = [], []
     for p in probs:
         h = (n - 1) * float(p)
         lo = int(h // 1)
         hi = min(lo + 1, n - 1)
-        wanted.update([lo, hi])
         spots.append((h, lo, hi))
-    cum = ordered_cumsum(counts, [F.col("_q_v")], {"_q_cum": "_q_n"}, num_partitions=num_partitions)
-    cond = None
-    for r in sorted(wanted):
-        c = (F.col("_q_cum") - F.col("_q_n") <= r) & (F.col("_q_cum") > r)
-        cond = c if cond is None else (cond | c)
-    rows = cum.where(cond).select("_q_v", "_q_n", "_q_cum").collect()
-    at = {}
-    for r in wanted:
-        for row in rows:
-            if row["_q_cum"] - row["_q_n"] <= r < row["_q_cum"]:
-                at[r] = row["_q_v"]
-                break
+        brackets.append((head["lo"] if p - 2 * err <= 0 else at[p - 2 * err],
+                         head["hi"] if p + 2 * err >= 1 else at[p + 2 * err]))
+    below = base.agg(*[F.count_if(F.col("_q_v") < F.lit(a)).alias(f"b{i}") for i, (a, _) in enumerate(brackets)],
+                     *[F.count_if(F.col("_q_v") <= F.lit(b)).alias(f"e{i}") for i, (_, b) in enumerate(brackets)]).first()
     out = []
-    for h, lo, hi in spots:
-        a, b = at[lo], at[hi]
-        out.append(a + (h - lo) * (b - a))
+    for i, ((h, lo, hi), (a, b)) in enumerate(zip(spots, brackets)):
+        start = below[f"b{i}"]
+        if not (start <= lo and hi < below[f"e{i}"]):
+            a, b, start = head["lo"], head["hi"], 0
+        counts = (base.where((F.col("_q_v") >= F.lit(a)) & (F.col("_q_v") <= F.lit(b)))
+                  .groupBy("_q_v").agg(F.count(F.lit(1)).alias("_q_n")))
+        cum = ordered_cumsum(counts, ["_q_v"], {"_q_cum": "_q_n"})
+        want = sorted({lo, hi})
+        rows = cum.where(" OR ".join(f"(_q_cum - _q_n <= {r - start} AND _q_cum > {r - start})" for r in want)).collect()
+        value = {r: x["_q_v"] for r in want for x in rows if x["_q_cum"] - x["_q_n"] <= r - start < x["_q_cum"]}
+        out.append(value[lo] + (h - lo) * (value[hi] - value[lo]))
     return out

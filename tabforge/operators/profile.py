@@ -168,7 +168,7 @@ def cluster_counts(df: DataFrame, label: str = "cluster", noise: int = -1) -> Da
 def row_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     """0-based row position by ``key`` (distributed; see ordinal.row_positions)."""
     from tabforge.operators.ordinal import row_positions
-    return row_positions(df, [F.col(key)], name)
+    return row_positions(df, [key], name)
 
 
 _ = Window  # re-exported for callers building their own small windows

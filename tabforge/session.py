@@ -54,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get(_CKPT_KEY, None)
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabforge-ckpt-", dir="/tmp")
         if _settable(spark):
             spark.conf.set(_CKPT_KEY, configured)
