@@ -33,6 +33,8 @@ from tabforge.session import materialize
 
 #: The knapsack's budget is at most this many times the longest document.
 DP_LENGTHS = 4
+#: Hash buckets of a (source, length), and most plan rows sent by broadcast.
+RANK_BUCKETS, MAX_PLAN_ROWS = 64, 500_000
 
 
 def bounded_knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -98,8 +100,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.nda
     return take
 
 
-def source_targets(sizes: DataFrame, weight: Column, share: float, max_epochs: float) -> DataFrame:
+def source_targets(sizes: DataFrame, weight: Column, share: float | None, max_epochs: float) -> DataFrame:
     """(source, source_size) -> also position (by source, NULL last), weight, target.
+    ``share`` None deals out the sum of the weights.
 
     ``weight`` may use ``position`` and ``source_size``. Targets are
     min(max_epochs * size, level * weight); the level is the largest, over the sources
@@ -112,7 +115,7 @@ def source_targets(sizes: DataFrame, weight: Column, share: float, max_epochs: f
     sums = src.agg(F.sum("source_size").alias("n"), F.sum("weight").alias("w")).first()
     if not sums["n"]:
         return src.withColumn("target", F.lit(0.0)).drop("cap", "ratio")
-    budget = float(share) * sums["n"]
+    budget = float(share) * sums["n"] if share is not None else float(sums["w"])
     run = ordered_cumsum(src, ["ratio", "position"], {"cap_to": "cap", "w_to": "weight"})
     left = (F.lit(budget) - (F.col("cap_to") - F.col("cap")))
     level = run.agg(F.max(F.try_divide(left, F.lit(sums["w"]) - (F.col("w_to") - F.col("weight")))).alias("l")).first()["l"]
@@ -120,17 +123,27 @@ def source_targets(sizes: DataFrame, weight: Column, share: float, max_epochs: f
             .drop("cap", "ratio"))
 
 
-def mix(docs: DataFrame, weight: Column, share: float = 1.5, max_epochs: int = 2, seed: int = 42,
+def mix(docs: DataFrame, weight: Column, share: float | None = 1.5, max_epochs: int = 2, seed: int = 42,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words taken, repeats counted;
-    a document is taken whole 0 .. max_epochs times)."""
+    """doc_id, source, size, source_size, target, times, taken: a document is taken whole
+    0 .. max_epochs ``times``; ``taken`` counts its words as often."""
     rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                                    n_words(F.col(text)).alias("size")), "mix-sizes")
-    return take_words(rows, weight, share, max_epochs, seed)
+    times = F.col("epochs") + (F.col("rank") <= F.col("chosen")).cast("int")
+    return (_ranked(rows, weight, share, max_epochs, seed)
+            .select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"),
+                    (times * F.col("size")).cast("long").alias("taken")))
 
 
-def take_words(rows: DataFrame, weight: Column, share: float, max_epochs: int, seed: int) -> DataFrame:
-    """``mix`` for a table that already has source and size (and any other columns)."""
+def _order(seed: int, doc_id: Column, size: Column) -> tuple[Column, Column]:
+    """Seeded order inside a (source, length): hash bucket, then hash."""
+    order = F.xxhash64(F.lit(seed), doc_id, size)
+    return F.pmod(F.shiftrightunsigned(order, 20), F.lit(RANK_BUCKETS)).cast("int"), order
+
+
+def _ranked(rows: DataFrame, weight: Column, share: float | None, max_epochs: int, seed: int) -> DataFrame:
+    """Rows (doc_id, source, size) with their rank in the seeded order of (source, size)
+    and the plan of that length: source_size, target, epochs, chosen."""
     hist = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     targets = source_targets(sizes, weight, share, max_epochs)
@@ -144,25 +157,50 @@ def take_words(rows: DataFrame, weight: Column, share: float, max_epochs: int, s
         some = lengths > 0
         if total and epochs < max_epochs:
             chosen[some] = fit_counts(lengths[some], counts[some], target - epochs * total)
-        return pdf.assign(epochs=epochs, chosen=chosen)[["position", "source", "size", "source_size", "target",
-                                                         "epochs", "chosen"]]
+        return pdf.assign(epochs=epochs, chosen=chosen)[["source", "size", "source_size", "target", "epochs", "chosen"]]
 
     plan = (hist.join(targets, hist["source"].eqNullSafe(targets["source"])).drop(targets["source"])
             .groupBy("position").applyInPandas(
-                fit, "position long, source string, size long, source_size long, target double, epochs int, chosen long"))
+                fit, "source string, size long, source_size long, target double, epochs int, chosen long"))
     plan = materialize(plan, "mix-plan").select(F.col("source").alias("p_source"), F.col("size").alias("p_size"),
                                                 "source_size", "target", "epochs", "chosen")
-    order, rank = free_names(rows.columns, "_order", "_rank")
-    seeded = rows.withColumn(order, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    ranked = ranked_in_groups(seeded, ["source", "size"], [F.col(order), F.col("doc_id")],
-                              F.shiftrightunsigned(F.col(order), 20), rank)
-    times = F.col("epochs") + (F.col(rank) <= F.col("chosen")).cast("int")
-    return (ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left")
-            .select(*rows.columns, "source_size", "target", (times * F.col("size")).cast("long").alias("taken"),
-                    times.cast("int").alias("times")))
+    bucket, order = _order(seed, F.col("doc_id"), F.col("size"))
+    ranked = ranked_in_groups(rows.withColumn("order", order), ["source", "size"], [F.col("order"), F.col("doc_id")],
+                              F.shiftrightunsigned(F.col("order"), 20), "rank", RANK_BUCKETS)
+    return ranked.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")), "left")
+
+
+def repeat(docs: DataFrame, epochs: Column, max_epochs: int = 2, seed: int = 42, doc_id: str = "doc_id",
+           text: str = "text", source: str = "source") -> DataFrame:
+    """The mixed documents themselves, all columns kept: a row is there as often as it is
+    taken, rows without words once. A source's weight is ``epochs`` (of ``position``) times
+    its own size, and the weights are the targets.
+
+    The plan is one row per (source, length) - epochs, and the last taken place in the
+    seeded order - so a row finds its copies from its own columns. The plan goes along by
+    broadcast up to MAX_PLAN_ROWS rows and is joined by shuffle beyond. Rows that agree in
+    doc_id, source and size are taken alike."""
+    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+                                   n_words(F.col(text)).alias("size")), "mix-sizes")
+    ranked = _ranked(rows, epochs * F.col("source_size"), None, max_epochs, seed)
+    bucket, order = _order(seed, F.col("doc_id"), F.col("size"))
+    last = F.max(F.when(F.col("rank") <= F.col("chosen"), F.struct(bucket.alias("b"), order.alias("o"))))
+    plan = materialize(ranked.groupBy("source", "size").agg(F.max("epochs").alias("epochs"), last.alias("last")), "mix-copies")
+    names = free_names(docs.columns, "_p_source", "_p_size", "_epochs", "_last", "_size", "_copy")
+    p_source, p_size, p_epochs, p_last, size, copy = names
+    plan = plan.toDF(p_source, p_size, p_epochs, p_last)
+    bucket, order = _order(seed, F.col(doc_id), F.col(size))
+    place = F.struct(bucket.alias("b"), order.alias("o"))
+    times = F.coalesce(F.col(p_epochs) + (place <= F.col(p_last)).cast("int"), F.col(p_epochs))
+    on = F.col(source).eqNullSafe(F.col(p_source)) & (F.col(size) == F.col(p_size))
+    return (docs.withColumn(size, n_words(F.col(text)))
+            .join(F.broadcast(plan) if plan.count() <= MAX_PLAN_ROWS else plan, on, "left")
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.when(F.col(size) == 0, 1).otherwise(times))))
+            .select(*docs.columns))
 
 
 def weights_by_position(pattern: tuple[float, ...] = (3, 1, 2)) -> Column:
     """The weight of the source at ``position`` in a repeating pattern."""
     return F.element_at(F.array(*[F.lit(float(p)) for p in pattern]), (F.col("position") % len(pattern) + 1).cast("int"))
 
+

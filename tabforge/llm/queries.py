@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabforge.llm import ann, credentials, mixing, packing, quality, sharding, urlfilter, warc
+from tabforge.llm import ann, credentials, mixing, ngram_join, packing, quality, sharding, surrogates, urlfilter, warc
 from tabforge.llm.common import table
 
 SHARDS = 24
@@ -44,6 +44,11 @@ def op5_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return surrogates.replace(docs)
+
+
 def op7_warc_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark, f"warc-{uuid.uuid4().hex}")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
@@ -65,6 +70,10 @@ def op9_pack_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path(TOKENIZER)
@@ -94,5 +103,5 @@ ORACLES = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    op1_mix_budget, op2_ann_multiprobe, op3_feistel_shards, op4_secret_links, op5_url_trie, op7_warc_cas,
-    op8_quality_divergence, op9_pack_bfd)}
+    op1_mix_budget, op2_ann_multiprobe, op3_feistel_shards, op4_secret_links, op5_url_trie, op6_pii_surrogates,
+    op7_warc_cas, op8_quality_divergence, op9_pack_bfd, op10_ngram_jaccard)}
