@@ -90,10 +90,10 @@ def log1p(col: str | Column) -> Column:
     return F.log1p(_c(col))
 
 
-def poly_degree(n: Column, n_distinct: Column, cap: int = 3) -> Column:
-    """``int(min(max(2, n/100), distinct))``, then capped (degree n/100 explodes)."""
-    q = F.least(F.greatest(F.lit(2.0), n / F.lit(100.0)), n_distinct.cast("double"))
-    return F.least(F.floor(q).cast("int"), F.lit(cap))
+def poly_degree(n: Column, n_distinct: Column) -> Column:
+    """``int(min(max(2, n/100), distinct))``. It grows with the table, so the model
+    runner takes the degree from its caller instead."""
+    return F.floor(F.least(F.greatest(F.lit(2.0), n / F.lit(100.0)), n_distinct.cast("double"))).cast("int")
 
 
 def r2_grade(r2: Column) -> Column:

@@ -44,12 +44,12 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, persist: bool
     return apply_label_codes(df, col, fit_label_codes(df, col, persist), out)
 
 
-def category_values(df: DataFrame, col: str, limit: int = ONE_HOT_MAX_DISTINCT) -> list:
-    """Sorted distinct values of a low-cardinality column. At most ``limit`` values
-    are fetched; more raises, so an unbounded list never reaches the driver."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .orderBy(col).limit(limit + 1).collect()]
-    if len(vals) > limit:
+def category_values(df: DataFrame, col: str, limit: int | None = ONE_HOT_MAX_DISTINCT) -> list:
+    """Sorted distinct values of a low-cardinality column. With a ``limit`` more values
+    raise before the list reaches the driver."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    vals = [r[0] for r in (found.limit(limit + 1) if limit is not None else found).collect()]
+    if limit is not None and len(vals) > limit:
         raise ValueError(f"{col!r} has more than {limit} values; use label_encode")
     return vals
 
@@ -70,10 +70,11 @@ def one_hot(df: DataFrame, col: str, values: Sequence | None = None, prefix: str
 
 
 def split_one_hot(df: DataFrame, col: str, sep: str = ",", fill: str = "未知",
-                  max_values: int = 1000) -> DataFrame:
+                  max_values: int | None = None) -> DataFrame:
     """Split ``col`` on ``sep`` and one-hot each part as
-    ``{col}_part{i}_{value}``; absent parts count as ``fill``. One profile job
-    returns the part count and each part's (bounded) value list."""
+    ``{col}_part{i}_{value}``; absent parts count as ``fill``. Each value becomes a
+    column, so the value lists are as long as the result is wide; a caller who wants
+    a limit passes ``max_values`` (more raises)."""
     arr = F.split(F.col(f"`{col}`"), sep)
     n_parts = df.agg(F.max(F.size(arr))).first()[0] or 0
     parts = df.select(*[F.coalesce(F.get(arr, i), F.lit(fill)).alias(f"p{i}") for i in range(n_parts)])

@@ -12,24 +12,21 @@ from pyspark.sql import functions as F
 from tabforge.functions.scalar import r2_grade
 from tabforge.operators.ordinal import ordered_cumsum
 
-MAX_CLASSES = 10_000  # the label list drives a pivot; more labels is not a class set
-
-
 def regression_metrics(pred: DataFrame, y: str = "y_true", p: str = "y_pred",
                        split_col: str = "is_test") -> DataFrame:
     """``n_test, mse_train, mse_test, mse_diff (train - test), r2 (test), grade``.
-    ONE pass over the predictions: per split the count, sum of squared errors,
-    sum of y and sum of y^2 (partial per task, two rows after the shuffle);
-    SST = sum(y^2) - n * mean(y)^2."""
+    ONE pass over the predictions: per split the count, sum of squared errors and
+    population variance of y (merged stably over tasks, two rows after the shuffle);
+    SST = n * variance. A constant y has no R2 (NULL, grade low)."""
     e = F.col(y) - F.col(p)
     per = pred.groupBy(split_col).agg(
         F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"),
-        F.sum(F.col(y)).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+        F.var_pop(F.col(y)).alias("var"))
+    sst = F.col("var") * F.col("n")
     piv = per.agg(
         F.max(F.when(~F.col(split_col), F.col("sse") / F.col("n"))).alias("mse_train"),
         F.max(F.when(F.col(split_col), F.col("sse") / F.col("n"))).alias("mse_test"),
-        F.max(F.when(F.col(split_col), 1 - F.col("sse") / sst)).alias("r2"),
+        F.max(F.when(F.col(split_col), 1 - F.try_divide(F.col("sse"), sst))).alias("r2"),
         F.max(F.when(F.col(split_col), F.col("n"))).cast("long").alias("n_test"))
     return piv.select("n_test", "mse_train", "mse_test",
                       (F.col("mse_train") - F.col("mse_test")).alias("mse_diff"), "r2",
@@ -45,22 +42,17 @@ def accuracy(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame
 
 def confusion_matrix(pred: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Long form ``y_true, y_pred, n`` over the union of labels, zero cells
-    included. Counts come from one groupBy; the label list (k values, bounded by
-    the number of classes) drives a pivot, so no cross join is needed."""
+    included. Counts come from one groupBy; the cells are the label set exploded
+    against itself (k * k rows are the result's own size), joined to the counts."""
     counts = pred.groupBy(F.col(y).alias("y_true"), F.col(p).alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n"))
     labels = (counts.select(F.col("y_true").alias("label"))
               .union(counts.select(F.col("y_pred").alias("label"))).distinct())
-    values = sorted(r[0] for r in labels.limit(MAX_CLASSES + 1).collect())
-    if len(values) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} labels: not a classification result")
-    wide = counts.groupBy("y_true").pivot("y_pred", values).agg(F.sum("n"))
-    rows = labels.join(wide, labels["label"] == wide["y_true"], "left")
-    cells = F.array(*[F.struct(F.lit(v).alias("y_pred"),
-                               F.coalesce(F.col(f"`{v}`"), F.lit(0)).cast("long").alias("n"))
-                      for v in values])
-    return (rows.select(F.col("label").alias("y_true"), F.explode(cells).alias("c"))
-            .select("y_true", "c.y_pred", "c.n"))
+    every = labels.where(F.col("label").isNotNull()).agg(F.collect_list("label").alias("labels"))
+    cells = (every.select(F.explode("labels").alias("y_true"), "labels")
+             .select("y_true", F.explode("labels").alias("y_pred")))
+    return (cells.join(counts, ["y_true", "y_pred"], "left")
+            .select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def _roc_table(scored: DataFrame, y: str, score: str, cls: str) -> DataFrame:
@@ -103,10 +95,11 @@ def roc_points(scored: DataFrame, y: str, score: str, cls: str = "class",
 def roc_auc(scored: DataFrame, y: str, score: str, cls: str = "class") -> DataFrame:
     """Trapezoid area under each class's ROC curve. Each threshold adds
     ``dFPR * (TPR_prev + TPR) / 2`` and both terms follow from the row's own
-    running and step counts, so the area is a plain grouped sum."""
+    running and step counts, so the area is a plain grouped sum. A class without
+    positives or without negatives has no area (NULL)."""
     t = _roc_table(scored, y, score, cls)
-    area = (F.col("fp_n") / F.col("N")) * ((2 * F.col("tps") - F.col("tp_n")) / F.col("P")) / 2
-    return t.groupBy(cls).agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("auc"))
+    area = F.try_divide(F.col("fp_n"), F.col("N")) * F.try_divide(2 * F.col("tps") - F.col("tp_n"), F.col("P")) / 2
+    return t.groupBy(cls).agg(F.sum(area).alias("auc"))
 
 
 def inertia(assigned: DataFrame, features: str, center: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -21,7 +21,11 @@ def _q(c: str) -> Column:
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """numeric columns (the scalers' scope)."""
-    return [n for n, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
+    return [n for n, t in df.dtypes if is_numeric(t)]
+
+
+def is_numeric(dtype: str) -> bool:
+    return dtype in NUMERIC or dtype.startswith("decimal")
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -137,14 +141,14 @@ def continuity(df: DataFrame, cols: Sequence[str], min_distinct: int = 10,
     for i, c in enumerate(cols):
         x = _q(c)
         aggs += [F.count_distinct(x).alias(f"d{i}")]
-        if types[c] in NUMERIC:
+        if is_numeric(types[c]):
             aggs += [(F.max(x).cast("double") - F.min(x).cast("double")).alias(f"r{i}")]
         else:
             aggs += [F.lit(None).cast("double").alias(f"r{i}")]
     stats = df.agg(*aggs)
     items = []
     for i, c in enumerate(cols):
-        numeric = types[c] in NUMERIC
+        numeric = is_numeric(types[c])
         cont = (F.lit(numeric) & (F.col(f"d{i}") > min_distinct)
                 & F.coalesce(F.col(f"r{i}") > min_range, F.lit(False)))
         items.append((c, [("n_distinct", F.col(f"d{i}").cast("long")),
@@ -170,5 +174,3 @@ def row_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     from tabforge.operators.ordinal import row_positions
     return row_positions(df, [key], name)
 
-
-_ = Window  # re-exported for callers building their own small windows

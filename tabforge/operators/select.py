@@ -21,17 +21,21 @@ TOP_K = 10           # fixed value: number of features kept
 
 
 def _bin(col: str, lo: float, hi: float, bins: int):
+    """Equal-width bin 0..bins-1; NULL and NaN share a bin of their own (``bins``)."""
     x = F.col(col).cast("double")
+    missing = x.isNull() | F.isnan(x)
     if lo is None or hi is None or hi <= lo:
-        return F.lit(0).cast("long")
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("long")
+        return F.when(missing, F.lit(bins)).otherwise(F.lit(0)).cast("long")
+    return (F.when(missing, F.lit(bins))
+            .otherwise(F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1))).cast("long"))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """``feature, mi`` (nats) between each binned feature and the binned target."""
     cols = list(features) + [target]
-    r = df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
-               *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    r = df.agg(*[F.min(x).alias(f"mn{i}") for i, x in enumerate(known)],
+               *[F.max(x).alias(f"mx{i}") for i, x in enumerate(known)]).first()
     yb = _bin(target, r[f"mn{len(features)}"], r[f"mx{len(features)}"], bins)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"),
                                _bin(f, r[f"mn{i}"], r[f"mx{i}"], bins).alias("bx"))

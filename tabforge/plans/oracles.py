@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
                        FROM (SELECT DISTINCT p_name FROM part))
         SELECT p_partkey, part.p_name, p_name_code FROM part JOIN codes USING (p_name)""",
     "one_hot": _one_hot(),
-    "salary_log1p": f"SELECT c_custkey, {r6('ln(1 + c_acctbal)')} AS salary_log FROM customer WHERE c_acctbal > 0",
+    "salary_log1p": f"SELECT c_custkey, {r6('CASE WHEN c_acctbal > -1 THEN ln(1 + c_acctbal) END')} AS salary_log FROM customer",
     "minmax_scale": f"""
         WITH s AS (SELECT min(p_size) a, max(p_size) b, min(p_retailprice) c, max(p_retailprice) d FROM part)
         SELECT p_partkey, {r6('CASE WHEN b > a THEN (p_size - a)::DOUBLE / (b - a) ELSE 0.0 END')} AS p_size,
@@ -344,7 +344,7 @@ ORACLES.update({
               UNION ALL SELECT class, 0, NULL, 0, 0, P, N FROM c WHERE pos = 1)
         SELECT class, pos, threshold, round(CASE WHEN N > 0 THEN fps / N END, 6) + 0.0 AS fpr,
                round(CASE WHEN P > 0 THEN tps / P END, 6) + 0.0 AS tpr FROM a""",
-    "roc_auc": ROC_INPUT + " SELECT class, round(coalesce(sum(fp_n / N * (2 * tps - tp_n) / P / 2), 0), 6) + 0.0 AS auc FROM c GROUP BY class",
+    "roc_auc": ROC_INPUT + " SELECT class, round(sum(fp_n / nullif(N, 0) * (2 * tps - tp_n) / nullif(P, 0) / 2), 6) + 0.0 AS auc FROM c GROUP BY class",
     "knn_classify": KNN_PAIRS + """,
         v AS (SELECT q_id, y_true, t_label, count(*) AS c FROM nb GROUP BY ALL),
         p AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, t_label) AS r FROM v QUALIFY r = 1)

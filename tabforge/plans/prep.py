@@ -12,8 +12,9 @@ Rules per text column (by name, case-insensitive, then by distinct count):
   anything else              -> one-hot if < 10 distinct values (T2), else label code
 Numeric X columns (including label codes, heights and date parts, but not the
 one-hot indicators) are min-max scaled and standardized (population std).
-A text target is label-encoded when categorical; a non-categorical target
-named 'salary' is log1p-transformed.
+Date and timestamp columns give their four parts under any name. A text target
+is label-encoded, unless it is named 'salary' and reads as numbers (currency
+text); a non-categorical target named 'salary' is log1p-transformed.
 """
 
 from __future__ import annotations
@@ -101,9 +102,14 @@ def preprocess(df: DataFrame, x: Sequence[str], y: str, key: str | None = None,
     d = clean.drop_incomplete(df.select(key, *x, F.col(f"`{y}`").alias("y")))
     types = dict(d.dtypes)
     text_x = [c for c in x if types[c] == "string"]
-    rules = plan_rules(d, text_x)
-    features: list[str] = [c for c in x if c not in text_x]
-    scaled: list[str] = [c for c in features if types[c] in profile.NUMERIC]
+    time_x = [c for c in x if types[c] in ("date", "timestamp", "timestamp_ntz")]
+    rules = plan_rules(d, text_x) + [Rule(c, "date") for c in time_x]
+    features: list[str] = [c for c in x if c not in text_x and c not in time_x]
+    scaled: list[str] = [c for c in features if profile.is_numeric(types[c])]
+    if scaled:  # decimals and integers enter the models as doubles
+        d = d.withColumns({c: F.col(f"`{c}`").cast("double") for c in scaled if types[c].startswith("decimal")})
+    if types["y"].startswith("decimal"):
+        d = d.withColumn("y", F.col("y").cast("double"))
     for rule in rules:
         c = rule.column
         if rule.kind == "height":
@@ -134,7 +140,13 @@ def preprocess(df: DataFrame, x: Sequence[str], y: str, key: str | None = None,
     # the encoded table is read by the target transform, the scaler statistics,
     # every pass of a fit and the scoring: write it once to the shared folder
     d = materialize(d, "prep")
-    if is_categorical and types["y"] == "string":
+    numeric_y = types["y"] != "string"
+    if types["y"] == "string" and not is_categorical and y.lower() == SALARY_NAME:
+        # currency text: numbers if every value reads as one
+        money = d.withColumn("_money", S.parse_number("y"))
+        if money.agg(F.bool_and(F.col("_money").isNotNull()).alias("ok")).first()["ok"]:
+            d, numeric_y = money.drop("y").withColumnRenamed("_money", "y"), True
+    if not numeric_y:
         d = encode.label_encode(d, "y")
     elif not is_categorical and y.lower() == SALARY_NAME:
         d = d.withColumn("y", S.log1p("y"))

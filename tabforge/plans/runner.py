@@ -15,7 +15,6 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabforge.functions.scalar import poly_degree
 from tabforge.operators import density, hierarchy, metrics, models, neighbors, profile, scale, split
 from tabforge.plans.prep import PrepResult
 from tabforge.sources.sinks import run_report
@@ -47,8 +46,9 @@ def is_continuous(df: DataFrame, y: str = "y") -> bool:
 
 
 def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
-              scaler_fit_on: str = "train") -> RunResult:
-    """``scaler_fit_on="all"`` reproduces the reference, which fits the scalers on
+              scaler_fit_on: str = "train", degree: int = 3) -> RunResult:
+    """``degree`` is the polynomial regression's (the same at every table size).
+    ``scaler_fit_on="all"`` reproduces the reference, which fits the scalers on
     every row before splitting (T12); the default fits them on train rows only."""
     if scaler_fit_on not in ("train", "all"):
         raise ValueError("scaler_fit_on must be 'train' or 'all'")
@@ -75,7 +75,7 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
     if mt == "knn":
         pred, model = _knn(std, key, feats, cont, k_neighbors)
     else:
-        est, prepare = _estimator(mt, train, cont, feats)
+        est, prepare = _estimator(mt, train, cont, feats, degree)
         fit_in = prepare(train) if prepare else train
         model = est.fit(fit_in)
         out = model.transform(prepare(std) if prepare else std)
@@ -92,21 +92,16 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
     test = pred.where("is_test")
     mdf = metrics.regression_metrics(pred) if cont else metrics.accuracy(test)
     if mt in ("polynomial_regression",):
-        extra["degree"] = _degree(train)
+        extra["degree"] = degree
     mdf.first()  # force the work inside the timer (Spark is lazy)
     return RunResult(model_type, model, pred, mdf, time.time() - t0, "ok", cont, extra)
 
 
-def _degree(train: DataFrame) -> int:
-    r = train.agg(poly_degree(F.count(F.lit(1)), F.count_distinct("y")).alias("q")).first()
-    return int(r["q"])
-
-
-def _estimator(mt: str, train: DataFrame, cont: bool, feats):
+def _estimator(mt: str, train: DataFrame, cont: bool, feats, degree: int):
     if mt in ("linear_regression", "multiple_regression"):
         return models.linear_regression(), None
     if mt == "polynomial_regression":
-        return models.polynomial_regression(_degree(train)), None
+        return models.polynomial_regression(degree), None
     if mt == "logistic_regression":
         return models.logistic_regression(train.count()), None
     if mt == "decision_tree":

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values --------------------------------------------------------------------
 # Texts read as missing (the pandas 2.x default NA set), in its natural order.
@@ -109,21 +110,29 @@ def parse_lines(lines: DataFrame, names: Sequence[str], sep: str = ",",
                           for i, nm in enumerate(names)])
 
 
+#: Fixed patterns: what reads as a number or a truth value (a trailing ``d``/``f`` does not).
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(inf|Inf|infinity|Infinity)\s*$"
+BOOLEAN_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
+
+
 def _infer_types(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
-    """One aggregate: a column is long if every non-null value casts to long, else
-    double if every one casts to double, else string (the pandas reading)."""
+    """One aggregate: a column is long if every non-null value reads as an integer in
+    range, else double if every one reads as a number, else boolean, else string."""
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
-        aggs += [F.count(x).alias(f"a{i}"), F.count(x.try_cast("long")).alias(f"l{i}"),
-                 F.count(x.try_cast("double")).alias(f"d{i}")]
+        aggs += [F.count(x).alias(f"a{i}"),
+                 F.count_if(x.rlike(INTEGER_TEXT) & x.try_cast("long").isNotNull()).alias(f"l{i}"),
+                 F.count_if(x.rlike(NUMBER_TEXT)).alias(f"d{i}"),
+                 F.count_if(x.rlike(BOOLEAN_TEXT)).alias(f"b{i}")]
     if not aggs:
         return {}
     r = df.agg(*aggs).first()
     out = {}
     for i, c in enumerate(cols):
-        a, lg, db = r[f"a{i}"], r[f"l{i}"], r[f"d{i}"]
-        out[c] = "long" if a and lg == a else ("double" if a and db == a else "string")
+        a = r[f"a{i}"]
+        out[c] = next((t for t, k in (("long", "l"), ("double", "d"), ("boolean", "b")) if a and r[f"{k}{i}"] == a), "string")
     return out
 
 
@@ -137,29 +146,63 @@ def header_names(header: str, sep: str) -> list[str]:
     return [f"{n}{i}" if lowered.count(n.lower()) > 1 else n for i, n in enumerate(names)]
 
 
+def has_open_quotes(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING) -> bool:
+    """Does any physical line hold an odd number of quotes, i.e. does a quoted field go
+    on in the next line? Decides whether files must be read whole (one aggregate)."""
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return bool(raw_lines(spark, path, encoding).agg(F.coalesce(F.bool_or(odd), F.lit(False)).alias("o")).first()["o"])
+
+
 def read_table(spark: SparkSession, path: str, sep: str | None = None,
                encoding: str = DEFAULT_ENCODING, infer: bool = True,
-               with_rejects: bool = False):
+               with_rejects: bool = False, multiline: bool | None = None):
     """Read a CSV file (or folder of part files, each with the header) with a header.
 
-    ``sep=None`` detects the separator (S2). Lines are split quote-aware, the NA
-    tokens become NULL (S5), short rows are padded, rows with too many fields
-    are set aside (S4; returned as a second DataFrame with ``with_rejects``),
-    then long/double/string types are inferred with one aggregate."""
+    ``sep=None`` detects the separator (S2). The CSV reader skips the header by its
+    position in each file and reads quoted line breaks; ``multiline=None`` reads files
+    whole only when a quoted field spans lines, so that others stay splittable. The NA
+    tokens become NULL (S5), short rows are padded, rows with too many fields are set
+    aside (S4; returned as a second DataFrame with ``with_rejects``), then long / double /
+    boolean / string types are inferred with one aggregate."""
     sep = sep or detect_delimiter(spark, path, encoding)
-    lines = raw_lines(spark, path, encoding)
-    first = lines.first()
-    if first is None:
-        raise ValueError(f"no lines in {path}")
-    header = first["value"]
-    names = header_names(header, sep)
-    body = lines.where(F.col("value") != F.lit(header))
-    parsed = parse_lines(body, names, sep, keep=["value"])
-    good = parsed.where(F.col("status") != "long").select(*[F.col(f"`{n}`") for n in names])
+    if multiline is None:
+        multiline = has_open_quotes(spark, path, encoding)
+    reader = lambda: (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+                      .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+                      .option("mode", "PERMISSIVE").option("enforceSchema", True).option("maxCharsPerColumn", -1))
+    names = header_names(sep.join('"' + c.replace('"', '""') + '"' for c in _raw_header(spark, path, sep, encoding, multiline)), sep)
+    bad = "_corrupt"
+    while bad.lower() in {n.lower() for n in names}:
+        bad += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    rows = reader().schema(schema).option("columnNameOfCorruptRecord", bad).csv(path)
+    # a flagged row is short (padded, kept) or long; a row of one field is never short
+    # (naming every column keeps the reader from parsing only some fields of a row, which
+    # would hide that it is too long)
+    line = F.concat(F.col(bad), F.substring(F.concat_ws("", *[F.col(f"`{n}`") for n in names]), 1, 0))
+    fields = F.size(F.split(F.regexp_replace(line, _QUOTED, '""'), _plain_regex(sep)))
+    long_row = F.coalesce(fields > len(names), F.lit(False))
+    good = rows.where(~long_row).select(*[null_tokens(F.col(f"`{n}`")).alias(n) for n in names])
     if infer:
         types = _infer_types(good, names)
-        good = good.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) for n in names])
+        good = good.select(*[F.trim(F.col(f"`{n}`")).cast(types[n]).alias(n) if types[n] != "string" else F.col(f"`{n}`")
+                             for n in names])
     if with_rejects:
-        rejects = parsed.where(F.col("status") == "long").select(F.col("value").alias("line"))
-        return good, rejects
+        return good, rows.where(long_row).select(line.alias("line"))
     return good
+
+
+def _plain_regex(sep: str) -> str:
+    return "\\" + sep if sep in r".^$|?*+()[]{}\\" else ("\\t" if sep == "\t" else sep)
+
+
+def _raw_header(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> list[str]:
+    """The fields of the first record of the first file, in file order."""
+    first = (spark.read.option("header", False).option("sep", sep).option("encoding", encoding).option("quote", '"')
+             .option("escape", '"').option("multiLine", multiline).option("maxCharsPerColumn", -1)
+             .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+    row = first.first()
+    if row is None:
+        raise ValueError(f"no lines in {path}")
+    return [(v or "").lstrip("\ufeff") for v in row]

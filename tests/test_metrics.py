@@ -50,3 +50,26 @@ def test_inertia(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 1.0]), ([2.0, 1.0], [1.0, 1.0])], "v array<double>, c array<double>")
     assert metrics.inertia(df, "v", "c").first()[0] == pytest.approx(3.0)
     _ = F
+
+
+def test_r2_with_a_large_offset_and_auc_of_one_class(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    y, e = rng.normal(size=2000), rng.normal(size=2000)
+    rows = [(float(1e9 + a), float(1e9 + a + b), i % 2 == 0) for i, (a, b) in enumerate(zip(y, e))]
+    df = spark.createDataFrame(rows, "y_true double, y_pred double, is_test boolean")
+    t = np.array([r for r in rows if r[2]])
+    want = 1 - ((t[:, 0] - t[:, 1]) ** 2).sum() / ((t[:, 0] - t[:, 0].mean()) ** 2).sum()
+    got = metrics.regression_metrics(df).first()
+    assert abs(got.r2 - want) < 1e-6 and got.grade == "low"
+    s = spark.createDataFrame([("a", 1, 0.5), ("a", 1, 0.7), ("b", 0, 0.2), ("b", 1, 0.9)], "class string, y int, score double")
+    assert {r["class"]: r.auc for r in metrics.roc_auc(s, "y", "score").collect()} == {"a": None, "b": 1.0}
+
+
+def test_mutual_information_keeps_missing_apart(spark):
+    from tabforge.operators import select as sel
+    rows = [(1.0, 1.0)] * 20 + [(10.0, 2.0)] * 20 + [(None, 3.0)] * 20 + [(float("nan"), 3.0)] * 20
+    df = spark.createDataFrame(rows, "x double, y double")
+    import math
+    p = [20 / 80, 20 / 80, 40 / 80]
+    assert abs(sel.mutual_information(df, ["x"], "y").first().mi + sum(v * math.log(v) for v in p)) < 1e-9

@@ -165,3 +165,20 @@ def test_scaler_fit_on_all_or_train(spark, iris_like):
     assert a.mse_test == pytest.approx(t.mse_test, rel=1e-6, abs=1e-9)
     with pytest.raises(ValueError):
         R.run_model(prep, "Linear_Regression", scaler_fit_on="test")
+
+
+def test_prep_targets_dates_and_decimals(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tabforge.plans import prep as P
+    rows = [(i, dt.datetime(2024, 1 + i % 12, 3, 4), Decimal(i) / 4, "$%d,000" % (i + 1), "ab"[i % 2], f"city{i}") for i in range(24)]
+    df = spark.createDataFrame(rows, "k long, when timestamp, price decimal(12,2), salary string, kind string, city string")
+    res = P.preprocess(df, ["when", "price"], "salary", key="k")
+    assert res.features == ["price", "when_year", "when_month", "when_day", "when_hour"] and "price" in res.scaled
+    import math
+    assert {r.k: round(r.y, 6) for r in res.data.collect()} == {i: round(math.log1p((i + 1) * 1000), 6) for i in range(24)}
+    text = P.preprocess(df, ["price"], "kind", key="k")
+    assert {r.k: r.y for r in text.data.collect()} == {i: i % 2 for i in range(24)}
+    from tabforge.operators import profile
+    assert profile.continuity(df, ["price"]).first()["value_range"] == 5.75

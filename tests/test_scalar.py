@@ -51,6 +51,6 @@ def test_grade_degree_number(spark):
     assert [r[0] for r in df.select(S.r2_grade(F.col("r"))).collect()] == ["high", "medium", "low"]
     q = spark.range(1).select(S.poly_degree(F.lit(10000), F.lit(50)).alias("q"),
                               S.poly_degree(F.lit(150), F.lit(50)).alias("q2")).first()
-    assert q.q == 3 and q.q2 == 2
+    assert q.q == 50 and q.q2 == 2  # grows with the table; the runner takes the degree from its caller
     df2 = spark.createDataFrame([("$25,000,000 ",)], "s string")
     assert df2.select(S.parse_number("s")).first()[0] == 25000000.0

@@ -73,3 +73,19 @@ def test_non_utf8_encoding(spark, tmp_dir):
     df = C.read_table(spark, p, encoding="iso-8859-1")
     assert df.columns == ["sales_name", "année"]
     assert sorted(r[0] for r in df.collect()) == ["café", "thé"]
+
+
+def test_header_like_rows_and_quoted_line_breaks(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "multi.csv"),
+               'name,note,v\nann,"line one\nline two, still ""quoted""",1\nname,note,v\nbob,x,2\n"a,b","c\n\nd",3,4\nshort\n')
+    good, rejects = C.read_table(spark, p, with_rejects=True)
+    assert {tuple(r) for r in good.collect()} == {
+        ("ann", 'line one\nline two, still "quoted"', "1"), ("name", "note", "v"), ("bob", "x", "2"), ("short", None, None)}
+    assert rejects.count() == 1 and good.count() == 4
+
+
+def test_number_and_boolean_texts(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "types.csv"), "seat,flag,x,big\n12D,True,1e3,9999999999999999999\n3F,False,.5,1\nNA,NA,-2.,2\n")
+    df = C.read_table(spark, p, sep=",")
+    assert dict(df.dtypes) == {"seat": "string", "flag": "boolean", "x": "double", "big": "double"}
+    assert {r.seat for r in df.collect()} == {"12D", "3F", None} and {r.x for r in df.collect()} == {1000.0, 0.5, -2.0}
