@@ -16,6 +16,10 @@ spread of the projections, and the number of probes is fitted: on a fixed-size s
 TARGET recall is taken. Every vector is indexed and every query answered; a query that
 finds fewer than k candidates is answered exactly, against all rows in blocks.
 
+A query starts from the k best of a fixed sample (PILOT vectors, scored where the query
+lies); the k-th of them bounds what a bucket may still add, so buckets emit only rows that
+can be among the query's k best, and every query has k candidates from the start.
+
 Scale: one narrow shuffle of L copies of the vectors by (table, bucket), none of pairs: a
 task scores a block of vectors against a block of queries with a matrix product and emits
 k rows a query. A bucket with more than BLOCK vectors or queries is cut into blocks by
@@ -43,6 +47,7 @@ from tabforge.session import materialize
 
 TABLES, BUCKET, BLOCK = 4, 1024, 4096
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 256, 0.96
+PILOT = 16_384
 MAX_PERTURBATIONS = 2048
 
 
@@ -103,10 +108,11 @@ class Tables:
         return self.bucket(cells[:, None, :] + p[order])
 
 
-def top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of ``x`` for each query but itself. A matrix product picks who can be
-    among them; scores are then summed one pair at a time, so that equal vectors get
-    equal scores in any block."""
+def top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int,
+          bound: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best of ``x`` for each query but itself, from its ``bound`` on. A matrix
+    product picks who can be among them; scores are then summed one pair at a time, so
+    that equal vectors get equal scores in any block."""
     out_q, out_x, out_s = [], [], []
     for at in range(0, len(q), 512):
         s = q[at:at + 512] @ x.T
@@ -117,6 +123,8 @@ def top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k:
             near = s >= np.where(np.isfinite(kth), kth - slack, -np.finfo(float).max)[:, None]
         else:
             near = np.isfinite(s)
+        if bound is not None:
+            near &= s >= (bound[at:at + 512] - 1e-9 * (1 + np.abs(np.nan_to_num(bound[at:at + 512], neginf=0))))[:, None]
         i, j = np.nonzero(near)
         score = (q[at:at + 512][i] * x[j]).sum(axis=1)
         order = np.lexsort((x_ids[j], -score, i))
@@ -141,7 +149,7 @@ def _score_blocks(index: DataFrame, queries: DataFrame, keys: list[str], k: int)
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": "float64"})
         return top_k(q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), x["vec_id"].to_numpy(),
-                     np.stack(x["v"].to_numpy()), k)
+                     np.stack(x["v"].to_numpy()), k, q["bound"].to_numpy())
     return queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(run, FOUND)
 
 
@@ -184,6 +192,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tables, probes = fit(x, head["n"], head["m"], k)
     queries = x.where(is_query)
+    # at most PILOT vectors of fixed length: a proven bound for the broadcast
+    some = x.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).collect()
+    pilot = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield top_k(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()), *pilot.value, k)
+
+    def bounds(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        best = top_k(ids, v, *pilot.value, k).groupby("query_id")["score"]
+        low = best.min().where(best.size() == k, -np.inf)
+        return low.reindex(ids).fillna(-np.inf).to_numpy()
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,17 +220,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             for at in range(0, len(pdf), 1024):
                 some = pdf.iloc[at:at + 1024]
                 v = np.stack(some["v"].to_numpy())
+                low = bounds(some["vec_id"].to_numpy(), v)
                 for t in range(tables.tables):
                     b = tables.probes(v, t, probes)
                     who = np.repeat(np.arange(len(some)), b.shape[1])
                     yield pd.DataFrame({"t": t, "bucket": b.ravel(), "vec_id": some["vec_id"].to_numpy()[who],
-                                        "v": some["v"].to_numpy()[who]}).drop_duplicates(["bucket", "vec_id"])
+                                        "v": some["v"].to_numpy()[who], "bound": low[who]}
+                                       ).drop_duplicates(["bucket", "vec_id"])
 
     schema = "t int, bucket long, vec_id long, v array<double>"
     index = x.mapInPandas(hash_rows, schema)
-    visits = queries.mapInPandas(hash_queries, schema)
+    visits = queries.mapInPandas(hash_queries, schema + ", bound double")
     found = _score_blocks(*_blocked(index, visits, ["t", "bucket"]), ["t", "bucket", "xb", "qb"], k)
-    found = materialize(_merge(found, k), "ann-found")
+    found = materialize(_merge(found.unionByName(queries.mapInPandas(start, FOUND)), k), "ann-found")
 
     # queries that found too few: exact, in blocks of all rows
     ids = x.select("vec_id").distinct().count()
@@ -222,7 +245,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         q_blocks = -(-short.count() // BLOCK)
         rows = x.withColumn("xb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
         rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-        asked = (short.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = (short.withColumn("bound", F.lit(float("-inf"))).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
                  .withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int")))
         exact = _merge(_score_blocks(rows, asked, ["xb", "qb"], k), k)
         found = found.join(short.select(F.col("vec_id").alias("s")), F.col("query_id") == F.col("s"), "left_anti").unionByName(exact)
@@ -242,7 +265,7 @@ def _blocked(index: DataFrame, visits: DataFrame, keys: list[str]) -> tuple[Data
         df = df.join(hot, keys, "left")
         own_at = F.pmod(F.xxhash64("vec_id"), F.coalesce(F.col(own_n), F.lit(1))).cast("int")
         all_at = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1))
-        return df.withColumn(own, own_at).withColumn(other, all_at).select(*keys, "xb", "qb", "vec_id", "v")
+        return df.withColumn(own, own_at).withColumn(other, all_at).drop("xn", "qn")
 
     return cut(index, "xb", "xn", "qb", "qn"), cut(visits, "qb", "qn", "xb", "xn")
 
