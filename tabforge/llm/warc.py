@@ -86,9 +86,13 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     records.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/records")
 
     # payloads: one row per digest; the join's keys are single pages
-    wanted = holders.select("h_digest", "holder")
-    store = (src.join(wanted, (F.col("digest") == F.col("h_digest")) & F.col("page_id").eqNullSafe(F.col("holder")))
-             .select("digest", "page_id", "payload").dropDuplicates(["digest", "page_id"]).select("digest", "payload"))
+    # (one key column, never NULL: dropping repeated rows then needs no second exchange)
+    def key(digest: str, page: str) -> Column:
+        return F.concat_ws(":", F.col(digest), F.coalesce(F.col(page).cast("string"), F.lit("null")))
+
+    wanted = holders.select(key("h_digest", "holder").alias("key"))
+    store = (src.select(key("digest", "page_id").alias("key"), "digest", "payload").join(wanted, "key")
+             .dropDuplicates(["key"]).select("digest", "payload"))
     store.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
