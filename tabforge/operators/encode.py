@@ -69,19 +69,24 @@ def one_hot(df: DataFrame, col: str, values: Sequence | None = None, prefix: str
     return df.select(*keep, *one_hot_columns(col, values, prefix))
 
 
-def split_one_hot(df: DataFrame, col: str, sep: str = ",", fill: str = "未知",
-                  max_values: int | None = None) -> DataFrame:
-    """Split ``col`` on ``sep`` and one-hot each part as
-    ``{col}_part{i}_{value}``; absent parts count as ``fill``. Each value becomes a
-    column, so the value lists are as long as the result is wide; a caller who wants
-    a limit passes ``max_values`` (more raises)."""
+def split_values(df: DataFrame, col: str, sep: str = ",", fill: str = "未知",
+                 max_values: int | None = None) -> list[list]:
+    """The values of each part of a text column split on ``sep`` (one profile job gives
+    the number of parts). Each value becomes a column, so the lists are as long as the
+    result is wide; a caller who wants a limit passes ``max_values`` (more raises)."""
     arr = F.split(F.col(f"`{col}`"), sep)
     n_parts = df.agg(F.max(F.size(arr))).first()[0] or 0
     parts = df.select(*[F.coalesce(F.get(arr, i), F.lit(fill)).alias(f"p{i}") for i in range(n_parts)])
-    out = df.withColumns({f"_tf_p{i}": F.coalesce(F.get(arr, i), F.lit(fill)) for i in range(n_parts)})
-    exprs = []
-    for i in range(n_parts):
-        exprs += one_hot_columns(f"_tf_p{i}", category_values(parts, f"p{i}", max_values),
-                                 f"{col}_part{i}")
+    return [category_values(parts, f"p{i}", max_values) for i in range(n_parts)]
+
+
+def split_one_hot(df: DataFrame, col: str, sep: str = ",", fill: str = "未知",
+                  max_values: int | None = None, values: list[list] | None = None) -> DataFrame:
+    """Split ``col`` on ``sep`` and one-hot each part as
+    ``{col}_part{i}_{value}``; absent parts count as ``fill``."""
+    values = values if values is not None else split_values(df, col, sep, fill, max_values)
+    arr = F.split(F.col(f"`{col}`"), sep)
+    out = df.withColumns({f"_tf_p{i}": F.coalesce(F.get(arr, i), F.lit(fill)) for i in range(len(values))})
+    exprs = [e for i, v in enumerate(values) for e in one_hot_columns(f"_tf_p{i}", v, f"{col}_part{i}")]
     keep = [F.col(f"`{c}`") for c in df.columns if c != col]
     return out.select(*keep, *exprs)

@@ -1,129 +1,166 @@
-"""Ward agglomerative clustering (M13) and its linkage table.
-
-Exact Ward needs the n x n distance matrix. Here it runs in two stages:
-
-1. Spark: k-means into at most ``max_leaves`` (256) micro-clusters, then one
-   ``groupBy`` for each micro-cluster's size and coordinate sums;
-2. driver: Ward merging of that bounded table (<= 256 rows) with the
-   Lance-Williams update, which yields the linkage ``(step, left, right,
-   distance, size)`` and the leaf -> cluster map for the wanted cluster count;
-3. Spark: the leaf map (<= 256 rows, a proven bound) is broadcast back.
-
-When the data has no more rows than ``max_leaves`` every row is its own leaf
-and the result is exact Ward.
+"""Ward agglomerative clustering (M13) and its linkage table (V12), as Spark jobs.
+
+Ward's criterion is reducible: merging all pairs of clusters that are each other's nearest
+neighbour at once gives the same hierarchy as merging one closest pair at a time. So a round
+finds every cluster's nearest neighbour (blocks of clusters against blocks of clusters, each
+pair of blocks one task), merges the reciprocal pairs, and writes the next clusters. Once no
+more than BLOCK clusters are left, a single task plays the remaining rounds. Steps are numbered by merge distance, which
+Ward's criterion never lowers from a merge to the next.
+
+``leaves`` says what is merged: a number k first gathers the rows into k-means clusters (the
+form for large tables: a round costs k * k distances), None takes every row as a leaf (exact,
+n * n distances). Either way each leaf but one gets its merge and nothing is linked on the
+driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabforge.operators.density import connected_min_labels
 from tabforge.operators.models import kmeans
-
-MAX_LEAVES = 256
-
-
-def _leaves(df: DataFrame, id_col: str, vec: str, max_leaves: int) -> tuple[DataFrame, int]:
-    n = df.count()
-    v = F.col(vec).cast("array<double>")
-    if n <= max_leaves:
-        # every row is a leaf; leaf number = row position by id (<= 256 rows)
-        leaf = df.select(id_col, v.alias("v")).withColumn(
-            "leaf", F.row_number().over(Window.orderBy(id_col)) - 1)
-        return leaf, n
-    feats = df.select(id_col, array_to_vector(v).alias("features"), v.alias("v"))
-    model = kmeans(max_leaves, prediction="leaf").fit(feats)
-    return model.transform(feats).select(id_col, "v", F.col("leaf").cast("long")), max_leaves
-
-
-def ward_merge(sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Ward linkage of weighted centroids. Returns rows (left, right, distance,
-    size) with new cluster ids m, m+1, ... as in the usual linkage matrix.
-    Distance between clusters A, B: sqrt(2 nA nB / (nA + nB)) |cA - cB|."""
-    m = len(sizes)
-    cap = 2 * m
-    n = np.zeros(cap)
-    cent = np.zeros((cap, sums.shape[1]))
-    n[:m] = sizes
-    cent[:m] = sums / sizes[:, None]
-    alive = np.zeros(cap, dtype=bool)
-    alive[:m] = True
-    dist = np.full((cap, cap), np.inf)
-
-    def row(i: int) -> np.ndarray:
-        dd = np.sqrt(2.0 * n[i] * n / np.maximum(n[i] + n, 1e-300)) * np.linalg.norm(cent - cent[i], axis=1)
-        dd[~alive] = np.inf
-        dd[i] = np.inf
-        return dd
-
-    for i in range(m):
-        dist[i] = row(i)
-    out = []
-    for step in range(m - 1):
-        flat = int(np.argmin(dist))
-        a, b = divmod(flat, cap)
-        d = dist[a, b]
-        new = m + step
-        n[new] = n[a] + n[b]
-        cent[new] = (n[a] * cent[a] + n[b] * cent[b]) / n[new]
-        alive[a] = alive[b] = False
-        alive[new] = True
-        dist[[a, b], :] = np.inf
-        dist[:, [a, b]] = np.inf
-        r = row(new)
-        dist[new] = r
-        dist[:, new] = r
-        out.append((min(a, b), max(a, b), float(d), n[new]))
-    return np.array(out, dtype=float).reshape(-1, 4)
-
-
-def cut(linkage: np.ndarray, m: int, n_clusters: int) -> list[int]:
-    """Leaf -> cluster (0..n_clusters-1, numbered by first leaf) after undoing
-    the last n_clusters - 1 merges."""
-    parent = list(range(m + len(linkage)))
-    for step, (a, b, _d, _n) in enumerate(linkage[: max(0, len(linkage) - (n_clusters - 1))]):
-        parent[int(a)] = m + step
-        parent[int(b)] = m + step
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-    roots = [root(i) for i in range(m)]
-    order = {}
-    for r in roots:
-        order.setdefault(r, len(order))
-    return [order[r] for r in roots]
-
-
-def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, max_leaves: int = MAX_LEAVES):
-    """Returns (labels DataFrame ``id_col, cluster``, linkage DataFrame)."""
+from tabforge.operators.ordinal import dense_codes, row_positions
+from tabforge.session import materialize
+
+LEAVES, BLOCK, MAX_ROUNDS = 256, 1024, 400
+
+
+def _leaves(df: DataFrame, id_col: str, vec: str, leaves: int | None) -> DataFrame:
+    """(id_col, leaf, v): leaves numbered 0..m-1 without gaps."""
+    rows = df.select(id_col, F.col(vec).cast("array<double>").alias("v"))
+    if leaves is None:
+        codes = dense_codes(rows, id_col, "leaf")
+        return rows.join(codes, id_col)
+    feats = rows.withColumn("features", array_to_vector("v"))
+    found = materialize(kmeans(leaves, prediction="cell").fit(feats).transform(feats).select(id_col, "v", "cell"), "ward-cells")
+    return found.join(dense_codes(found, "cell", "leaf"), "cell").select(id_col, "leaf", "v")
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pdf["id"].to_numpy(), pdf["n"].to_numpy(), np.stack(pdf["c"].to_numpy())
+
+
+def nearest_rows(a, b) -> pd.DataFrame:
+    """(id, d, other) for clusters ``a`` among clusters ``b`` (in order of id)."""
+    (ia, na, ca), (ib, nb, cb) = a, b
+    out_d, out_o = [], []
+    for k in range(len(ia)):  # one row at a time: memory stays linear
+        d = np.sqrt(2 * na[k] * nb / (na[k] + nb)) * np.sqrt(((cb - ca[k]) ** 2).sum(axis=1))
+        d[ib == ia[k]] = np.inf
+        at = int(np.argmin(d))
+        out_d.append(d[at])
+        out_o.append(ib[at])
+    return pd.DataFrame({"id": ia, "d": out_d, "other": out_o})
+
+
+def finish(pdf: pd.DataFrame, base: int) -> pd.DataFrame:
+    """The remaining merges of at most BLOCK clusters; new ids start at ``base``."""
+    ids, n, c = _arrays(pdf.sort_values("id"))
+    rows = []
+    while len(ids) > 1:
+        near = nearest_rows((ids, n, c), (ids, n, c))
+        other = dict(zip(near["id"], near["other"]))
+        at = {x: k for k, x in enumerate(ids)}
+        pairs = [(a, b, d) for a, b, d in zip(near["id"], near["other"], near["d"]) if a < b and other[b] == a]
+        gone, new = set(), []
+        for a, b, d in pairs:
+            i, j = at[a], at[b]
+            gone |= {i, j}
+            new.append((a + base, n[i] + n[j], (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j])))
+            rows.append((a, b, a + base, d, int(n[i] + n[j])))
+        left = [k for k in range(len(ids)) if k not in gone]
+        ids = np.concatenate([ids[left], np.array([x[0] for x in new], dtype=np.int64)])
+        n = np.concatenate([n[left], [x[1] for x in new]])
+        c = np.concatenate([c[left], np.stack([x[2] for x in new])])
+        order = np.argsort(ids)
+        ids, n, c, base = ids[order], n[order], c[order], base * 2
+    return pd.DataFrame(rows, columns=["a", "b", "new", "distance", "size"])
+
+
+def _finisher(base: int):
+    return lambda pdf: finish(pdf, base)
+
+
+def _nearest(clusters: DataFrame, blocks: int) -> DataFrame:
+    """(id, d, other): each cluster's nearest by Ward distance sqrt(2 ab / (a + b)) |ca - cb|,
+    ties to the smaller id."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = clusters.withColumn("i", own).withColumn("j", every)
+    right = clusters.withColumn("j", own).withColumn("i", every)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "d": [], "other": []}).astype({"id": "int64", "d": "float64", "other": "int64"})
+        out = nearest_rows(_arrays(a), _arrays(b.sort_values("id")))
+        return out[np.isfinite(out["d"])]
+
+    pairs = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "id long, d double, other long")
+    return pairs.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", "m.d", "m.other")
+
+
+def _merges(clusters: DataFrame, count: int) -> DataFrame:
+    """(a, b, new, distance, size) of all merges; ids below ``count`` are leaves."""
+    found, base = None, max(count, 1)
+    for _ in range(MAX_ROUNDS):
+        if count <= 1:
+            return found
+        if count <= BLOCK:
+            last = clusters.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
+                _finisher(base), "a long, b long, new long, distance double, size long")
+            last = materialize(last, "ward-last")
+            return last if found is None else found.unionByName(last)
+        near = materialize(_nearest(clusters, -(-count // BLOCK)), "ward-nearest")
+        back = near.select(F.col("id").alias("b"), F.col("other").alias("back"))
+        pairs = (near.join(back, (F.col("other") == F.col("b")) & (F.col("id") == F.col("back"))).where("id < other")
+                 .select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("distance")))
+        x = clusters.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        y = clusters.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        joined = (pairs.join(x, "a").join(y, "b")
+                  .select("a", "b", (F.col("a") + F.lit(base)).alias("id"), "distance", (F.col("na") + F.col("nb")).alias("n"),
+                          F.zip_with("ca", "cb", lambda p, q: (p * F.col("na") + q * F.col("nb")) / (F.col("na") + F.col("nb"))).alias("c")))
+        joined = materialize(joined, "ward-merged")
+        merged = joined.count()
+        gone = joined.select(F.explode(F.array("a", "b")).alias("id"))
+        clusters = materialize(clusters.join(gone, "id", "left_anti").unionByName(joined.select("id", "n", "c")), "ward-clusters")
+        step = joined.select("a", "b", F.col("id").alias("new"), "distance", F.col("n").cast("long").alias("size"))
+        found = step if found is None else found.unionByName(step)
+        count, base = count - merged, base * 2
+    raise RuntimeError("merging did not end")
+
+
+def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, leaves: int | None = LEAVES):
+    """(labels ``id_col, cluster``; linkage ``step, left, right, distance, size``).
+    The merge of step s makes cluster m + s of m leaves. Clusters are numbered by their
+    smallest leaf."""
     spark = df.sparkSession
-    leaf, m = _leaves(df, id_col, vec, max_leaves)
-    stats = (leaf.select("leaf", F.posexplode("v").alias("i", "x"))
-             .groupBy("leaf", "i").agg(F.sum("x").alias("s"))
-             .join(leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf")
-             .collect())  # <= max_leaves x d values
-    leaves = sorted({r["leaf"] for r in stats})
-    index = {lf: j for j, lf in enumerate(leaves)}
-    d = max(r["i"] for r in stats) + 1
-    sizes = np.zeros(len(leaves))
-    sums = np.zeros((len(leaves), d))
-    for r in stats:
-        j = index[r["leaf"]]
-        sizes[j] = r["n"]
-        sums[j, r["i"]] = r["s"]
-    link = ward_merge(sizes, sums)
-    assign = cut(link, len(leaves), n_clusters)
-    leaf_map = spark.createDataFrame([(int(lf), int(assign[index[lf]])) for lf in leaves],
-                                     "leaf long, cluster long")
-    labels = leaf.join(F.broadcast(leaf_map), "leaf").select(id_col, "cluster")
-    linkage = spark.createDataFrame(
-        [(i, int(a), int(b), float(dd), int(n)) for i, (a, b, dd, n) in enumerate(link)],
-        "step long, left long, right long, distance double, size long")
-    return labels, linkage
-
-
-_ = vector_to_array
+    leaf = materialize(_leaves(df, id_col, vec, leaves), "ward-leaves")
+    x = leaf.select("leaf", F.posexplode("v").alias("i", "x")).groupBy("leaf", "i").agg(F.avg("x").alias("x"))
+    centre = x.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    sizes = leaf.groupBy("leaf").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    clusters = materialize(sizes.join(centre, "leaf").select(F.col("leaf").alias("id"), "n", "c"), "ward-start")
+    m = clusters.count()
+    merges = _merges(clusters, m)
+    if merges is None:
+        merges = spark.createDataFrame([], "a long, b long, new long, distance double, size long")
+    steps = materialize(row_positions(merges, ["distance", "new"], "step"), "ward-steps")
+    names = steps.select(F.col("new").alias("id"), (F.col("step") + F.lit(m)).alias("name"))
+    named = steps
+    for side, out in (("a", "left"), ("b", "right")):
+        named = (named.join(names.select(F.col("id").alias(side), F.col("name").alias(out)), side, "left")
+                 .withColumn(out, F.coalesce(out, side)))
+    linkage = named.select("step", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"),
+                           "distance", "size")
+    # the last n_clusters - 1 merges undone
+    kept = steps.where(F.col("step") < F.lit(m - 1 - (n_clusters - 1)))
+    edges = kept.select(F.explode(F.array(F.struct("a", F.col("new").alias("b")), F.struct(F.col("b").alias("a"), F.col("new").alias("b"))))
+                        .alias("e")).select("e.a", "e.b")
+    nodes = leaf.select(F.col("leaf").alias("node")).distinct()
+    roots = connected_min_labels(nodes, edges)
+    numbers = dense_codes(roots, "label", "cluster")
+    label_of = roots.join(numbers, "label").select(F.col("node").alias("leaf"), "cluster")
+    return leaf.join(label_of, "leaf").select(id_col, "cluster"), linkage

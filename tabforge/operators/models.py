@@ -160,6 +160,7 @@ def svm_rbf(df: DataFrame, features: Sequence[str], label: str, n_components: in
     def prepare(frame: DataFrame) -> DataFrame:
         return frame.withColumn("features", array_to_vector(z))
 
+    prepare.gamma = gamma
     svc = LinearSVC(maxIter=max_iter, regParam=1.0 / max(df.count(), 1), standardization=False)
     return prepare, OneVsRest(classifier=svc, featuresCol="features", labelCol=label,
                               parallelism=parallelism)

@@ -72,6 +72,12 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
     return df.select(*[ex.get(c, _q(c)) for c in df.columns])
 
 
+def apply_standard(df: DataFrame, cols: Sequence[str], stats) -> DataFrame:
+    """T6 with statistics fitted before."""
+    ex = dict(zip(cols, standard_exprs(cols, stats)))
+    return df.select(*[ex.get(c, _q(c)) for c in df.columns])
+
+
 def quantile_edges(df: DataFrame, col: str, probs: Sequence[float] = BIN_PROBS) -> list[float]:
     """Inner bin edges = linear quantiles, duplicates removed (exact, distributed)."""
     edges = [e for e in exact_quantiles(df, col, probs) if e is not None]

@@ -376,7 +376,8 @@ def flagship_frame(spark, sf_dir):
     d = split.hash_split(d, "o_orderkey").transform(materialize)
     feats = ["date_year", "date_month", "date_day"]
     d = scale.standard_scale(d, feats, fit_on=d.where(~F.col("is_test")))
-    onehots = [c for c in d.columns if c.startswith("o_orderpriority_")]
+    # the first level is the base: with the intercept, all of them would be collinear
+    onehots = sorted(c for c in d.columns if c.startswith("o_orderpriority_"))[1:]
     return d, feats + onehots
 
 
@@ -581,7 +582,7 @@ def q_ward_clusters(spark, sf_dir):
 
 def q_ward_linkage(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    _, link = hierarchy.ward(e, "vec_id", "embedding", 2)
+    _, link = hierarchy.ward(e, "vec_id", "embedding", 2, leaves=None)
     return link
 
 

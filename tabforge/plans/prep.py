@@ -40,9 +40,50 @@ SALARY_NAME = "salary"
 
 @dataclass
 class Rule:
+    """A column's rule and its fitted state."""
     column: str
     kind: str                      # height|weight|date|label|split_onehot|onehot
-    values: list = field(default_factory=list)
+    values: list = field(default_factory=list)   # one-hot values (per part, when split)
+    codes: DataFrame | None = None               # label dictionary (value, code)
+    mean: float | None = None                    # for missing weights
+    dtype: str = "string"
+
+    def fit(self, d: DataFrame) -> None:
+        c = self.column
+        if self.kind == "weight":
+            self.mean = d.agg(F.avg(S.first_number(F.col(f"`{c}`")))).first()[0]
+        elif self.kind == "label":
+            self.codes = encode.fit_label_codes(clean.fill_unknown(d, [c]), c)
+        elif self.kind == "onehot":
+            self.values = encode.category_values(d, c)
+        elif self.kind == "split_onehot":
+            self.values = encode.split_values(d, c)
+
+    def features(self) -> tuple[list[str], bool]:
+        """Names of the resulting columns, and whether they are scaled."""
+        c = self.column
+        if self.kind == "date":
+            return [f"{c}_{p}" for p in ("year", "month", "day", "hour")], True
+        if self.kind == "onehot":
+            return [f"{c}_{v}" for v in self.values], False
+        if self.kind == "split_onehot":
+            return [f"{c}_part{i}_{v}" for i, part in enumerate(self.values) for v in part], False
+        return [c], True
+
+    def apply(self, d: DataFrame) -> DataFrame:
+        c, x = self.column, F.col(f"`{self.column}`")
+        if self.kind == "height":
+            return d.withColumn(c, S.height_cm(x))
+        if self.kind == "weight":
+            return d.withColumn(c, F.coalesce(S.first_number(x), F.lit(self.mean).cast("double")))
+        if self.kind == "date":
+            parts = S.date_parts(x, c, self.dtype)
+            return d.select(*[F.col(f"`{k}`") for k in d.columns if k != c], *parts)
+        if self.kind == "label":
+            return encode.apply_label_codes(clean.fill_unknown(d, [c]), c, self.codes)
+        if self.kind == "onehot":
+            return encode.one_hot(d, c, self.values)
+        return encode.split_one_hot(d, c, values=self.values)
 
 
 @dataclass
@@ -103,7 +144,7 @@ def preprocess(df: DataFrame, x: Sequence[str], y: str, key: str | None = None,
     types = dict(d.dtypes)
     text_x = [c for c in x if types[c] == "string"]
     time_x = [c for c in x if types[c] in ("date", "timestamp", "timestamp_ntz")]
-    rules = plan_rules(d, text_x) + [Rule(c, "date") for c in time_x]
+    rules = plan_rules(d, text_x) + [Rule(c, "date", dtype=types[c]) for c in time_x]
     features: list[str] = [c for c in x if c not in text_x and c not in time_x]
     scaled: list[str] = [c for c in features if profile.is_numeric(types[c])]
     if scaled:  # decimals and integers enter the models as doubles
@@ -111,31 +152,11 @@ def preprocess(df: DataFrame, x: Sequence[str], y: str, key: str | None = None,
     if types["y"].startswith("decimal"):
         d = d.withColumn("y", F.col("y").cast("double"))
     for rule in rules:
-        c = rule.column
-        if rule.kind == "height":
-            d = d.withColumn(c, S.height_cm(F.col(f"`{c}`")))
-            features.append(c), scaled.append(c)
-        elif rule.kind == "weight":
-            d = clean.impute_mean(d.withColumn(c, S.first_number(F.col(f"`{c}`"))), c)
-            features.append(c), scaled.append(c)
-        elif rule.kind == "date":
-            parts = S.date_parts(F.col(f"`{c}`"), c, types[c])
-            d = d.select(*[F.col(f"`{k}`") for k in d.columns if k != c], *parts)
-            names = [f"{c}_year", f"{c}_month", f"{c}_day", f"{c}_hour"]
-            features += names
-            scaled += names
-        elif rule.kind == "label":
-            d = encode.label_encode(clean.fill_unknown(d, [c]), c)
-            features.append(c), scaled.append(c)
-        elif rule.kind == "onehot":
-            vals = encode.category_values(d, c)
-            rule.values = vals
-            d = encode.one_hot(d, c, vals)
-            features += [f"{c}_{v}" for v in vals]
-        elif rule.kind == "split_onehot":
-            before = set(d.columns)
-            d = encode.split_one_hot(d, c)
-            features += [k for k in d.columns if k not in before]
+        rule.fit(d)
+        d = rule.apply(d)
+        names, is_scaled = rule.features()
+        features += names
+        scaled += names if is_scaled else []
     d = clean.drop_incomplete(d)
     # the encoded table is read by the target transform, the scaler statistics,
     # every pass of a fit and the scoring: write it once to the shared folder

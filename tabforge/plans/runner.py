@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +45,10 @@ def is_continuous(df: DataFrame, y: str = "y") -> bool:
 
 
 def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
-              scaler_fit_on: str = "train", degree: int = 3) -> RunResult:
+              scaler_fit_on: str = "train", degree: int = 3, ward_leaves: int | None = None) -> RunResult:
     """``degree`` is the polynomial regression's (the same at every table size).
+    ``ward_leaves`` None merges every row (n * n distances); large tables pass a number of
+    k-means leaves to merge instead.
     ``scaler_fit_on="all"`` reproduces the reference, which fits the scalers on
     every row before splitting (T12); the default fits them on train rows only."""
     if scaler_fit_on not in ("train", "all"):
@@ -64,14 +65,15 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
     key, feats = prep.key, prep.features
     if mt in models.CLUSTERING:
         std = scale.standard_scale(data, prep.scaled)
-        res = _cluster(std, mt, key, feats)
+        res = _cluster(std, mt, key, feats, ward_leaves)
         return RunResult(model_type, res[0], res[1], res[2], time.time() - t0, "ok", cont, {})
     data = split.hash_split(data, key)
     train_raw = data.where(~F.col("is_test"))
-    std = scale.standard_scale(data, prep.scaled, fit_on=train_raw if scaler_fit_on == "train" else None)
+    scaler = scale.scaler_stats(train_raw if scaler_fit_on == "train" else data, prep.scaled)
+    std = scale.apply_standard(data, prep.scaled, scaler)
     std = models.assemble(std, feats).withColumn("label", F.col("y").cast("double"))
     train = std.where(~F.col("is_test"))
-    extra: dict = {}
+    extra: dict = {"scaler": scaler}
     if mt == "knn":
         pred, model = _knn(std, key, feats, cont, k_neighbors)
     else:
@@ -79,6 +81,7 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
         fit_in = prepare(train) if prepare else train
         model = est.fit(fit_in)
         out = model.transform(prepare(std) if prepare else std)
+        extra["gamma"] = getattr(prepare, "gamma", None)
         cols = [key, *feats, "is_test", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")]
         if "probability" in out.columns:
             out = models.probabilities(out)
@@ -119,6 +122,7 @@ def _estimator(mt: str, train: DataFrame, cont: bool, feats, degree: int):
         def prep(frame: DataFrame) -> DataFrame:
             f = frame.withColumn("_x", F.array(*[F.col(f"`{c}`").cast("double") for c in feats]))
             return prepare(f.drop("features"))
+        prep.gamma = prepare.gamma
         return ovr, prep
     raise ValueError(mt)
 
@@ -137,7 +141,7 @@ def _knn(std: DataFrame, key: str, feats, cont: bool, k: int):
     return pred, None
 
 
-def _cluster(std: DataFrame, mt: str, key: str, feats):
+def _cluster(std: DataFrame, mt: str, key: str, feats, ward_leaves: int | None):
     vec = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
     base = std.select(key, *feats, vec.alias("_v"))
     if mt == "dbscan":
@@ -148,13 +152,8 @@ def _cluster(std: DataFrame, mt: str, key: str, feats):
         model = models.kmeans(8).fit(fe)
         lab = model.transform(fe).select(key, F.col("cluster").cast("long"))
     else:
-        lab, link = hierarchy.ward(base, key, "_v", 2)
+        lab, link = hierarchy.ward(base, key, "_v", 2, ward_leaves)
         model = link
     pred = base.drop("_v").join(lab.select(key, "cluster"), key)
     return model, pred, profile.cluster_counts(pred, "cluster")
 
-
-def pipeline_for(prep: PrepResult, estimator) -> Pipeline:
-    """S6 helper: a Pipeline of assembler + estimator to save with the model."""
-    from pyspark.ml.feature import VectorAssembler
-    return Pipeline(stages=[VectorAssembler(inputCols=prep.features, outputCol="features"), estimator])

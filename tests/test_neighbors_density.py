@@ -122,3 +122,25 @@ def test_dbscan_high_dim_fallback(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pts)], "id long, v array<double>")
     got = {r.id: r.cluster for r in density.dbscan(df, "id", "v", eps=0.5, min_samples=5).collect()}
     assert [got[i] for i in range(len(pts))] == _brute_dbscan(pts, 0.5, 5)
+
+
+def test_ward_rounds_equal_one_merge_at_a_time(spark, monkeypatch):
+    """Blocks of 16 force several distributed rounds before the last task."""
+    rng = np.random.default_rng(8)
+    pts = rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(i, [float(x) for x in pts[i]]) for i in range(90)], "id long, v array<double>")
+    size, cent, want = np.ones(90), pts.copy(), []
+    live = list(range(90))
+    while len(live) > 1:
+        d, a, b = min((np.sqrt(2 * size[a] * size[b] / (size[a] + size[b])) * np.linalg.norm(cent[a] - cent[b]), a, b)
+                      for i, a in enumerate(live) for b in live[i + 1:])
+        cent[a], size[a] = (cent[a] * size[a] + cent[b] * size[b]) / (size[a] + size[b]), size[a] + size[b]
+        live.remove(b)
+        want.append(d)
+    monkeypatch.setattr(hierarchy, "BLOCK", 16)
+    labels, link = hierarchy.ward(df, "id", "v", 3, leaves=None)
+    rows = sorted(link.collect())
+    assert [r.step for r in rows] == list(range(89)) and rows[-1]["size"] == 90
+    assert np.allclose([r.distance for r in rows], want)
+    assert sorted(x for r in rows for x in (r.left, r.right)) == list(range(90 + 88))
+    assert len({r.cluster for r in labels.collect()}) == 3 and labels.count() == 90
