@@ -29,6 +29,7 @@ from tabforge.session import materialize
 
 MAX_ROUNDS = 30
 ROWS_PER_RING, MAX_RINGS = 2048, 65536  # a ring is the pilot round's candidate block
+SALT_ROWS = 8192  # training rows of a ring in one task
 _DEBUG = bool(os.environ.get("TABFORGE_DEBUG"))
 
 
@@ -87,10 +88,14 @@ def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str
     # Few rings would mean few join keys and idle cores (and one hot ring would
     # be one hot task): training rows also get a salt, queries are replicated
     # over the salts, so every pair is still formed exactly once.
+    # Rings have equal widths, and distances to one point concentrate: the number of
+    # salts follows each ring's measured size (at most MAX_RINGS rows are broadcast).
     par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, math.ceil(4 * par / n_rings))
-    t = t.withColumn("ring", ring_of(F.col("t_r"))).withColumn(
-        "salt", F.pmod(F.xxhash64("t_id"), F.lit(salts)))
+    least = max(1, math.ceil(4 * par / n_rings))
+    t = t.withColumn("ring", ring_of(F.col("t_r")))
+    salts = materialize(t.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).select(
+        "ring", F.greatest(F.lit(least), F.ceil(F.col("n") / F.lit(SALT_ROWS))).cast("long").alias("salts")))
+    t = (t.join(F.broadcast(salts), "ring").withColumn("salt", F.pmod(F.xxhash64("t_id"), F.col("salts"))).drop("salts"))
 
     q = query.select(F.col(id_col).alias("q_id"), F.col(vec).cast("array<double>").alias("q_vec"))
     q = q.withColumn("q_r", F.sqrt(_sqdist(F.col("q_vec"), c)))
@@ -108,7 +113,8 @@ def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str
             q = q.withColumn("r_lo", F.lit(0).cast("long")).withColumn("r_hi", F.lit(n_rings - 1).cast("long")) \
                  .withColumn("radius", F.lit(float("inf")))
         qe = (q.withColumn("ring", F.explode(F.sequence("r_lo", "r_hi")))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+              .join(F.broadcast(salts), "ring")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts"))
         cand = (qe.join(t, ["ring", "salt"])
                 .where(F.abs(F.col("t_r") - F.col("q_r")) <= F.col("radius") + F.lit(width) * 2)
                 .select("q_id", "radius", "t_id", "t_label",
@@ -179,5 +185,3 @@ def k_max_for(n: int, cap: int = 30) -> int:
     """range(1, min(cap + 1, n // 2)) -> largest k."""
     return max(0, min(cap + 1, n // 2) - 1)
 
-
-_ = math

@@ -79,6 +79,21 @@ def _settable(spark: SparkSession) -> bool:
         return False
 
 
+#: Paths that ``materialize`` has written in this process.
+_WRITTEN: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` has written so far and returns their number.
+    For the owner of the session, once the results that read them have been consumed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def materialize(df, name: str = "t"):
     """Cut lineage: write ``df`` once as parquet under the shared checkpoint folder
     and read it back. One job (a reliable RDD checkpoint of an unpersisted
@@ -88,4 +103,5 @@ def materialize(df, name: str = "t"):
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)

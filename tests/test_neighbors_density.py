@@ -144,3 +144,17 @@ def test_ward_rounds_equal_one_merge_at_a_time(spark, monkeypatch):
     assert np.allclose([r.distance for r in rows], want)
     assert sorted(x for r in rows for x in (r.left, r.right)) == list(range(90 + 88))
     assert len({r.cluster for r in labels.collect()}) == 3 and labels.count() == 90
+
+
+def test_knn_with_one_crowded_ring(spark, monkeypatch):
+    """Many rings, a third of the rows in one of them, and fewer rows per salt than that."""
+    monkeypatch.setattr(neighbors, "SALT_ROWS", 10)
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.normal(size=(100, 3)) * 5, np.ones((60, 3)) + rng.normal(size=(60, 3)) * 1e-3])
+    rows = [(i, [float(x) for x in p], i % 2) for i, p in enumerate(pts)]
+    t = spark.createDataFrame(rows, "id long, vec array<double>, label long")
+    got = {}
+    for r in neighbors.knn(t, t.select("id", "vec"), 4, rings=64).collect():
+        got.setdefault(r.q_id, []).append((r["rank"], r.t_id))
+    want = _brute_knn([(i, v, y) for i, v, y in rows], [(i, v) for i, v, _ in rows], 4)
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i, _ in v] for q, v in want.items()}
