@@ -7,13 +7,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabforge.functions.scalar import residual
+from tabforge.operators.models import kmeans
 from tabforge.operators.ordinal import row_positions
+from tabforge.session import materialize
 
 GRID_STEP, GRID_MARGIN = 0.1, 1.0  # fixed values: decision-boundary grid
 
@@ -129,9 +129,11 @@ def tree_nodes(spark: SparkSession, model, path: str) -> DataFrame:
 def elbow_curve(df: DataFrame, features: str = "features", k_max: int | None = None,
                 seed: int = 42) -> DataFrame:
     """Inertia for k = 1..min(10, n/2 - 1). k = 1 is ``n * var_pop`` summed
-    over dimensions (Spark rejects k = 1); k >= 2 fits k-means with seed 42."""
+    over dimensions (Spark rejects k = 1); k >= 2 is the k-means model's own inertia.
+    The input is written once for all fits."""
     from pyspark.ml.functions import vector_to_array
     spark = df.sparkSession
+    df = materialize(df.select(features), "elbow")
     n = df.count()
     k_max = k_max if k_max is not None else min(11, n // 2) - 1
     arr = df.select(vector_to_array(features).alias("v"))
@@ -140,9 +142,7 @@ def elbow_curve(df: DataFrame, features: str = "features", k_max: int | None = N
         *[(F.var_pop(f"x{i}") * F.count(F.lit(1))).alias(f"s{i}") for i in range(d)]).first()
     rows = [(1, float(sum(k1)))] if k_max >= 1 else []
     for k in range(2, k_max + 1):
-        m = KMeans(k=k, seed=seed, featuresCol=features).fit(df)
+        m = kmeans(k, features).setSeed(seed).fit(df)
         rows.append((k, float(m.summary.trainingCost)))
     return spark.createDataFrame(rows, "k int, inertia double")
 
-
-_ = np

@@ -283,10 +283,8 @@ QUERIES = {
 # =================================================================================
 import uuid  # noqa: E402
 
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from tabforge.operators import chartdata, density, hierarchy, metrics, models, neighbors  # noqa: E402
-from tabforge.operators import ordinal  # noqa: E402
 from tabforge.session import materialize, scratch_path  # noqa: E402
 
 
@@ -682,5 +680,3 @@ QUERIES.update({
     "pca_ratio": q_pca_ratio,
     "csv_roundtrip": q_csv_roundtrip,
 })
-
-_ = (vector_to_array, ordinal)
