@@ -40,7 +40,7 @@ WINDOW, END_ID = 2048, 1
 #: Most rows of the placement plan that are broadcast; a larger plan is joined by range.
 MAX_PLAN_ROWS = 500_000
 #: Words a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 700_000
 PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe: 's, 't ... are tokens
 
 
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars < 4_000_000):
+                while upto < len(texts) and (upto == at or chars < 1_500_000):
                     chars += len(texts[upto] or "")
                     upto += 1
                 rows: list[tuple] = []
