@@ -4,18 +4,19 @@ Two documents link when ``100 * |intersection| >= 75 * |union|`` of their sets o
 shingles. All shingles have one common order, rare first. If two documents link, their
 prefixes - the first ``n - ceil(0.75 n) + 1`` shingles of each - share a shingle, so
 candidates come from a join on prefix shingles alone. Candidates pass the length filter and
-the positional filter (what can still be shared after this position), each pair is verified
-once: a suffix filter bounds the intersection by halving the hash range, then the sets are
-intersected exactly.
+the positional filter (what can still be shared after this position). The suffix filter
+bounds a pair's intersection by the sum, over equal parts of the hash range, of the smaller
+of the two counts; a document's counts are a few bytes per hundred of its set, so pairs that
+cannot link are dropped before any set is moved. What is left is verified once, exactly.
 
 The order: a counting sketch of SLOTS counters over the shingles of ALL documents estimates
 how frequent a shingle is; frequent classes come last, hash order breaks ties. Any common
 order gives the same links, so the estimate touches speed only.
 
 Groups of copies cost linear work. Documents with equal sets share one key, and one task
-emits a key once. Inside a bucket (documents sharing a prefix shingle) the first round
-compares each document with the bucket's shortest and with its neighbour in length. Links
-found there join documents into components; the second round compares exactly those pairs
+emits a key once. Inside a bucket (documents sharing a prefix shingle) each document meets
+the bucket's shortest and its neighbour in length; over all its buckets, the first round
+compares it with the FIRST_PARTNERS it met most often. Links found there join documents into components; the second round compares exactly those pairs
 of the bucket whose documents are not yet in one component: members outside the bucket's
 main component against all. Every pair that passes the filters is thus either verified or
 already connected, so components are those of all links. A frequent shingle's bucket is
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import free_names
@@ -49,6 +50,7 @@ from tabforge.session import materialize
 PERCENT = 75
 SLOTS, BLOCKS, SALTS = 1 << 18, 16, 1024
 SALT_ROWS = 20_000
+FIRST_PARTNERS = 2
 NEED_BITS = 1 << 24
 
 
@@ -76,22 +78,33 @@ def may_link_sql(a: str, b: str, percent: int = PERCENT) -> Column:
         f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= ({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
 
 
-def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
-    """Upper bound of the intersection: halve the larger set's range at its middle value;
-    each half shares at most its smaller part."""
-    if depth == 0 or len(a) < 16 or len(b) < 16:
-        return min(len(a), len(b))
-    if len(a) < len(b):
-        a, b = b, a
-    mid = len(a) // 2
-    at = int(np.searchsorted(b, a[mid]))
-    return suffix_bound(a[:mid], b[:at], depth - 1) + suffix_bound(a[mid:], b[at:], depth - 1)
+def part_counts(s: np.ndarray) -> bytes:
+    """Shingles in each of 2^b equal parts of the hash range (2 to 4 a part on average),
+    one byte each; 255 stands for 255 or more."""
+    b = max(0, (len(s) - 1).bit_length() - 2)
+    if b == 0:
+        return bytes([min(len(s), 255)])
+    counts = np.bincount((s >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def suffix_bound(a: bytes, b: bytes) -> int | None:
+    """Upper bound of the intersection from two documents' part counts (the finer one is
+    summed up to the coarser); None if a part is too full to tell."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if (len(x) and x.max() == 255) or (len(y) and y.max() == 255):
+        return None
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.minimum(x, y).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Do two sorted sets link?"""
     need = required(len(a), len(b), percent)
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or suffix_bound(a, b, 3) < need:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     if len(a) > len(b):
         a, b = b, a
@@ -120,10 +133,13 @@ def _profile(src: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
-            keys, sizes, slots, held = [], [], [], 0
+            keys, ids, parts, sizes, slots, held = [], [], [], [], [], 0
             for s in shingle_sets(pdf["text"].tolist()):
                 sizes.append(len(s))
-                keys.append(set_key(s).hex() if len(s) else None)
+                key = set_key(s) if len(s) else None
+                keys.append(key.hex() if key else None)
+                ids.append(short_id(key) if key else None)
+                parts.append(part_counts(s) if key else None)
                 slots.append(slot_of(s))
                 held += len(s)
                 if held > 1_000_000:
@@ -131,12 +147,13 @@ def _profile(src: DataFrame) -> DataFrame:
                     slots, held = [], 0
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "set_key": keys, "n": sizes, "block": None, "counts": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "set_key": keys, "id": pd.array(ids, dtype="Int64"), "n": sizes,
+                                "parts": parts, "block": None, "counts": None})
         size = SLOTS // BLOCKS
-        yield pd.DataFrame({"doc_id": pd.Series([None] * BLOCKS), "set_key": None, "n": None, "block": range(BLOCKS),
+        yield pd.DataFrame({"doc_id": pd.Series([None] * BLOCKS), "set_key": None, "id": None, "n": None, "parts": None, "block": range(BLOCKS),
                             "counts": [counts[i * size:(i + 1) * size].tobytes() for i in range(BLOCKS)]})
 
-    return src.mapInPandas(run, f"doc_id {kind}, set_key string, n long, block int, counts binary")
+    return src.mapInPandas(run, f"doc_id {kind}, set_key string, id long, n long, parts binary, block int, counts binary")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -241,6 +258,15 @@ def _live(prefixes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "h long, salts int, id long, n int, pos int, first boolean, hub long, prev long")
 
 
+def _first_round(live: DataFrame) -> DataFrame:
+    """(a, b): each document with the partners it shares most buckets with. (Which pairs go
+    first is a matter of speed: the second round compares whatever is not connected then.)"""
+    met = (live.select(F.col("id").alias("a"), F.explode(F.array("hub", "prev")).alias("b")).where("b IS NOT NULL")
+           .groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
+    return met.withColumn("r", rank).where(F.col("r") <= FIRST_PARTNERS).select("a", "b")
+
+
 def _pairs(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -249,6 +275,21 @@ def _pairs(*frames: DataFrame) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _screened(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs that pass the suffix filter."""
+    @F.pandas_udf("boolean")
+    def check(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+        out = []
+        for x, n1, y, n2 in zip(a, na, b, nb):
+            bound = suffix_bound(x, y)
+            out.append(bound is None or bound >= required(n1, n2, percent))
+        return pd.Series(out, dtype=bool)
+
+    one = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    two = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    return pairs.join(one, "a").join(two, "b").where(check("pa", "na", "pb", "nb")).select("a", "b").distinct()
+
+
 # ---- pass 3: verification -----------------------------------------------------------------------
 def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (key_a, id_a, key_b, id_b) among candidate pairs (a, b) of short ids."""
@@ -296,16 +337,35 @@ def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             .select("key_a", F.col("a").alias("id_a"), "key_b", F.col("b").alias("id_b")))
 
 
-def _short_labels(links: DataFrame) -> DataFrame:
-    """(id, label) of the documents in a link, by connected component."""
-    edges = links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of edges (a, b), by connected component."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_min_labels(nodes, edges).select(F.col("node").alias("id"), "label")
+    return connected_min_labels(nodes, edges)
+
+
+def _key_edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
+def _more_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: components of the components."""
+    edges = _key_edges(links)
+    for side in ("a", "b"):
+        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        edges = edges.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    edges = materialize(edges.select("a", "b", "la", "lb"), "ngram-edges2")
+    over = _labels(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(
+        F.col("node").alias("label"), F.col("label").alias("top"))
+    new = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")),
+                                         F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("x")).select("x.*")
+    return (labels.select("node", "label").unionByName(new).distinct().join(over, "label", "left")
+            .select("node", F.coalesce("top", "label").alias("label")))
 
 
 def _second_round(live: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of one bucket whose documents are in different components."""
-    rows = live.select("h", "id", "n", "pos").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rows = (live.select("h", "id", "n", "pos").join(labels, "id", "left")
+            .withColumn("label", F.coalesce("label", F.col("id").cast("string"))))
     per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
     main = (per.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
             .where("labels > 1").select("h", F.col("m.label").alias("main")))
@@ -332,21 +392,27 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     hubs = salted.groupBy("h").agg(F.min(F.struct("n", "id", "pos")).alias("top"))
     across = (salted.alias("s").join(hubs.select("h", "top.*").alias("t"), F.col("s.h") == F.col("t.h"))
               .where(may_link_sql("s", "t", percent)).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")))
-    first = materialize(_pairs(live.where("hub IS NOT NULL").select(F.col("id").alias("a"), F.col("hub").alias("b")),
-                               live.where("prev IS NOT NULL").select(F.col("id").alias("a"), F.col("prev").alias("b")),
-                               across), "ngram-pairs")
-    links = materialize(_verified(src, first, percent), "ngram-links")
-    labels = materialize(_short_labels(links), "ngram-labels")
-    second = _pairs(_second_round(live, labels, percent)).join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "ngram-pairs2")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = materialize(profile.where("set_key IS NOT NULL").select("id", "set_key", "n", "parts").repartition(parts, "id")
+                           .dropDuplicates(["id", "set_key"]).select("id", "n", "parts"), "ngram-suffixes")
+    first = materialize(_pairs(_first_round(live), across), "ngram-pairs")
+    links = materialize(_verified(src, materialize(_screened(first, suffixes, percent), "ngram-screened"), percent), "ngram-links")
+    labels = materialize(_labels(_key_edges(links)), "ngram-labels")
+    known = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("key_a").alias("node")),
+                                           F.struct(F.col("id_b").alias("id"), F.col("key_b").alias("node")))).alias("x"))
+    short = known.select("x.*").distinct().join(labels, "node").select("id", "label").dropDuplicates(["id"])
+    second = _pairs(_second_round(live, short, percent)).join(first, ["a", "b"], "left_anti")
+    second = materialize(_screened(second, suffixes, percent), "ngram-pairs2")
     if not second.isEmpty():
-        links = links.unionByName(materialize(_verified(src, second, percent), "ngram-links2"))
+        more = materialize(_verified(src, second, percent), "ngram-links2")
+        links = links.unionByName(more)
+        if not more.isEmpty():
+            labels = materialize(_more_labels(labels, more), "ngram-labels2")
 
     sets = profile.where("block IS NULL")
-    edges = links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    degree = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = connected_min_labels(degree.select("node"), edges).join(degree, "node").withColumnRenamed("node", "set_key")
+    degree = (_key_edges(links).select(F.explode(F.array("a", "b")).alias("node"))
+              .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
+    named = labels.join(degree, "node").withColumnRenamed("node", "set_key")
     keys = (sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
             .join(named, "set_key", "left").withColumn("root", F.coalesce("label", "set_key")))
     keys = materialize(keys, "ngram-keys")
