@@ -40,7 +40,7 @@ WINDOW, END_ID = 2048, 1
 #: Most rows of the placement plan that are broadcast; a larger plan is joined by range.
 MAX_PLAN_ROWS = 500_000
 #: Words a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe: 's, 't ... are tokens
 
 
@@ -126,12 +126,14 @@ class WordTokenizer:
 
 
 def tokenizer_in_worker(path: str) -> WordTokenizer:
-    """One tokenizer and word cache per worker process, kept between its tasks."""
+    """One tokenizer per worker process. Its word cache starts empty with every task and is
+    given back at the end, so that idle workers hold no memory."""
     kept = sys.modules.setdefault("_word_tokenizers", types.ModuleType("_word_tokenizers"))
     if not hasattr(kept, "by_path"):
         kept.by_path = {}
     if path not in kept.by_path:
         kept.by_path[path] = WordTokenizer(path)
+    kept.by_path[path].cache = {}
     return kept.by_path[path]
 
 
@@ -167,6 +169,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                 out.insert(0, "doc_id", keys[who])
                 yield out
                 at = upto
+        tok.cache = {}
 
     return src.mapInPandas(run, schema)
 

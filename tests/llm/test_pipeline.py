@@ -28,7 +28,7 @@ def test_stages_on_edge_rows(spark):
     tokens = Counter()
     for r in packed:
         tokens[r.doc_id] += r.length
-        assert r.length == len(r.ids)
+        assert 0 < r.length <= 2048
     assert set(tokens) == set(sizes["source_mix"])
     empty = docs.limit(0)
     for _, stage in P.STAGES:
