@@ -10,11 +10,16 @@ their estimated success: the sum of squared distances from the query's projectio
 walls crossed. Inside a visited bucket all vectors are scored by the original measure and
 the best k kept; the tables' candidates merge by a top-k per query.
 
+Perturbations are made per query in success order, best first, as many as are asked for: no
+list of them is kept, and a coordinate may move as far as the sample's cells lie apart.
+
 K grows with the logarithm of the table (a bucket keeps about BUCKET vectors), w is the
 spread of the projections, and the number of probes is fitted: on a fixed-size sample
 (SAMPLE vectors, SAMPLE_QUERIES queries, documented bound) the smallest number reaching
-TARGET recall is taken. Every vector is indexed and every query answered; a query that
-finds fewer than k candidates is answered exactly, against all rows in blocks.
+TARGET recall is taken. If PROBES of them do not reach it, K is lowered until they do (fewer
+and larger buckets); if no K does, every query is answered exactly. Every vector is indexed
+and every query answered; a query that finds fewer than k candidates is answered exactly,
+against all rows in blocks.
 
 A query starts from the k best of a fixed sample (PILOT vectors, scored where the query
 lies); the k-th of them bounds what a bucket may still add, so buckets emit only rows that
@@ -34,7 +39,6 @@ empty result; a NULL vec_id takes no part.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -48,7 +52,8 @@ from tabforge.session import materialize
 TABLES, BUCKET, BLOCK = 4, 1024, 4096
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 256, 0.96
 PILOT = 16_384
-MAX_PERTURBATIONS = 2048
+#: Probes a table at most before K is lowered, and query copies a batch of visits holds.
+PROBES, VISITS = 4096, 1 << 16
 
 
 def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -71,18 +76,7 @@ class Tables:
         self.b = rng.uniform(0, w, size=(tables, k))
         self.w, self.top_norm, self.k, self.tables = w, top_norm, k, tables
         self.mult = rng.integers(1, 2 ** 40, size=k) * 2 + 1
-        reach = 2 if k <= 4 else 1
-        some = [(0,) * k]
-        for changed in range(1, k + 1):
-            if len(some) >= MAX_PERTURBATIONS:
-                break
-            for dims in itertools.combinations(range(k), changed):
-                for delta in itertools.product([d for d in range(-reach, reach + 1) if d], repeat=changed):
-                    p = [0] * k
-                    for d, x in zip(dims, delta):
-                        p[d] = x
-                    some.append(tuple(p))
-        self.perturb = np.array(some[:MAX_PERTURBATIONS], dtype=np.int64)
+        self.reach = 2
 
     def augment(self, x: np.ndarray, query: bool) -> np.ndarray:
         last = np.zeros(len(x)) if query else np.sqrt(np.clip(self.top_norm ** 2 - (x * x).sum(axis=1), 0, None))
@@ -99,13 +93,27 @@ class Tables:
             return (cells * self.mult).sum(axis=-1)
 
     def probes(self, x: np.ndarray, table: int, many: int) -> np.ndarray:
-        """[query, probe] buckets in estimated success order."""
+        """[query, probe] buckets in estimated success order: the ``many`` cheapest sums of
+        one move a coordinate, or all there are."""
         cells, frac = self.cells(x, table, True)
-        p = self.perturb
-        wall = np.where(p[None] > 0, p[None] - frac[:, None], np.where(p[None] < 0, frac[:, None] - p[None] - 1, 0))
-        cost = (wall ** 2).sum(axis=2)
-        order = np.argsort(cost, axis=1, kind="stable")[:, :many]
-        return self.bucket(cells[:, None, :] + p[order])
+        n = len(x)
+        move = np.arange(-self.reach, self.reach + 1)
+        cost, moved = np.zeros((n, 1)), np.zeros((n, 1, 0), dtype=np.int64)
+        for d in range(self.k):
+            f = frac[:, d, None]
+            wall = np.where(move > 0, move - f, np.where(move < 0, f - move - 1, 0)) ** 2
+            by = np.argsort(wall, axis=1, kind="stable")
+            wall = np.take_along_axis(wall, by, axis=1)
+            # the i-th sum with the j-th move has i * j sums at least as cheap before it
+            i, j = np.indices((cost.shape[1], len(move))).reshape(2, -1)
+            some = (i + 1) * (j + 1) <= many
+            i, j = i[some], j[some]
+            total = cost[:, i] + wall[:, j]
+            order = np.argsort(total, axis=1, kind="stable")[:, :many]
+            cost = np.take_along_axis(total, order, axis=1)
+            before = np.take_along_axis(moved, i[order][:, :, None], axis=1)
+            moved = np.concatenate([before, move[np.take_along_axis(by, j[order], axis=1)][:, :, None]], axis=2)
+        return self.bucket(cells[:, None, :] + moved)
 
 
 def top_k(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int,
@@ -153,32 +161,54 @@ def _score_blocks(index: DataFrame, queries: DataFrame, keys: list[str], k: int)
     return queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(run, FOUND)
 
 
+def _needed(t: Tables, x: np.ndarray, q: np.ndarray, truth: np.ndarray) -> int:
+    """The smallest number of probes that meets TARGET of the ``truth`` rows; 0 if PROBES do not."""
+    cells = [t.cells(x, table, False)[0] for table in range(t.tables)]
+    t.reach = max(2, *(int(np.abs(c[truth] - t.cells(q, table, True)[0][:, None, :]).max()) for table, c in enumerate(cells)))
+    many = min(64, PROBES)
+    while True:
+        found_at = np.full(truth.shape, PROBES + 1)
+        for table, c in enumerate(cells):
+            b = t.bucket(c)
+            for at in range(0, len(q), 16):
+                visits = t.probes(q[at:at + 16], table, many)
+                hit = visits[:, None, :] == b[truth[at:at + 16]][:, :, None]
+                found_at[at:at + 16] = np.minimum(found_at[at:at + 16], np.where(hit.any(axis=2), hit.argmax(axis=2) + 1, PROBES + 1))
+        need = np.sort(found_at.ravel())
+        probes = int(need[math.ceil(TARGET * len(need)) - 1])
+        if probes <= PROBES:
+            return probes
+        if many >= min(PROBES, (2 * t.reach + 1) ** t.k):
+            return 0
+        many = min(PROBES, many * 4)
+
+
 def fit(vectors: DataFrame, n: int, top_norm: float, k: int) -> tuple[Tables, int]:
     """Hash tables and number of probes, from the SAMPLE vectors of smallest hash. In a
-    sample of m of n rows the nearest k * m / n stand for a query's k nearest of n."""
+    sample of m of n rows the nearest k * m / n stand for a query's k nearest of n. No
+    probes: TARGET is out of reach, answer exactly."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    x = np.array([r["v"] for r in rows])
+    return fit_sample(np.array([r["v"] for r in rows]), n, top_norm, k)
+
+
+def fit_sample(x: np.ndarray, n: int, top_norm: float, k: int) -> tuple[Tables, int]:
     m = len(x)
     functions = max(1, round(math.log2(max(2.0, n / BUCKET)) / 2))
     rng = np.random.default_rng(3)
     w = float(np.std(x @ rng.normal(size=(x.shape[1], 64)))) or 1.0
-    t = Tables(x.shape[1], TABLES, functions, w, top_norm)
     q = x[:SAMPLE_QUERIES]
     s = q @ x.T
     s[np.arange(len(q)), np.arange(len(q))] = -np.inf
     near = min(m - 1, max(1, round(k * m / n)))
     if near < 1:
-        return t, 1
+        return Tables(x.shape[1], TABLES, functions, w, top_norm), 1
     truth = np.argsort(-s, axis=1)[:, :near]
-    found_at = np.full((len(q), near), len(t.perturb) + 1)
-    for table in range(TABLES):
-        b = t.bucket(t.cells(x, table, False)[0])
-        visits = t.probes(q, table, len(t.perturb))
-        hit = visits[:, None, :] == b[truth][:, :, None]
-        found_at = np.minimum(found_at, np.where(hit.any(axis=2), hit.argmax(axis=2) + 1, len(t.perturb) + 1))
-    need = np.sort(found_at.ravel())
-    probes = int(need[min(len(need) - 1, math.ceil(TARGET * len(need)) - 1)])
-    return t, min(probes, len(t.perturb))
+    for fewer in range(functions, 0, -1):
+        t = Tables(x.shape[1], TABLES, fewer, w, top_norm)
+        probes = _needed(t, x, q, truth)
+        if probes:
+            break
+    return t, probes
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -217,12 +247,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
 
     def hash_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                some = pdf.iloc[at:at + 1024]
+            step = max(1, VISITS // max(1, probes))
+            for at in range(0, len(pdf), step):
+                some = pdf.iloc[at:at + step]
                 v = np.stack(some["v"].to_numpy())
                 low = bounds(some["vec_id"].to_numpy(), v)
                 for t in range(tables.tables):
-                    b = tables.probes(v, t, probes)
+                    b = tables.probes(v, t, max(1, probes))
                     who = np.repeat(np.arange(len(some)), b.shape[1])
                     yield pd.DataFrame({"t": t, "bucket": b.ravel(), "vec_id": some["vec_id"].to_numpy()[who],
                                         "v": some["v"].to_numpy()[who], "bound": low[who]}
@@ -237,7 +268,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     # queries that found too few: exact, in blocks of all rows
     ids = x.select("vec_id").distinct().count()
     want = min(k, ids - 1)
-    enough = found.groupBy("query_id").count().where(F.col("count") >= want).select("query_id")
+    enough = found.groupBy("query_id").count().where((F.col("count") >= want) & F.lit(probes > 0)).select("query_id")
     short = queries.join(enough, queries["vec_id"] == enough["query_id"], "left_anti")
     short = materialize(short.select("vec_id", "v"), "ann-short")
     if want > 0 and short.count():

@@ -63,6 +63,43 @@ def test_hot_buckets_in_blocks_and_exact_rest(spark, monkeypatch):
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_fit_reaches_target_on_large_tables(spark, monkeypatch):
+    """Hash functions of a table of 58 million rows, on random unit vectors."""
+    monkeypatch.setattr(ann, "SAMPLE", 1500)
+    monkeypatch.setattr(ann, "SAMPLE_QUERIES", 48)
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    t, probes = ann.fit(df, 58_000_000, 1.0, 20)
+    rows = df.orderBy(F.xxhash64("vec_id"), "vec_id").collect()
+    x = np.array([r["v"] for r in rows])
+    s = x[:48] @ x.T
+    s[np.arange(48), np.arange(48)] = -np.inf
+    best = s.argmax(axis=1)
+    met = [any(t.bucket(t.cells(x[[b]], n, False)[0])[0] in t.probes(x[[i]], n, probes)[0] for n in range(t.tables))
+           for i, b in enumerate(best)]
+    assert probes and np.mean(met) >= ann.TARGET
+
+
+def test_probes_in_success_order_without_a_cap():
+    t = ann.Tables(8, 2, 7, 1.0, 3.0)
+    x = np.random.default_rng(0).normal(size=(3, 8))
+    got = t.probes(x, 1, 5 ** 7)
+    assert got.shape == (3, 5 ** 7) and all(len(set(g)) == 5 ** 7 for g in got)
+    assert (t.probes(x, 1, 100) == got[:, :100]).all()
+
+
+def test_exact_when_no_fit_reaches_target(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "TABLES", 1)
+    rows, df = _vectors(spark, n=300, seed=3)
+    assert ann.fit(ann.clean(df), 350, 10.0, 10)[1] == 0
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == _brute(rows, 50, 10)
+
+
 def _sets(rows):
     out = []
     for _, t in rows:
