@@ -21,9 +21,10 @@ and larger buckets); if no K does, every query is answered exactly. Every vector
 and every query answered; a query that finds fewer than k candidates is answered exactly,
 against all rows in blocks.
 
-A query starts from the k best of a fixed sample (PILOT vectors, scored where the query
-lies); the k-th of them bounds what a bucket may still add, so buckets emit only rows that
-can be among the query's k best, and every query has k candidates from the start.
+A fixed sample (PILOT vectors) bounds what buckets emit: of the sample's vectors that lie in
+buckets the query visits, the k-th best score is one that its buckets reach anyhow, so rows
+below it are not emitted. The sample adds no result rows: what is found is what the visited
+buckets hold, at every table size.
 
 Scale: one narrow shuffle of L copies of the vectors by (table, bucket), none of pairs: a
 task scores a block of vectors against a block of queries with a matrix product and emits
@@ -224,17 +225,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     queries = x.where(is_query)
     # at most PILOT vectors of fixed length: a proven bound for the broadcast
     some = x.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(PILOT).collect()
-    pilot = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])))
-
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield top_k(pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()), *pilot.value, k)
-
-    def bounds(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
-        best = top_k(ids, v, *pilot.value, k).groupby("query_id")["score"]
-        low = best.min().where(best.size() == k, -np.inf)
-        return low.reindex(ids).fillna(-np.inf).to_numpy()
+    some_ids, some_v = np.array([r["vec_id"] for r in some]), np.array([r["v"] for r in some])
+    pilot = spark.sparkContext.broadcast((some_ids, some_v, [
+        np.unique(tables.bucket(tables.cells(some_v, t, False)[0]), return_inverse=True) for t in range(tables.tables)]))
+
+    def bounds(ids: np.ndarray, v: np.ndarray, visited: list[np.ndarray]) -> np.ndarray:
+        """The k-th best score among the sample's vectors in the ``visited`` buckets."""
+        pilot_ids, pilot_v, buckets = pilot.value
+        if len(pilot_ids) < k:
+            return np.full(len(ids), -np.inf)
+        low = []
+        for at in range(0, len(ids), 512):
+            met = np.zeros((len(ids[at:at + 512]), len(pilot_ids)), dtype=bool)
+            for b, (known, which) in zip(visited, buckets):
+                b = b[at:at + 512]
+                place = np.minimum(np.searchsorted(known, b), len(known) - 1)
+                i, j = np.nonzero(known[place] == b)
+                seen = np.zeros((len(b), len(known)), dtype=bool)
+                seen[i, place[i, j]] = True
+                met |= seen[:, which]
+            s = v[at:at + 512] @ pilot_v.T
+            s[~met | (ids[at:at + 512, None] == pilot_ids[None, :])] = -np.inf
+            low.append(-np.partition(-s, k - 1, axis=1)[:, k - 1])
+        return np.concatenate(low)
 
     def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -251,9 +264,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
             for at in range(0, len(pdf), step):
                 some = pdf.iloc[at:at + step]
                 v = np.stack(some["v"].to_numpy())
-                low = bounds(some["vec_id"].to_numpy(), v)
-                for t in range(tables.tables):
-                    b = tables.probes(v, t, max(1, probes))
+                visited = [tables.probes(v, t, max(1, probes)) for t in range(tables.tables)]
+                low = bounds(some["vec_id"].to_numpy(), v, visited)
+                for t, b in enumerate(visited):
                     who = np.repeat(np.arange(len(some)), b.shape[1])
                     yield pd.DataFrame({"t": t, "bucket": b.ravel(), "vec_id": some["vec_id"].to_numpy()[who],
                                         "v": some["v"].to_numpy()[who], "bound": low[who]}
@@ -263,7 +276,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     index = x.mapInPandas(hash_rows, schema)
     visits = queries.mapInPandas(hash_queries, schema + ", bound double")
     found = _score_blocks(*_blocked(index, visits, ["t", "bucket"]), ["t", "bucket", "xb", "qb"], k)
-    found = materialize(_merge(found.unionByName(queries.mapInPandas(start, FOUND)), k), "ann-found")
+    found = materialize(_merge(found, k), "ann-found")
 
     # queries that found too few: exact, in blocks of all rows
     ids = x.select("vec_id").distinct().count()

@@ -100,6 +100,48 @@ def test_exact_when_no_fit_reaches_target(spark, monkeypatch):
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == _brute(rows, 50, 10)
 
 
+def test_results_come_from_visited_buckets_only(spark, monkeypatch):
+    """One probe a table: the pilot, which holds the whole table, adds nothing to what the
+    visited buckets hold, and its bound takes nothing away."""
+    real, seen = ann.fit, []
+    monkeypatch.setattr(ann, "TABLES", 1)
+    monkeypatch.setattr(ann, "BUCKET", 64)
+    monkeypatch.setattr(ann, "fit", lambda *a: seen.append((real(*a)[0], 1)) or seen[-1])
+    rows, df = _vectors(spark)
+    x = {r.vec_id: np.array(r.v) for r in ann.clean(df).collect() if r.vec_id != 20}
+    got = {}
+    for r in ann.search(df.where("vec_id != 20"), F.col("vec_id") % 7 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    t, ids, v = seen[0][0], np.array(list(x)), np.stack(list(x.values()))
+    truth, exact, differ = _brute([r for r in rows if r[0] != 20], 7, 5), 0, 0
+    for q, found in got.items():
+        met = np.zeros(len(ids), dtype=bool)
+        for n in range(t.tables):
+            met |= t.bucket(t.cells(v, n, False)[0]) == t.probes(x[q][None], n, 1)[0, 0]
+        met &= ids != q
+        if met.sum() < 5:  # short: exact
+            exact += 1
+            assert found == set(truth[q])
+        else:
+            score = {i: -float((x[q] * x[i]).sum()) for i in ids[met]}
+            assert found == set(sorted(score, key=lambda i: (score[i], i))[:5])
+            differ += found != set(truth[q])
+    assert set(got) == set(truth) and differ and exact
+
+
+def test_short_queries_are_exact_beyond_the_pilot(spark, monkeypatch):
+    """An outlier meets fewer than k rows in its buckets; the pilot does not hide that."""
+    monkeypatch.setattr(ann, "PILOT", 64)
+    monkeypatch.setattr(ann, "BUCKET", 16)
+    real = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: (real(*a)[0], 1))
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) + 30 * np.eye(8)[0]).tolist()) for i in range(1, 800)] + [(0, [-9.0, 40.0] + [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.search(df, F.col("vec_id") == 0, 10).orderBy("rank").collect()]
+    assert got == _brute(rows, 10 ** 6, 10)[0]
+
+
 def _sets(rows):
     out = []
     for _, t in rows:
