@@ -5,7 +5,8 @@ A first look at each text finds parts with exact patterns:
 * strong parts, always reported: ``assign`` (a secret-like name assigned a value of 8 or
   more characters), ``access`` (an access identifier), ``hex`` (32 or more hex digits);
 * weak parts, reported only when complementary parts lie in the same scope: ``keyid`` (an
-  account or client name assigned a value), ``blob`` (a bare random-looking token),
+  account or client name assigned a value), ``blob`` (a random-looking token, bare, after an
+  equals sign or at the end of a sentence),
   ``endpoint`` (a service address).
 
 Linking is an interval join inside the document: parts are sorted by start, a scope is a
@@ -50,7 +51,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 KEYID = re.compile(r"""(?:access_?key_?id|client_?id|account_?(?:id|name)|user_?(?:id|name)|login)["']?\x20*[:=]\x20*"""
                    r"""["']?[A-Za-z0-9@._-]{4,}""", re.IGNORECASE | re.ASCII)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=.-])")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|"
                       r"\b[a-z0-9.-]+\.amazonaws\.com\b)")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
