@@ -9,9 +9,10 @@ The method's rule compares two histograms of the text with references of its lan
 Jensen-Shannon distance (base 2, so 0 .. 1): character classes, and the language's common
 words (all others share one bin). A reference is the mean of the normalised histograms of
 ALL documents of the language, each document counting once. A document is rejected when a
-distance is above its threshold; guards keep short texts out: GUARD_CHARS characters for
-the first, GUARD_WORDS words for the second histogram. The thresholds are wide: only texts
-far from anything their language shows are rejected.
+distance is above its threshold. The first histogram judges texts of GUARD_CHARS characters
+and more; the second judges texts of any length, with a limit that widens below GUARD_WORDS
+words by WORD_NOISE * (1/sqrt(words) - 1/sqrt(GUARD_WORDS)), as the noise of a short sample
+does. The thresholds are wide: only texts far from anything their language shows are rejected.
 
 Scale: two passes over the texts and no shuffle of text. The first emits one row per task
 and language, summed into at most len(COMMON_WORDS) + 1 references of fixed width; that
@@ -36,7 +37,7 @@ from tabforge.llm.common import free_names
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 GUARD_CHARS, GUARD_WORDS = 400, 300
-CHAR_LIMIT, WORD_LIMIT = 0.32, 0.28
+CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 0.32, 0.28, 1.25
 SYMBOLS = b"#*$%&|<>"
 #: Common words by language (public stop-word knowledge); any list can be passed instead.
 COMMON_WORDS = {
@@ -116,7 +117,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def references(docs: DataFrame, text: str = "text", lang: str = "lang",
                common: dict[str, list[str]] = COMMON_WORDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per language (and OTHER: all documents) the mean character-class and common-word
-    histograms over every document that passes the guards."""
+    histograms over every document with words."""
     width = max(map(len, common.values())) + 1
     nc = len(CLASSES)
     cols = [f"c{i}" for i in range(nc)] + [f"w{i}" for i in range(width)]
@@ -127,7 +128,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang",
             for t, la in zip(pdf["text"], pdf["lang"]):
                 raw = t.encode() if t else b""
                 ws = raw.lower().split()
-                if len(raw) < GUARD_CHARS or len(ws) < GUARD_WORDS:
+                if not ws:
                     continue
                 counts = class_counts(raw)
                 row = np.zeros(nc + width)
@@ -154,7 +155,8 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], text:
           word_limit: float = WORD_LIMIT) -> DataFrame:
     """Adds a struct column ``quality`` (its name is made free of clashes): n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance,
-    word_distance (NULL where a guard holds it back), kept."""
+    word_distance (NULL for short texts in the first, without words or a known language in the
+    second), kept."""
     fields = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "base_failed boolean, char_distance double, word_distance double, kept boolean")
     names = [f.split()[0] for f in fields.split(", ")]
@@ -192,10 +194,12 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], text:
             cd = _distances(np.array(chars, dtype=float), known, refs, 0)
             wd = _distances(np.array(words), known, refs, 1)
             cd[np.array([c.sum() < GUARD_CHARS for c in chars])] = np.nan
-            wd[(out["n_words"].to_numpy() < GUARD_WORDS) | np.array([k == OTHER for k in known])] = np.nan
+            n_words = np.maximum(out["n_words"].to_numpy(), 1)
+            wd[(out["n_words"].to_numpy() == 0) | np.array([k == OTHER for k in known])] = np.nan
+            wide = word_limit + WORD_NOISE * np.maximum(0, n_words ** -0.5 - GUARD_WORDS ** -0.5)
             with np.errstate(invalid="ignore"):
                 out["char_distance"], out["word_distance"] = cd, wd
-                out["kept"] = ~out["base_failed"] & ~(cd > char_limit) & ~(wd > word_limit)
+                out["kept"] = ~out["base_failed"] & ~(cd > char_limit) & ~(wd > wide)
             yield out
 
     (name,) = free_names(docs.columns, "quality")
