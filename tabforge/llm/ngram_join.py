@@ -380,7 +380,8 @@ def _second_round(live: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, set_key (equal for equal sets, NULL for the
     empty set), component_id (smallest doc_id reachable by links), n_links (links of its set
-    found in verification; a lower bound inside groups of copies)."""
+    found in verification; a lower bound inside groups of copies), root (a set key that names
+    the component, also where components share a doc_id or have none)."""
     src = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     spark = docs.sparkSession
     profile = materialize(_profile(src), "ngram-profile")
@@ -417,18 +418,19 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
             .join(named, "set_key", "left").withColumn("root", F.coalesce("label", "set_key")))
     keys = materialize(keys, "ngram-keys")
     roots = keys.groupBy("root").agg(F.min("least").alias("component_id"))
-    keys = keys.join(roots, "root").select("set_key", "component_id", "n_links")
+    keys = keys.join(roots, "root").select("set_key", "component_id", "n_links", "root")
     return (sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(keys, "set_key", "left")
             .select("doc_id", "n_shingles", "set_key",
                     F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), "root"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
              slots: int = 1 << 18) -> DataFrame:
     """The documents without all but one of each component: of the rows that carry the
-    component's smallest doc_id, the one with the smallest set key. Documents with the
-    empty set stay. All columns are kept.
+    component's smallest doc_id, the one with the smallest set key. Components that share a
+    doc_id, or have none, each keep their own. Documents with the empty set stay. All columns
+    are kept.
 
     Only documents that may be in a group of two or more rows are shuffled: the ids of such
     groups are hashed to at most ``slots`` numbers, a bounded broadcast table; rows outside
@@ -436,11 +438,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     groups = materialize(components(docs, doc_id, text, percent), "ngram-groups")
     grouped = groups.where("set_key IS NOT NULL")
     # NULL ids hash like any other value, so they meet the exact list too
-    sizes = grouped.groupBy("component_id").agg(
+    sizes = grouped.groupBy("root").agg(
         F.count(F.lit(1)).alias("k"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "set_key")).alias("stay"))
     many = sizes.where("k > 1")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
-    members = grouped.join(many.select(F.col("component_id").alias("c")), F.col("component_id").eqNullSafe(F.col("c")), "left_semi")
+    members = grouped.join(many.select("root"), "root", "left_semi")
     flagged = F.broadcast(members.select(slot(F.col("doc_id")).alias("slot")).distinct())
 
     (key, at) = free_names(docs.columns, "_set_key", "_slot")
