@@ -4,8 +4,9 @@ Ward's criterion is reducible: merging all pairs of clusters that are each other
 neighbour at once gives the same hierarchy as merging one closest pair at a time. So a round
 finds every cluster's nearest neighbour (blocks of clusters against blocks of clusters, each
 pair of blocks one task), merges the reciprocal pairs, and writes the next clusters. Once no
-more than BLOCK clusters are left, a single task plays the remaining rounds. Steps are numbered by merge distance, which
-Ward's criterion never lowers from a merge to the next.
+more than BLOCK clusters are left, a single task plays the remaining rounds. Equal points come first, without
+rounds: their merges, all at distance 0, are numbered by rank. Steps are numbered by merge
+distance, which Ward's criterion never lowers from a merge to the next.
 
 ``leaves`` says what is merged: a number k first gathers the rows into k-means clusters (the
 form for large tables: a round costs k * k distances), None takes every row as a leaf (exact,
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from tabforge.operators.density import connected_min_labels
 from tabforge.operators.models import kmeans
-from tabforge.operators.ordinal import dense_codes, row_positions
+from tabforge.operators.ordinal import dense_codes, ordered_cumsum, row_positions
 from tabforge.session import materialize
 
-LEAVES, BLOCK, MAX_ROUNDS = 256, 1024, 400
+LEAVES, BLOCK = 256, 1024
 
 
 def _leaves(df: DataFrame, id_col: str, vec: str, leaves: int | None) -> DataFrame:
@@ -65,19 +66,22 @@ def finish(pdf: pd.DataFrame, base: int) -> pd.DataFrame:
         near = nearest_rows((ids, n, c), (ids, n, c))
         other = dict(zip(near["id"], near["other"]))
         at = {x: k for k, x in enumerate(ids)}
-        pairs = [(a, b, d) for a, b, d in zip(near["id"], near["other"], near["d"]) if a < b and other[b] == a]
+        pairs = [(a, b, d) for a, b, d in zip(near["id"], near["other"], near["d"]) if a < b and other[b] == a and np.isfinite(d)]
+        if not pairs:
+            raise ValueError("distances are not finite")
         gone, new = set(), []
         for a, b, d in pairs:
             i, j = at[a], at[b]
             gone |= {i, j}
-            new.append((a + base, n[i] + n[j], (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j])))
-            rows.append((a, b, a + base, d, int(n[i] + n[j])))
+            new.append((base, n[i] + n[j], (c[i] * n[i] + c[j] * n[j]) / (n[i] + n[j])))
+            rows.append((a, b, base, d, int(n[i] + n[j])))
+            base += 1
         left = [k for k in range(len(ids)) if k not in gone]
         ids = np.concatenate([ids[left], np.array([x[0] for x in new], dtype=np.int64)])
         n = np.concatenate([n[left], [x[1] for x in new]])
         c = np.concatenate([c[left], np.stack([x[2] for x in new])])
         order = np.argsort(ids)
-        ids, n, c, base = ids[order], n[order], c[order], base * 2
+        ids, n, c = ids[order], n[order], c[order]
     return pd.DataFrame(rows, columns=["a", "b", "new", "distance", "size"])
 
 
@@ -103,41 +107,61 @@ def _nearest(clusters: DataFrame, blocks: int) -> DataFrame:
     return pairs.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", "m.d", "m.other")
 
 
+def _equal_points(clusters: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
+    """(the merges of equal points among m leaves, the clusters left). Each further point of a
+    group, in order of id, joins those before it; its place among all rows numbers the merge."""
+    groups = clusters.groupBy("c").agg(F.min("id").alias("least"), F.sum("n").alias("whole"))
+    rows = clusters.join(groups.select(F.col("c").alias("gc"), "least"), F.col("c") == F.col("gc")).select("id", "n", "least", F.lit(1).alias("one"))
+    rows = materialize(ordered_cumsum(rows, ["least", "id"], {"place": "one", "upto": "n"}), "ward-equal")
+    start = rows.where("id = least").select("least", F.col("place").alias("first"), (F.col("upto") - F.col("n")).alias("below"))
+    ranked = rows.join(start, "least").withColumn("new", (F.lit(m) + F.col("place")).cast("long"))
+    steps = ranked.where("id != least").select(
+        F.when(F.col("place") == F.col("first") + 1, F.col("least")).otherwise(F.col("new") - 1).alias("a"), F.col("id").alias("b"),
+        "new", F.lit(0.0).alias("distance"), (F.col("upto") - F.col("below")).cast("long").alias("size"), F.col("least").alias("hub"))
+    last = steps.join(ranked.select(F.col("id").alias("b"), "least"), "b").groupBy("least").agg(F.max("new").alias("top"))
+    left = groups.join(last, "least", "left").select(F.coalesce("top", "least").alias("id"), F.col("whole").alias("n"), "c")
+    return materialize(steps, "ward-zero"), materialize(left, "ward-distinct")
+
+
 def _merges(clusters: DataFrame, count: int) -> DataFrame:
-    """(a, b, new, distance, size) of all merges; ids below ``count`` are leaves."""
-    found, base = None, max(count, 1)
-    for _ in range(MAX_ROUNDS):
+    """(a, b, new, distance, size, hub) of all merges; ids below ``count`` are leaves, the hub is
+    one node that all of a merge's nodes hang on: its new one, or the first of equal points."""
+    found, clusters = _equal_points(clusters, count)
+    base, count = 2 * count + 1, clusters.count()
+    while True:
         if count <= 1:
             return found
         if count <= BLOCK:
             last = clusters.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(
                 _finisher(base), "a long, b long, new long, distance double, size long")
-            last = materialize(last, "ward-last")
-            return last if found is None else found.unionByName(last)
+            last = materialize(last.withColumn("hub", F.col("new")), "ward-last")
+            return found.unionByName(last)
         near = materialize(_nearest(clusters, -(-count // BLOCK)), "ward-nearest")
         back = near.select(F.col("id").alias("b"), F.col("other").alias("back"))
         pairs = (near.join(back, (F.col("other") == F.col("b")) & (F.col("id") == F.col("back"))).where("id < other")
                  .select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("distance")))
+        pairs = row_positions(materialize(pairs, "ward-pairs"), ["a"], "k")
         x = clusters.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         y = clusters.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
         joined = (pairs.join(x, "a").join(y, "b")
-                  .select("a", "b", (F.col("a") + F.lit(base)).alias("id"), "distance", (F.col("na") + F.col("nb")).alias("n"),
+                  .select("a", "b", (F.col("k") + F.lit(base)).cast("long").alias("id"), "distance", (F.col("na") + F.col("nb")).alias("n"),
                           F.zip_with("ca", "cb", lambda p, q: (p * F.col("na") + q * F.col("nb")) / (F.col("na") + F.col("nb"))).alias("c")))
         joined = materialize(joined, "ward-merged")
         merged = joined.count()
+        if not merged:
+            raise ValueError("distances are not finite")
         gone = joined.select(F.explode(F.array("a", "b")).alias("id"))
         clusters = materialize(clusters.join(gone, "id", "left_anti").unionByName(joined.select("id", "n", "c")), "ward-clusters")
-        step = joined.select("a", "b", F.col("id").alias("new"), "distance", F.col("n").cast("long").alias("size"))
-        found = step if found is None else found.unionByName(step)
-        count, base = count - merged, base * 2
-    raise RuntimeError("merging did not end")
+        step = joined.select("a", "b", F.col("id").alias("new"), "distance", F.col("n").cast("long").alias("size"),
+                             F.col("id").alias("hub"))
+        found = found.unionByName(step)
+        count, base = count - merged, base + merged
 
 
 def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, leaves: int | None = LEAVES):
     """(labels ``id_col, cluster``; linkage ``step, left, right, distance, size``).
     The merge of step s makes cluster m + s of m leaves. Clusters are numbered by their
     smallest leaf."""
-    spark = df.sparkSession
     leaf = materialize(_leaves(df, id_col, vec, leaves), "ward-leaves")
     x = leaf.select("leaf", F.posexplode("v").alias("i", "x")).groupBy("leaf", "i").agg(F.avg("x").alias("x"))
     centre = x.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
@@ -145,8 +169,6 @@ def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, leaves: int
     clusters = materialize(sizes.join(centre, "leaf").select(F.col("leaf").alias("id"), "n", "c"), "ward-start")
     m = clusters.count()
     merges = _merges(clusters, m)
-    if merges is None:
-        merges = spark.createDataFrame([], "a long, b long, new long, distance double, size long")
     steps = materialize(row_positions(merges, ["distance", "new"], "step"), "ward-steps")
     names = steps.select(F.col("new").alias("id"), (F.col("step") + F.lit(m)).alias("name"))
     named = steps
@@ -157,8 +179,9 @@ def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, leaves: int
                            "distance", "size")
     # the last n_clusters - 1 merges undone
     kept = steps.where(F.col("step") < F.lit(m - 1 - (n_clusters - 1)))
-    edges = kept.select(F.explode(F.array(F.struct("a", F.col("new").alias("b")), F.struct(F.col("b").alias("a"), F.col("new").alias("b"))))
-                        .alias("e")).select("e.a", "e.b")
+    hung = kept.select(F.explode(F.array("a", "b", "new")).alias("x"), "hub").where("x != hub")
+    edges = hung.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("hub").alias("b")),
+                                          F.struct(F.col("hub").alias("a"), F.col("x").alias("b")))).alias("e")).select("e.a", "e.b")
     nodes = leaf.select(F.col("leaf").alias("node")).distinct()
     roots = connected_min_labels(nodes, edges)
     numbers = dense_codes(roots, "label", "cluster")
