@@ -11,14 +11,15 @@ one extended to the right (the first part), and splits all intervals of a depth
 Counts of a depth are summed across shards, phrases below the least count go, and only
 phrases whose first part and rest are both frequent are extended in the next round. A
 phrase is named by the numbers of its first part and its rest, so no hash stands for
-a phrase and counts are exact. Each round keeps the positions that are still alive (three
-numbers each), which shrink with depth. Left and right extensions come out of the same
+a phrase and counts are exact. Each round keeps the positions that are still alive
+(about five bytes each), which shrink with depth. Left and right extensions come out of the same
 table: a phrase of depth d + 1 is the right extension of its first part and the left
 extension of its rest.
 
 Memory and skew: a task holds one shard; a piece longer than a slice is cut, and a slice
 repeats the four words that follow it as positions that count for nothing, so phrases over
-the cut are counted once. A frequent phrase has at most one row per shard, summed with
+the cut are counted once. The frequent phrases of a depth are broadcast up to BROADCAST_ROWS
+of them, and joined by shuffle beyond that. A frequent phrase has at most one row per shard, summed with
 map-side combining.
 
 Defined results: NULL and empty texts have no words; a NULL language is ``und``; repeated
@@ -27,6 +28,7 @@ rows count each; an empty table gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 from tabforge.session import materialize
 
 MIN_COUNT, MAX_WORDS = 100, 5
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 300_000
+#: Up to this many frequent phrases of a depth (counted; three numbers or a word each) are broadcast.
+BROADCAST_ROWS = 200_000
 SLICE_BYTES = 1 << 20
 
 #: Fixed values of the contract: A-Z count as a-z; these characters end a piece; tab is a space.
@@ -127,11 +131,20 @@ def bwt_index(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return ends, sa, lf
 
 
+def pack(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences."""
+    return zlib.compress(np.diff(ascending, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), np.int32), dtype=np.int32)
+
+
 def extend(rows: np.ndarray, lf: np.ndarray, own: np.ndarray, gid: np.ndarray):
     """One extension of all intervals of a depth. ``rows``: ascending rows of the index that are
     alive, with their LF, whether they count, and the number of their phrase (negative: no
-    longer frequent). Returns the rows alive at the next depth (rows, lf, own, group) and the
-    groups (first part, rest, count); group i is one interval."""
+    longer frequent). Returns the rows alive at the next depth (rows, lf, own), the end of
+    each interval among them, and the intervals' (first part, rest, count)."""
     live = gid >= 0
     rows, lf, own, gid = rows[live], lf[live], own[live], gid[live]
     at = np.searchsorted(rows, lf)
@@ -145,8 +158,12 @@ def extend(rows: np.ndarray, lf: np.ndarray, own: np.ndarray, gid: np.ndarray):
     new[1:] = (part[1:] != part[:-1]) | (rest[1:] != rest[:-1])
     begin = np.flatnonzero(new)
     count = np.add.reduceat(own[target].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    group = (np.cumsum(new) - 1).astype(np.int32)
-    return (rows[target], lf[target], own[target], group), (part[begin], rest[begin], count)
+    return (rows[target], lf[target], own[target]), np.append(begin[1:], len(part))[:len(begin)], (part[begin], rest[begin], count)
+
+
+def state_of(rows: np.ndarray, lf: np.ndarray, own: np.ndarray, ends: np.ndarray) -> dict[str, bytes]:
+    """A depth's live rows as they are written: LF in four bytes a row, the rest compressed."""
+    return {"rows": pack(rows), "lf": lf.astype(np.int32).tobytes(), "own": zlib.compress(own.tobytes(), 1), "ends": pack(ends)}
 
 
 class _Shard:
@@ -185,9 +202,9 @@ class _Shard:
         begin = np.flatnonzero(new)
         count = np.add.reduceat(own.astype(np.int64), begin)
         # local ids: blank and terminator hold two places of the dictionary
+        ends_of = np.append(begin[1:], len(word))
         return {"shard": shard, "lang": lang, "words": [names[i - 3] for i in word[begin]], "count": count,
-                "rows": np.arange(ends, ends + len(sa), dtype=np.int32).tobytes(), "lf": lf.tobytes(), "own": own.tobytes(),
-                "grp": (np.cumsum(new) - 1).astype(np.int32).tobytes()}
+                **state_of(np.arange(ends, ends + len(sa)), lf, own, ends_of)}
 
 
 def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
@@ -210,7 +227,7 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
                 yield flush(lang)
 
     return docs.mapInPandas(run, "shard long, lang string, words array<string>, count array<long>, "
-                                 "rows binary, lf binary, own binary, grp binary")
+                                 "rows binary, lf binary, own binary, ends binary")
 
 
 # ---- rounds --------------------------------------------------------------------------------
@@ -223,19 +240,25 @@ def _extended(state: DataFrame, alive: DataFrame) -> DataFrame:
     """Each shard's next depth: its live rows, and its groups as arrays."""
     def run(shard: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if not len(shard):
-            return pd.DataFrame(columns=["shard", "part", "rest", "count", "rows", "lf", "own", "grp"])
+            return pd.DataFrame(columns=["shard", "part", "rest", "count", "rows", "lf", "own", "ends"])
         s = shard.iloc[0]
-        group = np.frombuffer(s["grp"], np.int32)
-        gid = np.full(int(group.max(initial=-1)) + 1, -1, dtype=np.int64)
+        sizes = np.diff(unpack(s["ends"]), prepend=0)
+        gid = np.full(len(sizes), -1, dtype=np.int64)
         gid[kept["grp"].to_numpy()] = kept["gid"].to_numpy()
-        nxt, groups = extend(np.frombuffer(s["rows"], np.int32), np.frombuffer(s["lf"], np.int32),
-                             np.frombuffer(s["own"], np.uint8), gid[group])
-        out = {"shard": s["shard"], **dict(zip(("part", "rest", "count"), groups)),
-               **{k: v.tobytes() for k, v in zip(("rows", "lf", "own", "grp"), nxt)}}
-        return pd.DataFrame([out])
+        nxt, ends, groups = extend(unpack(s["rows"]), np.frombuffer(s["lf"], np.int32),
+                                   np.frombuffer(zlib.decompress(s["own"]), np.uint8), np.repeat(gid, sizes))
+        return pd.DataFrame([{"shard": s["shard"], **dict(zip(("part", "rest", "count"), groups)), **state_of(*nxt, ends)}])
+
+    return state.select("shard", "rows", "lf", "own", "ends").groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(
+        run, "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary")
+
 
-    return state.select("shard", "rows", "lf", "own", "grp").groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(
-        run, "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, grp binary")
+def _alive(groups: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """(of, grp, gid): the shards' groups that are frequent phrases."""
+    known = known.select(*on, "gid")
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return groups.join(known, on).select(F.col("shard").alias("of"), "grp", "gid")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -254,7 +277,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     known = _numbered(known.select("lang", F.array("word").alias("words"), "f", none.alias("part"), none.alias("rest"),
                                    F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests")),
                       "phrase-words")
-    alive = words.join(known.select("lang", F.col("words")[0].alias("word"), "gid"), ["lang", "word"]).select(F.col("shard").alias("of"), "grp", "gid")
+    alive = _alive(words, known.withColumn("word", F.col("words")[0]), ["lang", "word"])
     found = [known]
     for depth in range(2, max_words + 1):
         state = materialize(_extended(state, alive), f"phrase-rows{depth}")
@@ -268,7 +291,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
             F.concat("c1", F.array("f1")).alias("firsts"), F.concat(F.array("f2"), "c2").alias("rests"))
         known = _numbered(longer, f"phrase-depth{depth}")
         found.append(known)
-        alive = groups.join(known.select("part", "rest", "gid"), ["part", "rest"]).select(F.col("shard").alias("of"), "grp", "gid")
+        alive = _alive(groups, known, ["part", "rest"])
     return found, totals
 
 
