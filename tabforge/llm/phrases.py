@@ -9,17 +9,19 @@ first words, so one step knows both the interval extended to the left (the rest)
 one extended to the right (the first part), and splits all intervals of a depth at once.
 
 Counts of a depth are summed across shards, phrases below the least count go, and only
-phrases whose first part and rest are both frequent are extended in the next round. A
+phrases whose first part and rest are both frequent are extended in the next round. The
+frequent phrases of a depth are counted; up to BROADCAST_ROWS of them are sent to the tasks,
+which lead each shard's transform through the known depths again (nothing but counts is
+shuffled), and beyond that they meet the shards in a join and each shard's live rows are
+written. A
 phrase is named by the numbers of its first part and its rest, so no hash stands for
-a phrase and counts are exact. Each round keeps the positions that are still alive
-(about five bytes each), which shrink with depth. Left and right extensions come out of the same
+a phrase and counts are exact. Left and right extensions come out of the same
 table: a phrase of depth d + 1 is the right extension of its first part and the left
 extension of its rest.
 
 Memory and skew: a task holds one shard; a piece longer than a slice is cut, and a slice
 repeats the four words that follow it as positions that count for nothing, so phrases over
-the cut are counted once. The frequent phrases of a depth are broadcast up to BROADCAST_ROWS
-of them, and joined by shuffle beyond that. A frequent phrase has at most one row per shard, summed with
+the cut are counted once. A frequent phrase has at most one row per shard, summed with
 map-side combining.
 
 Defined results: NULL and empty texts have no words; a NULL language is ``und``; repeated
@@ -31,6 +33,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -117,18 +120,19 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return sa
 
 
-def bwt_index(symbols: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(number of terminators, suffix array, LF): LF[j] is the row of the suffix one symbol
-    longer to the left: rows of a symbol begin after those of all smaller symbols, in the
-    order of the symbol's occurrences in the transform."""
+def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, Burrows-Wheeler transform) of ``symbols``; terminators stay 0."""
     sa = suffix_array(symbols)
-    ends = int((symbols == 0).sum())
-    # terminators differ: number them, so that LF is a permutation
-    named = np.where(symbols == 0, np.cumsum(symbols == 0) - 1, ends + symbols.astype(np.int64))
-    transform = named[sa - 1]
-    lf = np.empty(len(sa), dtype=np.int32)
-    lf[np.argsort(transform, kind="stable")] = np.arange(len(sa), dtype=np.int32)
-    return ends, sa, lf
+    return sa, symbols[sa - 1]
+
+
+def lf_of(bwt: np.ndarray) -> np.ndarray:
+    """LF[j]: row of the suffix one symbol longer to the left: rows of a symbol begin after those of
+    all smaller symbols, in the order of the symbol's occurrences in the transform. (After a
+    terminator it points at some terminator's row: no phrase goes on there.)"""
+    lf = np.empty(len(bwt), dtype=np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    return lf
 
 
 def pack(ascending: np.ndarray) -> bytes:
@@ -161,9 +165,67 @@ def extend(rows: np.ndarray, lf: np.ndarray, own: np.ndarray, gid: np.ndarray):
     return (rows[target], lf[target], own[target]), np.append(begin[1:], len(part))[:len(begin)], (part[begin], rest[begin], count)
 
 
-def state_of(rows: np.ndarray, lf: np.ndarray, own: np.ndarray, ends: np.ndarray) -> dict[str, bytes]:
-    """A depth's live rows as they are written: LF in four bytes a row, the rest compressed."""
-    return {"rows": pack(rows), "lf": lf.astype(np.int32).tobytes(), "own": zlib.compress(own.tobytes(), 1), "ends": pack(ends)}
+class Live(NamedTuple):
+    """A depth of one shard: live rows with their LF and whether they count; the end of each
+    interval among them; the intervals' names (words, or first part and rest) and counts."""
+    rows: np.ndarray
+    lf: np.ndarray
+    own: np.ndarray
+    ends: np.ndarray
+    names: tuple
+    count: np.ndarray
+
+    def longer(self, gid: np.ndarray) -> Live:
+        """The next depth, given the number of each interval's phrase (negative: not frequent)."""
+        (rows, lf, own), ends, (part, rest, count) = extend(
+            self.rows, self.lf, self.own, np.repeat(gid, np.diff(self.ends, prepend=0)))
+        return Live(rows, lf, own, ends, (part, rest), count)
+
+    def written(self, shard: int) -> dict:
+        part, rest = self.names
+        return {"shard": shard, "part": part, "rest": rest, "count": self.count, "rows": pack(self.rows),
+                "lf": self.lf.astype(np.int32).tobytes(), "own": zlib.compress(self.own.tobytes(), 1), "ends": pack(self.ends)}
+
+
+def read_live(row) -> Live:
+    """A written depth; the first holds the transform itself."""
+    own, ends = np.frombuffer(zlib.decompress(row["own"]), np.uint8), unpack(row["ends"])
+    if "bwt" in row:
+        raw, first = zlib.decompress(row["bwt"]), int(row["first"])
+        lf = lf_of(np.frombuffer(raw, np.uint16 if len(raw) == 2 * (first + len(own)) else np.int32))
+        return Live(np.arange(first, len(lf), dtype=np.int32), lf[first:], own, ends, (row["words"],), np.asarray(row["count"]))
+    return Live(unpack(row["rows"]), np.frombuffer(row["lf"], np.int32), own, ends, (row["part"], row["rest"]), np.asarray(row["count"]))
+
+
+class WordNumbers:
+    """Numbers of frequent words, by language."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids = {(r["lang"], r["words"][0]): r["gid"] for r in rows}
+
+    def __call__(self, lang: str, live: Live) -> np.ndarray:
+        return np.array([self.ids.get((lang, w), -1) for w in live.names[0]], dtype=np.int64)
+
+
+class PhraseNumbers:
+    """Numbers of frequent phrases, by their first part and rest."""
+
+    def __init__(self, rows: list) -> None:
+        part, rest, gid = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("part", "rest", "gid"))
+        self.parts, self.rests = np.unique(part), np.unique(rest)
+        key = np.searchsorted(self.parts, part) * len(self.rests) + np.searchsorted(self.rests, rest)
+        order = np.argsort(key)
+        self.keys, self.gid = key[order], gid[order]
+
+    def __call__(self, lang: str, live: Live) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(live.count), -1, dtype=np.int64)
+        part, rest = (np.asarray(x, dtype=np.int64) for x in live.names)
+        i = np.minimum(np.searchsorted(self.parts, part), len(self.parts) - 1)
+        j = np.minimum(np.searchsorted(self.rests, rest), len(self.rests) - 1)
+        key = i * len(self.rests) + j
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.parts[i] == part) & (self.rests[j] == rest) & (self.keys[at] == key), self.gid[at], -1)
 
 
 class _Shard:
@@ -194,17 +256,18 @@ class _Shard:
     def row(self, shard: int, lang: str) -> dict:
         x, own = np.concatenate(self.parts), np.concatenate(self.own)
         names = [w.decode("utf-8", "surrogatepass") for w, i in self.ids.items() if i > 0]
-        ends, sa, lf = bwt_index(x)
-        sa, lf = sa[ends:], lf[ends:]
+        sa, bwt = transform(x)
+        first = int((x == 0).sum())
+        sa = sa[first:]
         word, own = x[sa], own[sa]
         new = np.ones(len(word), dtype=bool)
         new[1:] = word[1:] != word[:-1]
         begin = np.flatnonzero(new)
-        count = np.add.reduceat(own.astype(np.int64), begin)
         # local ids: blank and terminator hold two places of the dictionary
-        ends_of = np.append(begin[1:], len(word))
-        return {"shard": shard, "lang": lang, "words": [names[i - 3] for i in word[begin]], "count": count,
-                **state_of(np.arange(ends, ends + len(sa)), lf, own, ends_of)}
+        return {"shard": shard, "lang": lang, "words": [names[i - 3] for i in word[begin]],
+                "count": np.add.reduceat(own.astype(np.int64), begin), "first": first,
+                "bwt": zlib.compress((bwt.astype(np.uint16) if len(self.ids) < 1 << 16 else bwt).tobytes(), 1),
+                "own": zlib.compress(own.tobytes(), 1), "ends": pack(np.append(begin[1:], len(word)))}
 
 
 def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
@@ -227,7 +290,7 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
                 yield flush(lang)
 
     return docs.mapInPandas(run, "shard long, lang string, words array<string>, count array<long>, "
-                                 "rows binary, lf binary, own binary, ends binary")
+                                 "first int, bwt binary, own binary, ends binary")
 
 
 # ---- rounds --------------------------------------------------------------------------------
@@ -236,54 +299,84 @@ def _numbered(phrases: DataFrame, name: str) -> DataFrame:
     return materialize(phrases.withColumn("gid", F.monotonically_increasing_id()), name)
 
 
-def _extended(state: DataFrame, alive: DataFrame) -> DataFrame:
-    """Each shard's next depth: its live rows, and its groups as arrays."""
-    def run(shard: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard):
-            return pd.DataFrame(columns=["shard", "part", "rest", "count", "rows", "lf", "own", "ends"])
-        s = shard.iloc[0]
-        sizes = np.diff(unpack(s["ends"]), prepend=0)
-        gid = np.full(len(sizes), -1, dtype=np.int64)
-        gid[kept["grp"].to_numpy()] = kept["gid"].to_numpy()
-        nxt, ends, groups = extend(unpack(s["rows"]), np.frombuffer(s["lf"], np.int32),
-                                   np.frombuffer(zlib.decompress(s["own"]), np.uint8), np.repeat(gid, sizes))
-        return pd.DataFrame([{"shard": s["shard"], **dict(zip(("part", "rest", "count"), groups)), **state_of(*nxt, ends)}])
+_LIVE = "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary"
+
+
+def _counts(base: DataFrame, numbers: list) -> DataFrame:
+    """(part, rest, count) of every interval, after the depths that ``numbers`` (broadcast) lead through."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                live = read_live(row)
+                for x in numbers:
+                    live = live.longer(x.value(row.get("lang"), live))
+                part, rest = live.names
+                yield pd.DataFrame({"part": part, "rest": rest, "count": live.count})
+
+    return base.mapInPandas(run, "part long, rest long, count long")
+
 
-    return state.select("shard", "rows", "lf", "own", "ends").groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(
-        run, "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary")
+def _written(base: DataFrame, numbers: list) -> DataFrame:
+    """The depth that ``numbers`` lead to, as a table."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                live = read_live(row)
+                for x in numbers:
+                    live = live.longer(x.value(row.get("lang"), live))
+                yield pd.DataFrame([live.written(row["shard"])])
 
+    return materialize(base.mapInPandas(run, _LIVE), "phrase-rows") if numbers else base
 
-def _alive(groups: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
-    """(of, grp, gid): the shards' groups that are frequent phrases."""
-    known = known.select(*on, "gid")
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    return groups.join(known, on).select(F.col("shard").alias("of"), "grp", "gid")
+
+def _extended(base: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """The next depth where the frequent phrases are too many to broadcast: they meet the
+    shards' intervals in a join, and each shard meets its own."""
+    names = ["part", "rest"] if "part" in base.columns else ["words"]
+    groups = base.select("shard", *(["lang"] if names == ["words"] else []), F.posexplode(F.arrays_zip(*names)).alias("grp", "x"))
+    groups = groups.select("*", "x.*").withColumnRenamed("words", "word")
+    alive = groups.join(known.select(*on, "gid"), on).select(F.col("shard").alias("of"), "grp", "gid")
+
+    def run(shard: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in shard.to_dict("records"):
+            live = read_live(row)
+            gid = np.full(len(live.count), -1, dtype=np.int64)
+            gid[kept["grp"].to_numpy()] = kept["gid"].to_numpy()
+            out.append(live.longer(gid).written(row["shard"]))
+        return pd.DataFrame(out, columns=["shard", "part", "rest", "count", "rows", "lf", "own", "ends"])
+
+    return materialize(base.groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(run, _LIVE), "phrase-rows")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
-             shard_tokens: int = SHARD_TOKENS, slice_bytes: int = SLICE_BYTES) -> tuple[list[DataFrame], DataFrame]:
+             shard_tokens: int = SHARD_TOKENS, slice_bytes: int = SLICE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[list[DataFrame], DataFrame]:
     """Per depth 1 .. ``max_words`` the phrases found at least ``min_count`` times: gid, lang,
     words, f, part and rest (numbers of the phrase without its last and without its first word),
     firsts (counts of its first 1, 2, ... words) and rests (counts without its first 1, 2, ...
     words); and (lang, n), all words by language."""
     src = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    state = materialize(_shards(src, shard_tokens, slice_bytes), "phrase-shards")
-    words = state.select("shard", "lang", F.posexplode(F.arrays_zip("words", "count")).alias("grp", "w")).select(
-        "shard", "lang", "grp", F.col("w.words").alias("word"), F.col("w.count").alias("count"))
+    spark = docs.sparkSession
+    base = materialize(_shards(src, shard_tokens, slice_bytes), "phrase-shards")
+    words = base.select("lang", F.explode(F.arrays_zip("words", "count")).alias("w")).select(
+        "lang", F.col("w.words").alias("word"), F.col("w.count").alias("count"))
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
     known = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
     none = F.lit(None).cast("long")
     known = _numbered(known.select("lang", F.array("word").alias("words"), "f", none.alias("part"), none.alias("rest"),
                                    F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests")),
                       "phrase-words")
-    alive = _alive(words, known.withColumn("word", F.col("words")[0]), ["lang", "word"])
-    found = [known]
+    found, numbers = [known], []
     for depth in range(2, max_words + 1):
-        state = materialize(_extended(state, alive), f"phrase-rows{depth}")
-        groups = state.select("shard", F.posexplode(F.arrays_zip("part", "rest", "count")).alias("grp", "x")).select(
-            "shard", "grp", "x.part", "x.rest", "x.count")
-        many = groups.groupBy("part", "rest").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
+        if known.count() <= broadcast_rows:
+            make = WordNumbers if depth == 2 else PhraseNumbers
+            rows = known.select(*(["lang", "words"] if depth == 2 else ["part", "rest"]), "gid").collect()
+            numbers.append(spark.sparkContext.broadcast(make(rows)))
+        else:
+            on = ["lang", "word"] if depth == 2 else ["part", "rest"]
+            base = _extended(_written(base, numbers), known.withColumn("word", F.col("words")[0]), on)
+            numbers = []
+        many = _counts(base, numbers).groupBy("part", "rest").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
         one = known.select(F.col("gid").alias("part"), "lang", F.col("words").alias("w1"), F.col("f").alias("f1"), F.col("firsts").alias("c1"))
         two = known.select(F.col("gid").alias("rest"), F.col("words").alias("w2"), F.col("f").alias("f2"), F.col("rests").alias("c2"))
         longer = many.join(one, "part").join(two, "rest").select(
@@ -291,7 +384,6 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
             F.concat("c1", F.array("f1")).alias("firsts"), F.concat(F.array("f2"), "c2").alias("rests"))
         known = _numbered(longer, f"phrase-depth{depth}")
         found.append(known)
-        alive = _alive(groups, known, ["part", "rest"])
     return found, totals
 
 

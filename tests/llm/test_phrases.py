@@ -66,10 +66,11 @@ def test_suffix_array_and_lf():
         ends = np.cumsum(x == 0) - 1
         named = [(0, int(e)) if s == 0 else (1, int(s)) for s, e in zip(x, ends)]
         want = sorted(range(len(x)), key=lambda i: named[i:])
-        m, sa, lf = P.bwt_index(x)
-        assert m == (x == 0).sum() and sa.tolist() == want
+        sa, bwt = P.transform(x)
+        lf = P.lf_of(bwt)
+        assert sa.tolist() == want
         place = {p: i for i, p in enumerate(want)}
-        assert [lf[j] for j in range(len(x)) if sa[j]] == [place[p - 1] for p in want if p]
+        assert [lf[j] for j in range(len(x)) if bwt[j]] == [place[p - 1] for p in want if p and x[p - 1]]
 
 
 def test_equals_plain_counting(spark):
@@ -80,6 +81,9 @@ def test_equals_plain_counting(spark):
     assert mined(docs.repartition(5), min_count=20) == want
     # shards of a few words, slices of a few bytes: the cuts lose and add nothing
     assert mined(docs, min_count=20, shard_tokens=2000, slice_bytes=40) == want
+    # frequent phrases joined, not broadcast: at every depth, and from some depth on
+    assert mined(docs, min_count=20, shard_tokens=5000, broadcast_rows=0) == want
+    assert mined(docs, min_count=20, broadcast_rows=60) == want
     assert mined(docs, min_count=20, top=3) == {k: v for k, v in want.items() if k[1] <= 3}
 
 
