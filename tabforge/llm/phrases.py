@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.operators.ordinal import row_positions
 from tabforge.session import materialize
 
 MIN_COUNT, MAX_WORDS = 100, 5
@@ -294,9 +295,10 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
 
 
 # ---- rounds --------------------------------------------------------------------------------
-def _numbered(phrases: DataFrame, name: str) -> DataFrame:
-    """The phrases with a number each (``gid``), written: numbers stay as they are."""
-    return materialize(phrases.withColumn("gid", F.monotonically_increasing_id()), name)
+def _numbered(phrases: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The phrases with numbers 0, 1, ... (``gid``) in a unique ``order``, written. Small numbers
+    keep the counted rows of the next depth short."""
+    return materialize(row_positions(materialize(phrases, f"{name}-found"), order, "gid"), name)
 
 
 _LIVE = "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary"
@@ -363,9 +365,9 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
     known = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
     none = F.lit(None).cast("long")
-    known = _numbered(known.select("lang", F.array("word").alias("words"), "f", none.alias("part"), none.alias("rest"),
+    known = _numbered(known.select("lang", "word", "f", none.alias("part"), none.alias("rest"),
                                    F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests")),
-                      "phrase-words")
+                      ["lang", "word"], "phrase-words").withColumn("words", F.array("word")).drop("word")
     found, numbers = [known], []
     for depth in range(2, max_words + 1):
         if known.count() <= broadcast_rows:
@@ -382,7 +384,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         longer = many.join(one, "part").join(two, "rest").select(
             "lang", F.concat("w1", F.slice("w2", -1, 1)).alias("words"), "f", "part", "rest",
             F.concat("c1", F.array("f1")).alias("firsts"), F.concat(F.array("f2"), "c2").alias("rests"))
-        known = _numbered(longer, f"phrase-depth{depth}")
+        known = _numbered(longer, ["part", "rest"], f"phrase-depth{depth}")
         found.append(known)
     return found, totals
 
