@@ -41,7 +41,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabforge.operators.ordinal import row_positions
 from tabforge.session import materialize
 
 MIN_COUNT, MAX_WORDS = 100, 5
@@ -295,10 +294,16 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
 
 
 # ---- rounds --------------------------------------------------------------------------------
-def _numbered(phrases: DataFrame, order: list[str], name: str) -> DataFrame:
-    """The phrases with numbers 0, 1, ... (``gid``) in a unique ``order``, written. Small numbers
-    keep the counted rows of the next depth short."""
-    return materialize(row_positions(materialize(phrases, f"{name}-found"), order, "gid"), name)
+def _numbered(phrases: DataFrame, order: list[str], name: str, few: int) -> DataFrame:
+    """The phrases with a number each (``gid``), written. Up to ``few`` of them (counted) are numbered
+    0, 1, ... in ``order`` by one window: small numbers keep the counted rows of the next depth
+    short. More get numbers that need no common order."""
+    found = materialize(phrases, f"{name}-found")
+    if found.count() <= few:
+        gid = F.row_number().over(Window.orderBy(*order)).cast("long") - 1
+    else:
+        gid = F.monotonically_increasing_id()
+    return materialize(found.withColumn("gid", gid), name)
 
 
 _LIVE = "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary"
@@ -367,7 +372,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     none = F.lit(None).cast("long")
     known = _numbered(known.select("lang", "word", "f", none.alias("part"), none.alias("rest"),
                                    F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests")),
-                      ["lang", "word"], "phrase-words").withColumn("words", F.array("word")).drop("word")
+                      ["lang", "word"], "phrase-words", broadcast_rows).withColumn("words", F.array("word")).drop("word")
     found, numbers = [known], []
     for depth in range(2, max_words + 1):
         if known.count() <= broadcast_rows:
@@ -384,7 +389,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         longer = many.join(one, "part").join(two, "rest").select(
             "lang", F.concat("w1", F.slice("w2", -1, 1)).alias("words"), "f", "part", "rest",
             F.concat("c1", F.array("f1")).alias("firsts"), F.concat(F.array("f2"), "c2").alias("rests"))
-        known = _numbered(longer, ["part", "rest"], f"phrase-depth{depth}")
+        known = _numbered(longer, ["part", "rest"], f"phrase-depth{depth}", broadcast_rows)
         found.append(known)
     return found, totals
 
