@@ -192,8 +192,9 @@ def read_live(row) -> Live:
     own, ends = np.frombuffer(zlib.decompress(row["own"]), np.uint8), unpack(row["ends"])
     if "bwt" in row:
         raw, first = zlib.decompress(row["bwt"]), int(row["first"])
+        words = zlib.decompress(row["names"]).decode("utf-8", "surrogatepass").split("\n")
         lf = lf_of(np.frombuffer(raw, np.uint16 if len(raw) == 2 * (first + len(own)) else np.int32))
-        return Live(np.arange(first, len(lf), dtype=np.int32), lf[first:], own, ends, (row["words"],), np.asarray(row["count"]))
+        return Live(np.arange(first, len(lf), dtype=np.int32), lf[first:], own, ends, (words,), np.zeros(len(words), np.int64))
     return Live(unpack(row["rows"]), np.frombuffer(row["lf"], np.int32), own, ends, (row["part"], row["rest"]), np.asarray(row["count"]))
 
 
@@ -264,7 +265,8 @@ class _Shard:
         new[1:] = word[1:] != word[:-1]
         begin = np.flatnonzero(new)
         # local ids: blank and terminator hold two places of the dictionary
-        return {"shard": shard, "lang": lang, "words": [names[i - 3] for i in word[begin]],
+        names = [names[i - 3] for i in word[begin]]
+        return {"shard": shard, "lang": lang, "words": names, "names": zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1),
                 "count": np.add.reduceat(own.astype(np.int64), begin), "first": first,
                 "bwt": zlib.compress((bwt.astype(np.uint16) if len(self.ids) < 1 << 16 else bwt).tobytes(), 1),
                 "own": zlib.compress(own.tobytes(), 1), "ends": pack(np.append(begin[1:], len(word)))}
@@ -289,7 +291,7 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
             if held[lang].size:
                 yield flush(lang)
 
-    return docs.mapInPandas(run, "shard long, lang string, words array<string>, count array<long>, "
+    return docs.mapInPandas(run, "shard long, lang string, words array<string>, names binary, count array<long>, "
                                  "first int, bwt binary, own binary, ends binary")
 
 
@@ -309,6 +311,11 @@ def _numbered(phrases: DataFrame, order: list[str], name: str, few: int) -> Data
 _LIVE = "shard long, part array<long>, rest array<long>, count array<long>, rows binary, lf binary, own binary, ends binary"
 
 
+def _narrow(base: DataFrame) -> DataFrame:
+    """What tasks need of a shard: its words as one compressed text, unpacked one shard at a time."""
+    return base.drop("words", "count") if "words" in base.columns else base
+
+
 def _counts(base: DataFrame, numbers: list) -> DataFrame:
     """(part, rest, count) of every interval, after the depths that ``numbers`` (broadcast) lead through."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +327,7 @@ def _counts(base: DataFrame, numbers: list) -> DataFrame:
                 part, rest = live.names
                 yield pd.DataFrame({"part": part, "rest": rest, "count": live.count})
 
-    return base.mapInPandas(run, "part long, rest long, count long")
+    return _narrow(base).mapInPandas(run, "part long, rest long, count long")
 
 
 def _written(base: DataFrame, numbers: list) -> DataFrame:
@@ -333,7 +340,7 @@ def _written(base: DataFrame, numbers: list) -> DataFrame:
                     live = live.longer(x.value(row.get("lang"), live))
                 yield pd.DataFrame([live.written(row["shard"])])
 
-    return materialize(base.mapInPandas(run, _LIVE), "phrase-rows") if numbers else base
+    return materialize(_narrow(base).mapInPandas(run, _LIVE), "phrase-rows") if numbers else base
 
 
 def _extended(base: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
@@ -353,7 +360,7 @@ def _extended(base: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
             out.append(live.longer(gid).written(row["shard"]))
         return pd.DataFrame(out, columns=["shard", "part", "rest", "count", "rows", "lf", "own", "ends"])
 
-    return materialize(base.groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(run, _LIVE), "phrase-rows")
+    return materialize(_narrow(base).groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(run, _LIVE), "phrase-rows")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
