@@ -244,6 +244,11 @@ def q_hash_split(spark, sf_dir):
     return split.hash_split(o, "o_orderkey")
 
 
+def q_exact_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return split.exact_split(o, "o_orderkey")
+
+
 QUERIES = {
     "column_profile": q_column_profile,
     "pages_profile": _text_profile("pages"),
@@ -275,6 +280,7 @@ QUERIES = {
     "iqr_filter": q_iqr_filter,
     "polynomial_features": q_polynomial_features,
     "hash_split": q_hash_split,
+    "exact_split": q_exact_split,
 }
 
 

@@ -195,6 +195,10 @@ ORACLES: dict[str, str] = {
         SELECT event_id, value FROM events, q
         WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""",
     "polynomial_features": _polynomial(),
+    "exact_split": """
+        SELECT * EXCLUDE (r, n), r <= ceil(0.3 * n) AS is_test FROM (
+            SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat(o_orderkey::VARCHAR, '-42'))) AS r,
+                   count(*) OVER () AS n FROM orders)""",
     "hash_split": f"SELECT o_orderkey, {IS_TEST.format(k='o_orderkey')} AS is_test FROM orders",
 }
 
