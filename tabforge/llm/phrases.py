@@ -192,7 +192,7 @@ def read_live(row) -> Live:
     own, ends = np.frombuffer(zlib.decompress(row["own"]), np.uint8), unpack(row["ends"])
     if "bwt" in row:
         raw, first = zlib.decompress(row["bwt"]), int(row["first"])
-        words = zlib.decompress(row["names"]).decode("utf-8", "surrogatepass").split("\n")
+        words = row["names"].split("\n")
         lf = lf_of(np.frombuffer(raw, np.uint16 if len(raw) == 2 * (first + len(own)) else np.int32))
         return Live(np.arange(first, len(lf), dtype=np.int32), lf[first:], own, ends, (words,), np.zeros(len(words), np.int64))
     return Live(unpack(row["rows"]), np.frombuffer(row["lf"], np.int32), own, ends, (row["part"], row["rest"]), np.asarray(row["count"]))
@@ -266,7 +266,7 @@ class _Shard:
         begin = np.flatnonzero(new)
         # local ids: blank and terminator hold two places of the dictionary
         names = [names[i - 3] for i in word[begin]]
-        return {"shard": shard, "lang": lang, "words": names, "names": zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1),
+        return {"shard": shard, "lang": lang, "names": "\n".join(names),
                 "count": np.add.reduceat(own.astype(np.int64), begin), "first": first,
                 "bwt": zlib.compress((bwt.astype(np.uint16) if len(self.ids) < 1 << 16 else bwt).tobytes(), 1),
                 "own": zlib.compress(own.tobytes(), 1), "ends": pack(np.append(begin[1:], len(word)))}
@@ -291,7 +291,7 @@ def _shards(docs: DataFrame, tokens: int, slice_bytes: int) -> DataFrame:
             if held[lang].size:
                 yield flush(lang)
 
-    return docs.mapInPandas(run, "shard long, lang string, words array<string>, names binary, count array<long>, "
+    return docs.mapInPandas(run, "shard long, lang string, names string, count array<long>, "
                                  "first int, bwt binary, own binary, ends binary")
 
 
@@ -312,8 +312,8 @@ _LIVE = "shard long, part array<long>, rest array<long>, count array<long>, rows
 
 
 def _narrow(base: DataFrame) -> DataFrame:
-    """What tasks need of a shard: its words as one compressed text, unpacked one shard at a time."""
-    return base.drop("words", "count") if "words" in base.columns else base
+    """What tasks need of a shard: its words as one text (a line each), split one shard at a time."""
+    return base.drop("count") if "names" in base.columns else base
 
 
 def _counts(base: DataFrame, numbers: list) -> DataFrame:
@@ -347,6 +347,8 @@ def _extended(base: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """The next depth where the frequent phrases are too many to broadcast: they meet the
     shards' intervals in a join, and each shard meets its own."""
     names = ["part", "rest"] if "part" in base.columns else ["words"]
+    if "names" in base.columns:
+        base = base.withColumn("words", F.split("names", "\n"))
     groups = base.select("shard", *(["lang"] if names == ["words"] else []), F.posexplode(F.arrays_zip(*names)).alias("grp", "x"))
     groups = groups.select("*", "x.*").withColumnRenamed("words", "word")
     alive = groups.join(known.select(*on, "gid"), on).select(F.col("shard").alias("of"), "grp", "gid")
@@ -360,7 +362,7 @@ def _extended(base: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
             out.append(live.longer(gid).written(row["shard"]))
         return pd.DataFrame(out, columns=["shard", "part", "rest", "count", "rows", "lf", "own", "ends"])
 
-    return materialize(_narrow(base).groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(run, _LIVE), "phrase-rows")
+    return materialize(_narrow(base.drop("words")).groupBy("shard").cogroup(alive.groupBy("of")).applyInPandas(run, _LIVE), "phrase-rows")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -372,7 +374,7 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
     src = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     spark = docs.sparkSession
     base = materialize(_shards(src, shard_tokens, slice_bytes), "phrase-shards")
-    words = base.select("lang", F.explode(F.arrays_zip("words", "count")).alias("w")).select(
+    words = base.select("lang", F.explode(F.arrays_zip(F.split("names", "\n").alias("words"), "count")).alias("w")).select(
         "lang", F.col("w.words").alias("word"), F.col("w.count").alias("count"))
     totals = words.groupBy("lang").agg(F.sum("count").alias("n"))
     known = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= min_count)
