@@ -17,6 +17,7 @@ from tabforge.plans import prep as P
 from tabforge.plans import runner as R
 from tabforge.plans import saved
 from tabforge.session import materialize, scratch_path
+from tabforge.sources import charset
 from tabforge.sources import csv as csvsrc
 from tabforge.sources import sinks
 
@@ -46,6 +47,30 @@ def q_csv_documents(spark, sf_dir):
     return csvsrc.read_table(spark, path, sep=",")
 
 
+_VOTES = ("candidate", "n_bytes", "n_high", "n_zero", "n_invalid")
+
+
+def q_charset_documents(spark, sf_dir):
+    """S3 over a written file of all texts: malformed bytes per candidate charset."""
+    path = scratch_path(spark, f"documents-text-{uuid.uuid4().hex}")
+    C.table(spark, sf_dir, "documents").select("text").write.text(path, lineSep="\n")
+    return charset.charset_votes(charset.byte_lines(spark, path)).select(*_VOTES)
+
+
+def q_charset_bytes(spark, sf_dir):
+    """S3 over lines of arbitrary bytes: 16 of them per event."""
+    lines = C.table(spark, sf_dir, "events").select(F.unhex(F.md5(F.col("event_id").cast("string"))).alias("value"))
+    return charset.charset_votes(lines).select(*_VOTES)
+
+
+def q_csv_charset(spark, sf_dir):
+    """All texts written in a single-byte charset, told and read back."""
+    path = scratch_path(spark, f"documents-latin-{uuid.uuid4().hex}")
+    d = C.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("caf\u00e9 "), "text").alias("text"))
+    d.write.options(header=True, escape='"', quoteAll=True, lineSep="\n", encoding="ISO-8859-1").csv(path)
+    return csvsrc.read_table(spark, path, sep=",")
+
+
 def q_csv_types(spark, sf_dir):
     """S1 types: whole numbers, numbers, truth values, and texts that only look like numbers."""
     path = scratch_path(spark, f"types-csv-{uuid.uuid4().hex}")
@@ -235,6 +260,7 @@ def majority_oracle() -> str:
 
 QUERIES = {
     "r2_large_offset": q_r2_large_offset, "auc_one_sided": q_auc_one_sided, "csv_documents": q_csv_documents, "csv_types": q_csv_types,
+    "charset_documents": q_charset_documents, "charset_bytes": q_charset_bytes, "csv_charset": q_csv_charset,
     "rule_height_weight": q_rule_height_weight, "rule_date_typed": q_rule_date_typed, "rule_location": q_rule_location,
     "rule_salary_text": q_rule_salary_text, "rule_text_target": q_rule_text_target,
     "fact_flagship_normal_equations": q_fact_flagship_normal_equations, "fact_logistic_optimum": q_fact_logistic_optimum,
@@ -245,6 +271,32 @@ QUERIES = {
     **{f"run_{m.lower()}": _run(m) for m in models.MODEL_NAMES},
 }
 
+# Well-formed byte sequences as pairs of hexadecimal digits (for RE2).
+_H = "(?:A[1-9A-F]|[B-E].|F[0-9A-E])"
+_HEX_SEQUENCES = {
+    "utf-8": "(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(?:E[1-9A-CEF])[89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB]."
+             "|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].",
+    "euc_kr": f"(?:A[1-9A-F]|[B-E].|F[0-9A-D]){_H}",
+    "euc_jp": f"{_H}{_H}|8E(?:A[1-9A-F]|[BCD].)|8F{_H}{_H}",
+    "shift_jis": "(?:A[1-9A-F]|[BCD].)|(?:8[1-9A-F]|9.|E.|F[0-9A-C])(?:[4-6].|7[0-9A-E]|[89A-E].|F[0-9A-C])",
+    "gb18030": "(?:8[1-9A-F]|[9A-E].|F[0-9A-E])(?:[4-6].|7[0-9A-E]|[89A-E].|F[0-9A-E])"
+               "|(?:8[1-9A-F]|[9A-E].|F[0-9A-E])3[0-9](?:8[1-9A-F]|[9A-E].|F[0-9A-E])3[0-9]",
+    "big5": f"(?:A[1-9A-F]|[B-E].|F[0-9])(?:[4-6].|7[0-9A-E]|{_H})",
+    "cp1252": "8[02-9A-CE]|9[1-9A-CEF]|[A-F].",
+}
+
+
+def charset_oracle(source: str) -> str:
+    """``source``: a subquery with the lines' bytes as hexadecimal text ``x``. Each step takes
+    whole bytes; what no sequence explains is kept, one byte at a time."""
+    left = lambda p: f"length(regexp_replace(x, '[0-7].|{p}|(..)', '\\1', 'g')) // 2"
+    high = "length(regexp_replace(x, '[0-7].|(..)', '\\1', 'g')) // 2"
+    zero = "length(regexp_replace(x, '(00)|..', '\\1', 'g')) // 2"
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS candidate, sum(length(x) // 2)::BIGINT AS n_bytes, sum({high})::BIGINT AS n_high, "
+        f"sum({zero})::BIGINT AS n_zero, sum({left(p)})::BIGINT AS n_invalid FROM ({source})" for c, p in _HEX_SEQUENCES.items())
+
+
 _HEIGHT = "((p_size // 12) * 12 + p_size % 12) * 2.54::DOUBLE"
 ORACLES = {
     "r2_large_offset": f"""SELECT count(*) AS n_test, round(1 - sum((l_discount * 20) ^ 2) / (var_pop(l_quantity) * count(*)), 4) AS r2,
@@ -254,6 +306,9 @@ ORACLES = {
     "auc_one_sided": O.ROC_INPUT + """ SELECT 'quality' AS class, round(sum(fp_n / N * (2 * tps - tp_n) / P / 2), 6) + 0.0 AS auc FROM c WHERE class = 1
         UNION ALL SELECT 'all', NULL UNION ALL SELECT 'none', NULL""",
     "csv_documents": "SELECT doc_id, nullif(text, '') AS text, lang, n_chars FROM documents",
+    "charset_documents": charset_oracle("SELECT hex(replace(text, chr(10), '')) AS x FROM documents"),
+    "charset_bytes": charset_oracle("SELECT upper(md5(event_id::VARCHAR)) AS x FROM events"),
+    "csv_charset": """SELECT doc_id, regexp_replace('caf\u00e9 ' || text, '[^\\x{0}-\\x{ff}]', '?', 'g') AS text FROM documents""",
     "csv_types": "SELECT event_id, round(value, 6) AS value, user_id % 2 = 0 AS even, concat(user_id, 'D') AS seat FROM events",
     "rule_height_weight": f"""WITH w AS (SELECT avg(p_retailprice) FILTER (p_partkey % 9 <> 0) AS m FROM part)
         SELECT p_partkey, round({_HEIGHT}, 6) + 0.0 AS height, round(CASE WHEN p_partkey % 9 = 0 THEN m ELSE p_retailprice END, 6) + 0.0 AS weight

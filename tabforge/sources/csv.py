@@ -13,10 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabforge.sources.charset import byte_lines, detect_encoding
+from tabforge.sources.records import csv_records
+
 # Fixed values --------------------------------------------------------------------
 # Texts read as missing (the pandas 2.x default NA set), in its natural order.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -26,6 +30,8 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 DELIMITER_CANDIDATES = (",", ";", "\t", " ", "|")
 DEFAULT_DELIMITER = ","
 DEFAULT_ENCODING = "utf-8"
+# Charsets that Spark's own CSV reader decodes; others are decoded record by record.
+READER_ENCODINGS = ("us-ascii", "iso-8859-1", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32")
 # ----------------------------------------------------------------------------------
 
 _QUOTED = r'"([^"]|"")*"'
@@ -82,6 +88,13 @@ def raw_lines(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING)
     the CSV reader with a control character as separator and quoting off hands
     back each line whole (a leading byte-order mark is dropped, blank lines are
     skipped as pandas does)."""
+    if encoding.lower() not in READER_ENCODINGS:
+        @F.pandas_udf("string")
+        def decoded(values: pd.Series) -> pd.Series:
+            return values.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+        lines = byte_lines(spark, path).select(F.regexp_replace(decoded("value"), "\r$", "").alias("value"))
+        return lines.where(F.length("value") > 0)
     df = (spark.read.option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000")
           .option("header", False).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False)
           .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000__no_null__")
@@ -155,28 +168,63 @@ def has_open_quotes(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCO
 
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None,
-               encoding: str = DEFAULT_ENCODING, infer: bool = True,
+               encoding: str | None = None, infer: bool = True,
                with_rejects: bool = False, multiline: bool | None = None):
     """Read a CSV file (or folder of part files, each with the header) with a header.
 
-    ``sep=None`` detects the separator (S2). The CSV reader skips the header by its
-    position in each file and reads quoted line breaks; ``multiline=None`` reads files
-    whole only when a quoted field spans lines, so that others stay splittable. The NA
+    ``encoding=None`` detects the charset (S3), ``sep=None`` the separator (S2). Files stay
+    splittable: those whose quoted fields span lines, and those in charsets that Spark's
+    reader does not decode, are joined into records by ``records.csv_records`` and their
+    records parsed; others go to the CSV reader, which skips the header by its position in
+    each file. ``multiline=True`` reads each file whole by the CSV reader instead, which UTF-16
+    always gets and which lines ending in a lone carriage return need. The NA
     tokens become NULL (S5), short rows are padded, rows with too many fields are set
     aside (S4; returned as a second DataFrame with ``with_rejects``), then long / double /
     boolean / string types are inferred with one aggregate."""
+    encoding = encoding or detect_encoding(spark, path)
     sep = sep or detect_delimiter(spark, path, encoding)
+    native, wide = encoding.lower() in READER_ENCODINGS, encoding.lower().startswith(("utf-16", "utf-32"))
     if multiline is None:
-        multiline = has_open_quotes(spark, path, encoding)
+        if not wide and (not native or has_open_quotes(spark, path, encoding)):
+            return _read_records(spark, path, sep, encoding, infer, with_rejects)
+        multiline = wide
     reader = lambda: (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
                       .option("quote", '"').option("escape", '"').option("multiLine", multiline)
                       .option("mode", "PERMISSIVE").option("enforceSchema", True).option("maxCharsPerColumn", -1))
     names = header_names(sep.join('"' + c.replace('"', '""') + '"' for c in _raw_header(spark, path, sep, encoding, multiline)), sep)
+    bad = _corrupt_name(names)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
+    rows = reader().schema(schema).option("columnNameOfCorruptRecord", bad).csv(path)
+    return _finished(rows, names, bad, sep, infer, with_rejects)
+
+
+def _corrupt_name(names: Sequence[str]) -> str:
     bad = "_corrupt"
     while bad.lower() in {n.lower() for n in names}:
         bad += "_"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, bad]])
-    rows = reader().schema(schema).option("columnNameOfCorruptRecord", bad).csv(path)
+    return bad
+
+
+def _read_records(spark: SparkSession, path: str, sep: str, encoding: str, infer: bool, with_rejects: bool):
+    """``read_table`` over records joined from split files."""
+    records = csv_records(spark, path, sep, encoding)
+    # any file's header: as in a folder read by the CSV reader, all are taken as equal
+    first = records.where("header").select("record").first()
+    if first is None:
+        raise ValueError(f"no lines in {path}")
+    names = header_names(first["record"], sep)
+    bad = _corrupt_name(names)
+    ticked = [n.replace("`", "``") for n in [*names, bad]]
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad,
+               "maxCharsPerColumn": "-1"}
+    parsed = records.where("NOT header").select(
+        F.from_csv("record", ", ".join(f"`{n}` string" for n in ticked), options).alias("r")).select("r.*")
+    return _finished(parsed, names, bad, sep, infer, with_rejects)
+
+
+def _finished(rows: DataFrame, names: Sequence[str], bad: str, sep: str, infer: bool, with_rejects: bool):
+    """Rows read as texts, with the flagged ones' raw text in ``bad``: missing values, rows
+    with too many fields, types."""
     # a flagged row is short (padded, kept) or long; a row of one field is never short
     # (naming every column keeps the reader from parsing only some fields of a row, which
     # would hide that it is too long)
