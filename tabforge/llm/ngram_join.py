@@ -16,9 +16,12 @@ order gives the same links, so the estimate touches speed only.
 Groups of copies cost linear work. Documents with equal sets share one key, and one task
 emits a key once. Inside a bucket (documents sharing a prefix shingle) each document meets
 the bucket's shortest and its neighbour in length; over all its buckets, the first round
-compares it with the FIRST_PARTNERS it met most often. Links found there join documents into components; the second round compares exactly those pairs
-of the bucket whose documents are not yet in one component: members outside the bucket's
-main component against all. Every pair that passes the filters is thus either verified or
+compares it with the FIRST_PARTNERS it met most often. Links found there join documents into
+components. Up to CENTRE_ROUNDS further rounds, each linear in a bucket's rows, compare the
+members outside a bucket's main component with that component's centre, its member of most
+links: copies of one text that differ among themselves meet the text they come from. The last
+round compares exactly those pairs of the bucket whose documents are still not in one
+component: members outside the bucket's main component against all. Every pair that passes the filters is thus either verified or
 already connected, so components are those of all links. A frequent shingle's bucket is
 salted by its estimate into parts of about SALT_ROWS rows whose first rows are linked in turn.
 
@@ -51,6 +54,8 @@ PERCENT = 75
 SLOTS, BLOCKS, SALTS = 1 << 18, 16, 1024
 SALT_ROWS = 20_000
 FIRST_PARTNERS = 2
+CENTRE_ROUNDS = 3
+FLUSH = 500_000  # shingles a worker holds before it hands rows on
 NEED_BITS = 1 << 24
 
 
@@ -184,10 +189,10 @@ def frequency_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- pass 2: prefixes, buckets and first candidates -------------------------------------------
 def _prefixes(src: DataFrame, level, salts, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, parts = level.value, salts.value
+        cls = level.value
         seen: set[bytes] = set()
         for pdf in batches:
-            h, who, n, pos = [], [], [], []
+            h, who, n, pos, held = [], [], [], [], 0
             for s in shingle_sets(pdf["text"].tolist()):
                 if not len(s):
                     continue
@@ -195,6 +200,9 @@ def _prefixes(src: DataFrame, level, salts, percent: int) -> DataFrame:
                 if key in seen:
                     continue
                 seen.add(key)
+                if held > FLUSH:
+                    yield rows(h, who, n, pos)
+                    h, who, n, pos, held = [], [], [], [], 0
                 c = cls[slot_of(s)]
                 p = prefix_length(len(s), percent)
                 # s is in hash order already: rare first is a stable sort by class
@@ -203,11 +211,15 @@ def _prefixes(src: DataFrame, level, salts, percent: int) -> DataFrame:
                 who.append(np.full(p, short_id(key)))
                 n.append(np.full(p, len(s), dtype=np.int32))
                 pos.append(np.arange(p, dtype=np.int32))
+                held += p
             if h:
-                hh, ids = np.concatenate(h), np.concatenate(who)
-                k = parts[slot_of(hh)]
-                yield pd.DataFrame({"h": hh.view(np.int64), "salt": (ids % k).astype(np.int32), "salts": k, "id": ids,
-                                    "n": np.concatenate(n), "pos": np.concatenate(pos)})
+                yield rows(h, who, n, pos)
+
+    def rows(h: list, who: list, n: list, pos: list) -> pd.DataFrame:
+        hh, ids = np.concatenate(h), np.concatenate(who)
+        k = salts.value[slot_of(hh)]
+        return pd.DataFrame({"h": hh.view(np.int64), "salt": (ids % k).astype(np.int32), "salts": k, "id": ids,
+                             "n": np.concatenate(n), "pos": np.concatenate(pos)})
 
     return src.mapInPandas(run, "h long, salt int, salts int, id long, n int, pos int")
 
@@ -306,10 +318,13 @@ def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask, seen = need.value, set()
         for pdf in batches:
-            ids, keys, bodies = [], [], []
+            ids, keys, bodies, held = [], [], [], 0
             for s in shingle_sets(pdf["text"].tolist()):
                 if not len(s):
                     continue
+                if held > FLUSH:
+                    yield pd.DataFrame({"id": ids, "set_key": keys, "body": bodies})
+                    ids, keys, bodies, held = [], [], [], 0
                 key = set_key(s)
                 x = short_id(key)
                 at = x & (NEED_BITS - 1)
@@ -318,6 +333,7 @@ def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     ids.append(x)
                     keys.append(key.hex())
                     bodies.append(s.tobytes())
+                    held += len(s)
             if ids:
                 yield pd.DataFrame({"id": ids, "set_key": keys, "body": bodies})
 
@@ -362,10 +378,37 @@ def _more_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
             .select("node", F.coalesce("top", "label").alias("label")))
 
 
+def _by_id(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label) of the linked documents."""
+    known = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("key_a").alias("node")),
+                                           F.struct(F.col("id_b").alias("id"), F.col("key_b").alias("node")))).alias("x"))
+    return known.select("x.*").distinct().join(labels, "node").select("id", "label").dropDuplicates(["id"])
+
+
+def _labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows (h, id, n, pos) with their component's label, their own id where they have none."""
+    return (live.select("h", "id", "n", "pos").join(labels, "id", "left")
+            .withColumn("label", F.coalesce("label", F.col("id").cast("string"))))
+
+
+def _centre_round(live: DataFrame, labels: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members outside a bucket's main component with the main component's member of
+    most links in that bucket; of these centres, the FIRST_PARTNERS met most often."""
+    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    rows = _labelled(live, labels).join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("links", "id", "n", "pos")).alias("centre"))
+    main = (per.groupBy("h").agg(F.max(F.struct("k", "label", "centre")).alias("m"), F.count(F.lit(1)).alias("labels"))
+            .where("labels > 1").select(F.col("h").alias("m_h"), F.col("m.label").alias("main"), "m.centre.id", "m.centre.n", "m.centre.pos"))
+    met = (rows.alias("o").join(main.alias("r"), F.col("o.h") == F.col("r.m_h"))
+           .where((F.col("o.label") != F.col("r.main")) & may_link_sql("o", "r", percent))
+           .groupBy(F.col("o.id").alias("a"), F.col("r.id").alias("b")).agg(F.count(F.lit(1)).alias("k")))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
+    return met.withColumn("r", rank).where(F.col("r") <= FIRST_PARTNERS).select("a", "b")
+
+
 def _second_round(live: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of one bucket whose documents are in different components."""
-    rows = (live.select("h", "id", "n", "pos").join(labels, "id", "left")
-            .withColumn("label", F.coalesce("label", F.col("id").cast("string"))))
+    rows = _labelled(live, labels)
     per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
     main = (per.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
             .where("labels > 1").select("h", F.col("m.label").alias("main")))
@@ -399,10 +442,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     first = materialize(_pairs(_first_round(live), across), "ngram-pairs")
     links = materialize(_verified(src, materialize(_screened(first, suffixes, percent), "ngram-screened"), percent), "ngram-links")
     labels = materialize(_labels(_key_edges(links)), "ngram-labels")
-    known = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("key_a").alias("node")),
-                                           F.struct(F.col("id_b").alias("id"), F.col("key_b").alias("node")))).alias("x"))
-    short = known.select("x.*").distinct().join(labels, "node").select("id", "label").dropDuplicates(["id"])
-    second = _pairs(_second_round(live, short, percent)).join(first, ["a", "b"], "left_anti")
+    tested = first
+    for _ in range(CENTRE_ROUNDS):
+        near = materialize(_pairs(_centre_round(live, _by_id(links, labels), links, percent)).join(tested, ["a", "b"], "left_anti"),
+                           "ngram-centre-pairs")
+        tested = tested.unionByName(near)
+        more = materialize(_verified(src, materialize(_screened(near, suffixes, percent), "ngram-screened"), percent), "ngram-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = materialize(_more_labels(labels, more), "ngram-labels")
+    second = _pairs(_second_round(live, _by_id(links, labels), percent)).join(tested, ["a", "b"], "left_anti")
     second = materialize(_screened(second, suffixes, percent), "ngram-pairs2")
     if not second.isEmpty():
         more = materialize(_verified(src, second, percent), "ngram-links2")
