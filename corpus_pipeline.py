@@ -46,10 +46,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    (``packing.pieces(with_ids=True)`` gives the ids themselves; ids_crc32 names them.)"""
-    packed = packing.pack(docs, tokenizer_path())
-    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens",
+    """One row per piece: doc_id, start, length, ids (the tokens themselves), ids_crc32,
+    doc_tokens, sequence_id, offset."""
+    packed = packing.pack(docs, tokenizer_path(), with_ids=True)
+    return packed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids", "ids_crc32", "doc_tokens",
                          "sequence_id", "offset")
 
 
