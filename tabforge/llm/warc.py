@@ -18,9 +18,10 @@ join is one page, so it has no hot key. Reading back, the store is hashed once w
 lies; the join that rebuilds records has one stored row per digest, and a hot digest only on
 the records' side, which adaptive execution splits.
 
-Defined results: NULL html is an empty payload; a NULL url is an empty target; a NULL
-page_id sorts after all others; rows that repeat a page_id and payload give one response,
-the rest revisits of it; an empty table gives an empty archive; extra columns are ignored.
+Defined results: NULL html is an empty payload; a NULL url is an empty target; line breaks in
+a url are percent-encoded, so it stays one header line; a NULL page_id sorts after all others;
+rows that repeat a page_id and payload give one response, the rest revisits of it; an empty
+table gives an empty archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +42,18 @@ def _urn(page_id: Column, digest: Column, copy: Column) -> Column:
                     F.substring(digest, 1, 16), F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
+def _one_line(url: Column) -> Column:
+    """A url's line breaks percent-encoded: it cannot end its header line and begin another."""
+    return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _headers(kind: str) -> Column:
     """The exact header block of a record, up to and including the empty line."""
     lines = [
         F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"),
         F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
         F.lit(f"WARC-Date: {DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit(""))),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(_one_line(F.col("url")), F.lit(""))),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.lit("Content-Type: text/html; charset=utf-8")]
     if kind == "revisit":
