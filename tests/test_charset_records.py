@@ -8,6 +8,7 @@ import random
 import pytest
 
 from tabforge.sources import csv as C
+from tabforge.sources import records
 from tabforge.sources.charset import SEQUENCES, byte_lines, charset_votes, detect_encoding
 from tabforge.sources.records import csv_records, ends_inside
 
@@ -112,7 +113,9 @@ def test_records_of_split_files_match_a_whole_read(spark, tmp_dir, tiny_splits):
     assert sorted((tuple(r) for r in back.collect()), key=repr) == sorted((tuple(null(v) for v in r[1:]) for r in want), key=repr)
 
 
-def test_literal_quotes_and_a_quote_never_closed(spark, tmp_dir, tiny_splits):
+@pytest.mark.parametrize("broadcast", [100, -1])
+def test_literal_quotes_and_a_quote_never_closed(spark, tmp_dir, tiny_splits, monkeypatch, broadcast):
+    monkeypatch.setattr(records, "BROADCAST_SPLITS", broadcast)
     path = os.path.join(tmp_dir, "quotes.csv")
     with open(path, "w", newline="") as f:
         f.write('a,b\n5" pipe,1\n' + "x,2\n" * 100 + 'y,"open\n' + "z,3\n" * 200)
