@@ -82,26 +82,52 @@ def _settable(spark: SparkSession) -> bool:
 #: Paths that ``materialize`` has written in this process.
 _WRITTEN: list[str] = []
 
+#: Shuffle files of a finished query go at once, not when the driver next collects garbage.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
 
 def drop_scratch(spark: SparkSession) -> int:
     """Deletes the tables that ``materialize`` has written so far and returns their number.
     For the owner of the session, once the results that read them have been consumed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     n = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
+        n += _delete(spark, _WRITTEN.pop())
     return n
 
 
+def release(*frames) -> None:
+    """Deletes the tables behind frames that ``materialize`` returned. For an operator whose
+    later tables are written, so that nothing reads these any more."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
+
+
 def materialize(df, name: str = "t"):
     """Cut lineage: write ``df`` once as parquet under the shared checkpoint folder
     and read it back. One job (a reliable RDD checkpoint of an unpersisted
     DataFrame computes it twice), and a lost executor never replays the
-    lineage before this point."""
+    lineage before this point. The write's shuffle files are removed when it is done."""
     import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
     _WRITTEN.append(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
