@@ -17,17 +17,20 @@ Groups of copies cost linear work. Documents with equal sets share one key, and
 emits a key once. Inside a bucket (documents sharing a prefix shingle) each document meets
 the bucket's shortest and its neighbour in length; over all its buckets, the first round
 compares it with the FIRST_PARTNERS it met most often. Links found there join documents into
-components. Up to CENTRE_ROUNDS further rounds, each linear in a bucket's rows, compare the
-members outside a bucket's main component with that component's centre, its member of most
-links: copies of one text that differ among themselves meet the text they come from. The last
-round compares exactly those pairs of the bucket whose documents are still not in one
-component: members outside the bucket's main component against all. Every pair that passes the filters is thus either verified or
-already connected, so components are those of all links. A frequent shingle's bucket is
-salted by its estimate into parts of about SALT_ROWS rows whose first rows are linked in turn.
-
-Texts are read three times (sketch and keys, prefixes, sets of candidates) and never
-shuffled. Broadcast are the sketch (SLOTS counters) and a bitmap of the documents that
-verification needs (NEED_BITS bits; a false positive ships a set in vain).
+components. While a bucket's members outside its main component would make many pairs,
+sampled rounds, linear in the rows left, deal each bucket by a hash of the document into hands
+of about SHARE rows (SHARE times as many each round), and a member tries the hand-mates it met
+most often: near copies that differ among themselves soon meet one they link with, and leave
+the rows that are left. The last round compares exactly those pairs of a bucket whose documents
+are still not in one component: members outside the bucket's main component against all. Every
+pair that passes the filters is thus either verified or already connected, so components are
+those of all links, whatever was sampled before. A frequent shingle's bucket is salted by its
+estimate into parts of about SALT_ROWS rows whose first rows are linked in turn.
+
+Texts are read twice (sketch and keys, prefixes) and once more in each round that needs sets
+not written yet; they are never shuffled. Broadcast are the sketch (SLOTS counters) and a bitmap of the documents that
+verification needs (NEED_BITS bits; a false positive ships a set in vain). A finished round's
+tables are deleted.
 
 Defined results: a NULL or white text has the empty set, links with nothing, and is its own
 component; a NULL doc_id is never a component's name while another member has one;
@@ -48,13 +51,15 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import free_names
 from tabforge.llm.shingles import shingle_sets
 from tabforge.operators.density import connected_min_labels
-from tabforge.session import materialize
+from tabforge.session import materialize, release
 
 PERCENT = 75
 SLOTS, BLOCKS, SALTS = 1 << 18, 16, 1024
 SALT_ROWS = 20_000
 FIRST_PARTNERS = 2
-CENTRE_ROUNDS = 3
+SHARE = 8  # rows of a hand in the first sampled round, and partners a member tries of it
+FEW_PAIRS = 4  # pairs a row that the exact round takes without sampling first
+GROWTH = 16  # sampling goes on while a round adds a document to this many linked ones
 FLUSH = 500_000  # shingles a worker holds before it hands rows on
 NEED_BITS = 1 << 24
 
@@ -303,13 +308,19 @@ def _screened(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 # ---- pass 3: verification -----------------------------------------------------------------------
-def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (key_a, id_a, key_b, id_b) among candidate pairs (a, b) of short ids."""
+def _sets(src: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> list[DataFrame]:
+    """The written tables (id, set_key, body) that hold the sets of the candidate pairs:
+    those ``known`` and, where ids are missing there, one more."""
     spark = src.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    for t in known:
+        ids = ids.join(t.select("id"), "id", "left_anti")
     slot = F.col("id").bitwiseAND(F.lit(NEED_BITS - 1)) + 1
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("s")).distinct()
+    needed = ids.select(slot.alias("s")).distinct()
     blocks = needed.groupBy(F.bitmap_bucket_number("s").alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()  # at most NEED_BITS / 32768 rows
+    if not blocks:
+        return known
     bits = np.zeros(NEED_BITS // 8, dtype=np.uint8)
     for r in blocks:
         bits[(r["k"] - 1) * 4096:r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -337,10 +348,17 @@ def _verified(src: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             if ids:
                 yield pd.DataFrame({"id": ids, "set_key": keys, "body": bodies})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = src.mapInPandas(sets, "id long, set_key string, body binary").repartition(parts, "id")
-    found = found.dropDuplicates(["id", "set_key"])
-    found = materialize(found, "ngram-sets")
+    found = src.mapInPandas(sets, "id long, set_key string, body binary").dropDuplicates(["id", "set_key"])
+    for t in known:  # ids that share a place of the bitmap
+        found = found.join(t.select("id"), "id", "left_anti")
+    return [*known, materialize(found, "ngram-sets")]
+
+
+def _verified(pairs: DataFrame, sets: list[DataFrame], percent: int) -> DataFrame:
+    """Links (key_a, id_a, key_b, id_b) among candidate pairs (a, b) of short ids."""
+    found = sets[0]
+    for t in sets[1:]:
+        found = found.unionByName(t)
     one = found.select(F.col("id").alias("a"), F.col("set_key").alias("key_a"), F.col("body").alias("body_a"))
     two = found.select(F.col("id").alias("b"), F.col("set_key").alias("key_b"), F.col("body").alias("body_b"))
 
@@ -391,33 +409,41 @@ def _labelled(live: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("label", F.coalesce("label", F.col("id").cast("string"))))
 
 
-def _centre_round(live: DataFrame, labels: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members outside a bucket's main component with the main component's member of
-    most links in that bucket; of these centres, the FIRST_PARTNERS met most often."""
-    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    rows = _labelled(live, labels).join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("links", "id", "n", "pos")).alias("centre"))
-    main = (per.groupBy("h").agg(F.max(F.struct("k", "label", "centre")).alias("m"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1").select(F.col("h").alias("m_h"), F.col("m.label").alias("main"), "m.centre.id", "m.centre.n", "m.centre.pos"))
-    met = (rows.alias("o").join(main.alias("r"), F.col("o.h") == F.col("r.m_h"))
-           .where((F.col("o.label") != F.col("r.main")) & may_link_sql("o", "r", percent))
-           .groupBy(F.col("o.id").alias("a"), F.col("r.id").alias("b")).agg(F.count(F.lit(1)).alias("k")))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
-    return met.withColumn("r", rank).where(F.col("r") <= FIRST_PARTNERS).select("a", "b")
+def _all(links: list[DataFrame], none: DataFrame) -> DataFrame:
+    for t in links:
+        none = none.unionByName(t)
+    return none
 
 
-def _second_round(live: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one bucket whose documents are in different components."""
+def _mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several components (h, id, n, pos, label, main: the
+    label of most rows, rows: the bucket's size)."""
     rows = _labelled(live, labels)
     per = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = (per.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1").select("h", F.col("m.label").alias("main")))
-    mixed = materialize(rows.join(main, "h"), "ngram-mixed")
-    o, r = mixed.where("label != main").alias("o"), mixed.alias("r")
-    return (o.join(r, F.col("o.h") == F.col("r.h"))
-            .where((F.col("o.label") != F.col("r.label"))
-                   & ((F.col("r.label") == F.col("r.main")) | (F.col("o.id") < F.col("r.id"))) & may_link_sql("o", "r", percent))
-            .select(F.col("o.id").alias("a"), F.col("r.id").alias("b")))
+    main = (per.groupBy("h").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("rows"))
+            .where("labels > 1").select("h", F.col("m.label").alias("main"), "rows"))
+    return rows.join(main, "h")
+
+
+def _apart(mixed: DataFrame, percent: int, share: int | None = None, turn: int = 0) -> DataFrame:
+    """(a, b): pairs of one bucket whose documents are in different components, members outside
+    the main component against all others. With ``share`` a bucket is dealt by a hash of the id
+    (new each ``turn``) into hands of about that many rows and pairs are made in a hand; the
+    hands are nested, so two documents of one hand meet in all buckets of that size. Of these
+    a member tries the ``share`` it met most often."""
+    hands = F.lit(1)
+    if share is not None:
+        hands = F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("rows") / F.lit(share))), F.lit(0))).cast("long")
+    dealt = mixed.withColumn("hand", F.pmod(F.xxhash64("id", F.lit(turn)), hands))
+    o, r = dealt.where("label != main").alias("o"), dealt.alias("r")
+    met = (o.join(r, (F.col("o.h") == F.col("r.h")) & (F.col("o.hand") == F.col("r.hand")))
+           .where((F.col("o.label") != F.col("r.label"))
+                  & ((F.col("r.label") == F.col("r.main")) | (F.col("o.id") < F.col("r.id"))) & may_link_sql("o", "r", percent))
+           .select(F.col("o.id").alias("a"), F.col("r.id").alias("b")))
+    if share is None:
+        return met
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("k"), "b"))
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).withColumn("r", rank).where(F.col("r") <= share).select("a", "b")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -436,32 +462,49 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     hubs = salted.groupBy("h").agg(F.min(F.struct("n", "id", "pos")).alias("top"))
     across = (salted.alias("s").join(hubs.select("h", "top.*").alias("t"), F.col("s.h") == F.col("t.h"))
               .where(may_link_sql("s", "t", percent)).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = materialize(profile.where("set_key IS NOT NULL").select("id", "set_key", "n", "parts").repartition(parts, "id")
+    suffixes = materialize(profile.where("set_key IS NOT NULL").select("id", "set_key", "n", "parts")
                            .dropDuplicates(["id", "set_key"]).select("id", "n", "parts"), "ngram-suffixes")
-    first = materialize(_pairs(_first_round(live), across), "ngram-pairs")
-    links = materialize(_verified(src, materialize(_screened(first, suffixes, percent), "ngram-screened"), percent), "ngram-links")
-    labels = materialize(_labels(_key_edges(links)), "ngram-labels")
-    tested = first
-    for _ in range(CENTRE_ROUNDS):
-        near = materialize(_pairs(_centre_round(live, _by_id(links, labels), links, percent)).join(tested, ["a", "b"], "left_anti"),
-                           "ngram-centre-pairs")
-        tested = tested.unionByName(near)
-        more = materialize(_verified(src, materialize(_screened(near, suffixes, percent), "ngram-screened"), percent), "ngram-links")
-        if more.isEmpty():
+    none = spark.createDataFrame([], "key_a string, id_a long, key_b string, id_b long")
+    links, bodies, tried = [], [], []
+
+    def verify(pairs: DataFrame) -> DataFrame | None:
+        """Screens and verifies new pairs; the links found, None if there are none."""
+        nonlocal bodies
+        tried.append(materialize(pairs, "ngram-pairs"))
+        screened = materialize(_screened(tried[-1], suffixes, percent), "ngram-screened")
+        if screened.isEmpty():
+            release(screened)
+            return None
+        bodies = _sets(src, screened, bodies)
+        found = materialize(_verified(screened, bodies, percent), "ngram-links")
+        release(screened)
+        links.append(found)
+        return None if found.isEmpty() else found
+
+    found = verify(_pairs(_first_round(live), across))
+    labels = materialize(_labels(_key_edges(none if found is None else found)), "ngram-labels")
+    share, nodes, grown = SHARE, labels.count(), None
+    while True:
+        mixed = materialize(_mixed(live, _by_id(_all(links, none), labels)), "ngram-mixed")
+        size, most = mixed.agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") != F.col("main"), F.col("rows")))).first()
+        # the pairs that are left are few, or the last sampled round joined few documents
+        whole = (most or 0) <= FEW_PAIRS * size or (grown is not None and GROWTH * grown < nodes)
+        near = _pairs(_apart(mixed, percent, None if whole else share, share))
+        for t in tried:
+            near = near.join(t, ["a", "b"], "left_anti")
+        found = verify(near)
+        release(mixed)
+        if found is not None:
+            older, labels = labels, materialize(_more_labels(labels, found), "ngram-labels")
+            release(older)
+        if whole:
             break
-        links = links.unionByName(more)
-        labels = materialize(_more_labels(labels, more), "ngram-labels")
-    second = _pairs(_second_round(live, _by_id(links, labels), percent)).join(tested, ["a", "b"], "left_anti")
-    second = materialize(_screened(second, suffixes, percent), "ngram-pairs2")
-    if not second.isEmpty():
-        more = materialize(_verified(src, second, percent), "ngram-links2")
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            labels = materialize(_more_labels(labels, more), "ngram-labels2")
+        share, grown = share * SHARE, labels.count() - nodes
+        nodes += grown
+    release(live, suffixes, *tried, *bodies)
 
     sets = profile.where("block IS NULL")
-    degree = (_key_edges(links).select(F.explode(F.array("a", "b")).alias("node"))
+    degree = (_key_edges(_all(links, none)).select(F.explode(F.array("a", "b")).alias("node"))
               .groupBy("node").agg(F.count(F.lit(1)).alias("n_links")))
     named = labels.join(degree, "node").withColumnRenamed("node", "set_key")
     keys = (sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
