@@ -12,14 +12,17 @@ A first look at each text finds parts with exact patterns:
 Linking is an interval join inside the document: parts are sorted by start, a scope is a
 paragraph (blank lines part scopes) and at most WINDOW code points between two parts. Each
 weak part looks only at its nearest neighbours of each role on either side (a bisection in
-the role's sorted starts), so a text with many parts costs n log n, never all pairs.
+the role's sorted bounds), so a text with many parts costs n log n, never all pairs. Parts
+that overlap never complement each other, and a blob inside a keyid or endpoint is that
+part's own text, no candidate.
 
 * ``blob`` needs an identifier: an access part, or a keyid with an endpoint as well;
 * ``keyid`` needs a secret: an assign or hex part, or a linked blob;
 * ``endpoint`` needs an identifier and a secret.
 
 Offsets are code points, ends are exclusive. Texts stay where they are: one Arrow pass, no
-shuffle; very long texts cost memory in proportion to their own length only.
+shuffle; very long texts cost time and memory in proportion to their own length (patterns
+enter a run of characters once).
 
 Defined results: NULL is an empty text without spans (the digest of an empty string);
 repeated rows give equal rows; an empty table gives an empty result; only the named columns
@@ -31,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,9 +54,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 KEYID = re.compile(r"""(?:access_?key_?id|client_?id|account_?(?:id|name)|user_?(?:id|name)|login)["']?\x20*[:=]\x20*"""
                    r"""["']?[A-Za-z0-9@._-]{4,}""", re.IGNORECASE | re.ASCII)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b|"
-                      r"\b[a-z0-9.-]+\.amazonaws\.com\b)")
+BLOB = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-]|\.[A-Za-z0-9+/_=-])")
+#: A host is entered at the start of its run of labels alone, so a run is read once.
+ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|"
+                      r"(?<![\w-])(?<![\w-]\.)[\w-]++(?:(?:\.[\w-]++)++:[0-9]{2,5}\b|(?:\.[\w-]++)*\.amazonaws\.com\b))")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 BASE = ("assign", "access", "hex")
@@ -77,9 +81,9 @@ def entropy_bits(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-def weak_parts(text: str, base: list[Span]) -> list[Span]:
-    """Weak candidates that do not overlap a strong part."""
-    taken = sorted((s, e) for _, s, e in base)
+def _clear_of(parts: list[Span], others: list[Span]) -> list[Span]:
+    """The parts that overlap none of the others."""
+    taken = sorted((s, e) for _, s, e in others)
     starts = [s for s, _ in taken]
     ends: list[int] = []
     for _, e in taken:
@@ -89,37 +93,54 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
         i = bisect_left(starts, e)
         return i == 0 or ends[i - 1] <= s
 
+    return [x for x in parts if clear(x[1], x[2])]
+
+
+def weak_parts(text: str, base: list[Span]) -> list[Span]:
+    """Weak candidates that do not overlap a strong part; blobs that overlap neither a keyid
+    nor an endpoint."""
     out = [("keyid", m.start(), m.end()) for m in KEYID.finditer(text)]
     if "." in text or "://" in text:
         out += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    out = _clear_of(out, base)
+    blobs = []
     for m in BLOB.finditer(text):
         s = m.group()
         if (any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and len(s) >= BLOB_CHARS
                 and entropy_bits(s) >= BLOB_BITS):
-            out.append(("blob", m.start(), m.end()))
-    return [x for x in out if clear(x[1], x[2])]
+            blobs.append(("blob", m.start(), m.end()))
+    return out + _clear_of(blobs, base + out)
 
 
 def link(text: str, base: list[Span], weak: list[Span], window: int = WINDOW) -> list[Span]:
     """The weak parts that complementary parts in their scope confirm."""
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
     scope = lambda at: bisect_left(breaks, at)
-    by_kind = {k: sorted((s, e) for kind, s, e in (*base, *weak) if kind == k) for k in KINDS}
+    # parts of one kind never overlap, so their ends are in order as well
+    bounds = {}
+
+    def put(kind: str, parts: list[Span]) -> None:
+        at = sorted((s, e) for k, s, e in parts if k == kind)
+        bounds[kind] = [s for s, _ in at], [e for _, e in at]
+
+    for k in KINDS:
+        put(k, [*base, *weak])
 
     def near(part: Span, *kinds: str) -> bool:
         for k in kinds:
-            at = by_kind[k]
-            i = bisect_left(at, (part[1], part[2]))
-            for s, e in at[max(0, i - 1):i + 2]:
-                if ((k, s, e) != part and max(s - part[2], part[1] - e) <= window and scope(s) == scope(part[1])):
-                    return True
+            starts, ends = bounds[k]
+            left, right = bisect_right(ends, part[1]) - 1, bisect_left(starts, part[2])
+            if left >= 0 and part[1] - ends[left] <= window and scope(starts[left]) == scope(part[1]):
+                return True
+            if right < len(starts) and starts[right] - part[2] <= window and scope(starts[right]) == scope(part[1]):
+                return True
         return False
 
     blobs = [p for p in weak if p[0] == "blob"
              and (near(p, "access") or (near(p, "keyid") and near(p, "endpoint")))]
-    by_kind["blob"] = sorted((s, e) for _, s, e in blobs)
+    put("blob", blobs)
     names = [p for p in weak if p[0] == "keyid" and near(p, "assign", "hex", "blob")]
-    by_kind["keyid"] = sorted((s, e) for _, s, e in names)
+    put("keyid", names)
     places = [p for p in weak if p[0] == "endpoint" and near(p, "access", "keyid") and near(p, "assign", "hex", "blob")]
     return blobs + names + places
 
