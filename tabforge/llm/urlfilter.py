@@ -11,7 +11,10 @@ Urls stay where they are (one Arrow pass, no shuffle) in the first case.
 
 Defined results: a NULL url, or one without ``://``, has empty host and path, and no rule
 can fit; hosts are compared after lower-casing A-Z; empty labels (``a..b``) are labels;
-no rules: every url gets the default; an empty table gives an empty result.
+no rules: every url gets the default; an empty table gives an empty result. All columns are
+kept; a column of the input named ``host``, ``path``, ``rule`` or ``verdict`` stays under that
+name with underscores added (``host_``). Repeated rows get equal rows; very long urls cost
+their length in the trie, their host's rule lengths in the join.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ MAX_BROADCAST_RULES, MAX_BROADCAST_BYTES = 200_000, 16_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # verdict, host, path
+RESULT = ("host", "path", "rule", "verdict")
 
 
 def host_of(url: Column) -> Column:
@@ -42,6 +46,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _with_parts(pages: DataFrame, url: str) -> DataFrame:
+    """The table with host and path added; its own columns of the result's names renamed."""
+    clash = [c for c in pages.columns if c.lower() in RESULT]
+    room = dict(zip(clash, free_names([*pages.columns, *RESULT], *clash)))
+    base = pages.toDF(*[room.get(c, c) for c in pages.columns])
+    at = F.col(f"`{room.get(url, url)}`")
+    return base.withColumns({"host": host_of(at), "path": path_of(at)})
+
+
 class Trie:
     """Nodes are dicts. A host node has its children under ``("h", label)`` and, when it
     is a rule's host, path nodes under ``"p"``; a path node has children under ``("s",
@@ -110,34 +123,35 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
             yield pd.DataFrame({"rule": [f[1] if f else None for f in found],
                                 "verdict": [f[0] if f else default for f in found]})
 
-    (m,) = free_names(pages.columns, "_match")
-    base = pages.drop("host", "path", "rule", "verdict")
-    return (base.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-            .withColumn(m, match("host", "path"))
-            .select(*base.columns, "host", "path", f"{m}.rule", f"{m}.verdict"))
+    base = _with_parts(pages, url)
+    (m,) = free_names(base.columns, "_match")
+    return base.withColumn(m, match("host", "path")).select("*", f"{m}.rule", f"{m}.verdict").drop(m)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """The same rows for any number of rules: each distinct (host, path) is exploded into
-    its (host suffix, path prefix) keys - prefixes only of lengths that some rule has -
-    and joined on equality; the longest key wins. A suffix that most urls share (``com``)
-    is one hot key on the urls' side of the join alone, which adaptive execution splits."""
+    """The same rows for any number of rules: each distinct (host, path) is exploded into its
+    host suffixes; a suffix that has rules brings the lengths of its rules' paths (distinct
+    numbers, at most as many as its longest path has characters), and the path's prefixes of
+    those lengths are joined with the rules on equality; the longest key wins. A suffix that
+    most urls share (``com``) is one hot key on the urls' side of the joins alone, which
+    adaptive execution splits."""
     rows = rules.select(F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict",
                         F.concat("host", "path").alias("rule"))
     rows = rows.groupBy("r_host", "r_path").agg(F.max(F.struct("verdict", "rule")).alias("r"))
-    lengths = [r[0] for r in rows.select(F.length("r_path")).distinct().orderBy(F.length("r_path")).limit(100_000).collect()]
-    base = pages.drop("host", "path", "rule", "verdict").withColumns(
-        {"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    lengths = rows.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
+    base = _with_parts(pages, url)
     pairs = base.select("host", "path").where(F.col("host") != "").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")),
+    keys = pairs.withColumn("r_host", F.explode(suffixes)).join(lengths, "r_host")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")),
                            lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = (pairs.withColumn("r_host", F.explode(suffixes)).withColumn("r_path", F.explode(prefixes)))
+    keys = keys.select("host", "path", "r_host", F.explode(prefixes).alias("r_path"))
+    h, p, best_of = free_names(base.columns, "_host", "_path", "_best")
     best = (keys.join(rows, ["r_host", "r_path"])
-            .groupBy("host", "path").agg(F.max(F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"),
-                                                        "r")).alias("b"))
-            .select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "b.r.rule", "b.r.verdict"))
-    return (base.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-            .drop("b_host", "b_path").withColumn("verdict", F.coalesce("verdict", F.lit(default))))
+            .groupBy(F.col("host").alias(h), F.col("path").alias(p))
+            .agg(F.max(F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"), "r")).alias(best_of)))
+    return (base.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+            .withColumns({"rule": F.col(f"{best_of}.r.rule"), "verdict": F.coalesce(F.col(f"{best_of}.r.verdict"), F.lit(default))})
+            .drop(h, p, best_of))
