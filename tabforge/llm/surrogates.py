@@ -5,19 +5,24 @@ Entities: e-mail addresses, IPv4 addresses, phone numbers, payment cards, US soc
 security numbers, IBANs, and names after a title. A replacement keeps the type, the written
 format (punctuation, spacing, capitals), a phone's country code, a card's first digit with a
 valid check digit, an IBAN's country with valid check digits, a name's gender (from the
-title) and script (Latin, Cyrillic, Greek).
+titles it has anywhere in the corpus; neutral if they differ) and script (Latin, Cyrillic, Greek).
 
 One corpus-wide table maps every distinct entity to its surrogate, so the same entity is the
 same surrogate in every document and format (coreference; a surname is mapped on its own, so
-"Mr. Smith" and "Mr. John Smith" stay related). Surrogates are drawn from SHA-256 of the
+"Mr. Smith" and "Mr. John Smith" stay related). Given names and surnames found with a title
+are also replaced where the same document writes them without one, as whole capitalised words
+(a word that is both counts as a given name). Surrogates are drawn from SHA-256 of the
 secret key and the entity. Collision checks preserve distinctness: a draw that another
-entity already has, or that equals any real entity of the corpus, is drawn again.
+entity already has, or that equals any real entity of the corpus, is drawn again; from draw
+WIDEN on, names, addresses and phones grow by a syllable, letter or digit a draw, so forms
+never run out.
 
 Scale: documents without entities pass through without a shuffle. Documents with entities
 are written once with a row number; their occurrences (narrow rows) are joined with the map
 and gathered per row number, which joins the texts back. An entity that a third of the
 documents hold is one row of the map; it is hot on the occurrences' side only, which
-adaptive execution splits. Building the map starts from a combinable aggregate.
+adaptive execution splits. The map and its collision checks are combinable aggregates and
+joins by entity. Mentions without title cost their number times the document's distinct names.
 
 Defined results: NULL and empty texts stay as they are; all other columns are kept
 (``n_chars``, if there, is set to the new length); repeated rows get equal texts; an empty
@@ -27,14 +32,16 @@ names are made free).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import free_names
-from tabforge.session import materialize
+from tabforge.session import materialize, release
 
-#: Draws before giving up on a free surrogate (each draw of a name adds syllables).
-MAX_DRAWS = 40
+#: Draws after which addresses and phones are widened (names grow from the second draw on).
+WIDEN = 2
 
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 MALE = "Mr|MR|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|Κύριος"
@@ -55,6 +62,7 @@ PATTERNS = {
               r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"),
     "person": rf"(?<![\p{{L}}0-9]){TITLE}\.? {NAME}(?: {NAME})?(?![\p{{L}}0-9])",
 }
+MENTION = rf"(?<![\p{{L}}0-9]){NAME}(?![\p{{L}}0-9])"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: No text without a digit, an at sign or a title can hold an entity.
 HINT = rf"[0-9@]|(?<![\p{{L}}]){TITLE}[. ]"
@@ -92,6 +100,12 @@ def _pick(values: list[str], i: Column) -> Column:
     return F.element_at(_array(values), _draw(i, len(values)) + 1)
 
 
+def _wider(one) -> Column:
+    """One more drawn character for each draw from WIDEN on."""
+    more = F.array_join(F.transform(F.sequence(F.lit(WIDEN), F.col("_draws")), lambda i: one(i + 1000)), "")
+    return F.when(F.col("_draws") >= WIDEN, more).otherwise(F.lit(""))
+
+
 def _like(value: Column) -> Column:
     """Random characters of the same kind, place by place (ASCII letters and digits)."""
     def one(c: Column, i: Column) -> Column:
@@ -125,7 +139,7 @@ def _phone(norm: Column) -> Column:
     keep = F.when(norm.rlike(r"^\+[17]"), 2).when(norm.startswith("+"), 3).otherwise(0)
     tail = F.transform(F.sequence(keep + 1, F.length(norm)), lambda i: F.when(
         (i == keep + 1) | (i == keep + 4), (_draw(i, 8) + 2).cast("string")).otherwise(_draw(i, 10).cast("string")))
-    return F.concat(F.substring(norm, F.lit(1), keep), F.array_join(tail, ""))
+    return F.concat(F.substring(norm, F.lit(1), keep), F.array_join(tail, ""), _wider(lambda i: _draw(i, 10).cast("string")))
 
 
 def _iban(norm: Column) -> Column:
@@ -142,8 +156,8 @@ def _iban(norm: Column) -> Column:
 
 
 def _name(kind: Column) -> Column:
-    """``kind`` is given_<gender>_<script> or surname_<script>; draws beyond the first add
-    syllables, so there is always another name."""
+    """``kind`` is given_<script> (with a ``gender``) or surname_<script>; draws beyond the
+    first add syllables, so there is always another name."""
     def more(values: list[str]) -> Column:
         picks = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda i: _pick(values, i + 20))
         return F.when(F.col("_draws") > 0, F.array_join(picks, "")).otherwise(F.lit(""))
@@ -152,7 +166,7 @@ def _name(kind: Column) -> Column:
     for s in SYLLABLES:
         extra = more(SYLLABLES[s])
         for g in "mfn":
-            out = F.when(kind == f"given_{g}_{s}", F.concat(_pick(GIVEN[s][g], F.lit(1)), extra)).otherwise(out)
+            out = F.when((kind == f"given_{s}") & (F.col("gender") == g), F.concat(_pick(GIVEN[s][g], F.lit(1)), extra)).otherwise(out)
         surname = F.initcap(F.concat(_pick(SYLLABLES[s], F.lit(2)), _pick(SYLLABLES[s], F.lit(3)), _pick(SYLLABLES[s], F.lit(4)), extra))
         out = F.when(kind == f"surname_{s}", surname).otherwise(out)
     return out
@@ -164,15 +178,16 @@ def _surrogate() -> Column:
     ssn = F.concat((_draw(F.lit(1), 5) + 1).cast("string"), F.array_join(
         F.transform(F.sequence(F.lit(2), F.lit(9)), lambda i: _draw(i, 10).cast("string")), ""))
     at = F.length(norm) - F.length(F.regexp_extract(norm, r"\.[a-z]+$", 0))  # the top-level domain is kept
-    return (F.when(kind == "email", F.concat(_like(F.substring(norm, F.lit(1), at)), F.substring(norm, at + 1, F.length(norm))))
+    letter = lambda i: F.substring(F.lit(LOWER), _draw(i, 26) + 1, F.lit(1))
+    return (F.when(kind == "email", F.concat(_wider(letter), _like(F.substring(norm, F.lit(1), at)), F.substring(norm, at + 1, F.length(norm))))
             .when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "card", _card(norm)).when(kind == "phone", _phone(norm))
             .when(kind == "ssn", ssn).when(kind == "iban", _iban(norm)).otherwise(_name(kind)))
 
 
 def _parts(match: Column) -> Column:
-    """An occurrence as array of (kind, raw, norm); a title and spaces are kind ``text``."""
-    def part(kind: Column, raw: Column, norm: Column) -> Column:
-        return F.struct(kind.alias("kind"), raw.alias("raw"), norm.alias("norm"))
+    """An occurrence as array of (kind, raw, norm, gender); a title and spaces are kind ``text``."""
+    def part(kind: Column, raw: Column, norm: Column, gender: Column = F.lit(None).cast("string")) -> Column:
+        return F.struct(kind.alias("kind"), raw.alias("raw"), norm.alias("norm"), gender.alias("gender"))
 
     digits = F.regexp_replace(match, "[^0-9]", "")
     kind = F.lit("phone")
@@ -191,7 +206,7 @@ def _parts(match: Column) -> Column:
     names = F.split(F.substring(match, F.length(lead) + 1, F.length(match)), " ")
     text = lambda c: part(F.lit("text"), c, F.lit(None).cast("string"))
     surname = part(F.concat(F.lit("surname_"), script), F.element_at(names, -1), F.lower(F.element_at(names, -1)))
-    given = part(F.concat_ws("_", F.lit("given"), gender, script), names[0], F.lower(names[0]))
+    given = part(F.concat_ws("_", F.lit("given"), script), names[0], F.lower(names[0]), gender)
     person = F.when(F.size(names) > 1, F.array(text(lead), given, text(F.lit(" ")), surname)).otherwise(F.array(text(lead), surname))
     return F.when(match.rlike(rf"^{TITLE}\.? \p{{Lu}}"), person).otherwise(plain)
 
@@ -200,45 +215,50 @@ def _rendered() -> Column:
     """The surrogate in the occurrence's own format."""
     raw, sur = F.col("raw"), F.col("surrogate")
     bare = F.regexp_replace(sur, "[^0-9A-Z]", "")
-    bare = F.right(bare, F.length(F.regexp_replace(raw, "[^0-9A-Z]", "")))  # a phone may be written without its country code
+    # a phone may be written without its country code, and its surrogate may be longer
+    more = F.greatest(F.length(sur) - F.length("norm"), F.lit(0))
+    extra, bare = F.right(bare, more), F.substring(bare, F.lit(1), F.length(bare) - more)
+    bare = F.right(bare, F.length(F.regexp_replace(raw, "[^0-9A-Z]", "")))
     seated = F.array_join(F.transform(F.split(raw, ""), lambda c, i: F.when(
         c.rlike("[0-9A-Z]"), F.substring(bare, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9A-Z]", "")), F.lit(1))
     ).otherwise(c)), "")
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
     return (F.when(F.col("kind") == "text", raw)
-            .when(F.col("kind").isin("card", "phone", "ssn", "iban"), seated)
+            .when(F.col("kind").isin("card", "phone", "ssn", "iban"), F.concat(seated, extra))
             .when(upper, F.upper(sur)).otherwise(sur))
 
 
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm) of all distinct entities -> surrogate, distinct per kind and different
     from every real entity of the kind."""
-    real = materialize(entities.select("kind", "norm").distinct(), "pii-entities")
+    men, women = F.max(F.col("gender") == "m"), F.max(F.col("gender") == "f")
+    gender = F.when(men & ~women, "m").when(women & ~men, "f").otherwise("n")
+    real = materialize(entities.groupBy("kind", "norm").agg(gender.alias("gender")), "pii-entities")
     taken, settled, pending = None, [], real
-    for draws in range(MAX_DRAWS):
-        seed = F.sha2(F.concat_ws("|", F.lit(key), F.col("kind"), F.col("norm"), F.lit(str(draws))), 256)
+    for draws in itertools.count():
+        # a given name's gender is part of what is drawn
+        drawn_kind = F.when(F.col("kind").startswith("given_"), F.concat_ws("_", F.lit("given"), "gender", F.substring("kind", 7, 99)))
+        seed = F.sha2(F.concat_ws("|", F.lit(key), F.coalesce(drawn_kind, "kind"), F.col("norm"), F.lit(str(draws))), 256)
         drawn = (pending.withColumns({"_seed": seed, "_draws": F.lit(draws)}).withColumn("surrogate", _surrogate())
-                 .select("kind", "norm", "surrogate"))
+                 .select("kind", "norm", "gender", "surrogate"))
         # names are compared without regard to capitals, as entities are
         exact = F.col("kind").isin("card", "phone", "ssn", "iban", "ip")
-        drawn = drawn.withColumn("plain", F.when(exact, F.col("surrogate")).otherwise(F.lower("surrogate")))
-        rank = F.row_number().over(Window.partitionBy("kind", "plain").orderBy("norm"))
-        used = real.select(F.col("kind").alias("u_kind"), F.col("norm").alias("u_plain"))
+        drawn = materialize(drawn.withColumn("plain", F.when(exact, F.col("surrogate")).otherwise(F.lower("surrogate"))), "pii-draws")
+        used = real.select("kind", F.col("norm").alias("plain"))
         if taken is not None:
             used = used.unionByName(taken)
-        checked = (drawn.withColumn("rank", rank)
-                   .join(used.withColumn("hit", F.lit(True)), (F.col("kind") == F.col("u_kind")) & (F.col("plain") == F.col("u_plain")), "left")
-                   .withColumn("ok", (F.col("rank") == 1) & F.col("hit").isNull()))
-        checked = materialize(checked.select("kind", "norm", "surrogate", "plain", "ok"), "pii-draws")
+        # of the entities that drew one form, the least takes it, if it is free
+        winners = (drawn.groupBy("kind", "plain").agg(F.min("norm").alias("norm"))
+                   .join(used, ["kind", "plain"], "left_anti").select("kind", "norm", F.lit(True).alias("ok")))
+        checked = materialize(drawn.join(winners, ["kind", "norm"], "left"), "pii-checked")
+        release(drawn)
         fine = checked.where("ok")
         settled.append(fine.select("kind", "norm", "surrogate"))
-        new = fine.select(F.col("kind").alias("u_kind"), F.col("plain").alias("u_plain"))
+        new = fine.select("kind", "plain")
         taken = new if taken is None else taken.unionByName(new)
-        pending = checked.where("NOT ok").select("kind", "norm")
+        pending = checked.where("ok IS NULL").select("kind", "norm", "gender")
         if pending.isEmpty():
             break
-    else:
-        raise RuntimeError("no free surrogate found")
     out = settled[0]
     for s in settled[1:]:
         out = out.unionByName(s)
@@ -259,14 +279,32 @@ def replace(docs: DataFrame, key: str = "surrogate-key", text: str = "text") ->
     mapping = surrogate_map(spots.where("kind != 'text'"), key).select(
         F.col("kind").alias("m_kind"), F.col("norm").alias("m_norm"), "surrogate")
     out = (spots.join(mapping, (F.col("kind") == F.col("m_kind")) & (F.col("norm") == F.col("m_norm")), "left")
-           .select("row", "at", "part", _rendered().alias("out")))
+           .select("row", "at", "part", "kind", "norm", "surrogate", _rendered().alias("out")))
     whole = out.groupBy("row", "at").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("part", "out"))), lambda x: x["out"]), "").alias("out"))
     per_row = whole.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]).alias("new"))
 
+    # names of a document without their titles
+    person = out.where(F.col("kind").startswith("given_") | F.col("kind").startswith("surname_"))
+    names = (person.groupBy("row", "norm").agg(F.min(F.struct("kind", "surrogate")).alias("s"))
+             .groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("norm", "s.surrogate"))).alias("names")))
+    per_row = per_row.join(names, "row", "left")
+
+    (new, known) = free_names([*docs.columns, row, found], "_new", "_names")
+
+    def mention(word: Column) -> Column:
+        sur = F.col(known)[F.lower(word)]
+        return F.coalesce(F.when(word == F.upper(word), F.upper(sur)).otherwise(sur), word)
+
+    def untitled(piece: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(piece, F.lit(MENTION), F.lit(0)), mention)
+        return F.array_join(F.zip_with(F.split(piece, MENTION, -1), words, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
     between = F.split(body, ENTITY, -1)
-    joined = F.array_join(F.zip_with(between, F.col("new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = hits.join(per_row, F.col(row) == F.col("row")).withColumn(text, joined)
+    between = F.when(F.col(known).isNull(), between).otherwise(F.transform(between, untitled))
+    joined = F.array_join(F.zip_with(between, F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    per_row = per_row.select(F.col("row").alias(f"{row}r"), F.col("new").alias(new), F.col("names").alias(known))
+    changed = hits.join(per_row, F.col(row) == F.col(f"{row}r")).withColumn(text, joined)
     lower = {c.lower(): c for c in docs.columns}
     if "n_chars" in lower:
         name = lower["n_chars"]
