@@ -1,52 +1,36 @@
 """Exact k-nearest neighbours (M6, W4, J4) and the k-value curve (V9).
 
-Spark has no neighbour join, and a cross join of queries and training rows
-grows with their product. The search here is exact and blocked instead:
-
-1. every row gets its distance ``r`` to a pivot (the training centroid) and a
-   ring number ``floor(r / width)``;
-2. by the triangle inequality a neighbour within ``D`` of a query lies in the
-   rings covering ``[r_q - D, r_q + D]``: queries are exploded to those ring
-   numbers and equi-joined with the training rows of the same ring;
-3. distances are computed JVM-side (``zip_with``/``aggregate``) and the k best
-   per query kept with ``row_number`` (a WindowGroupLimit);
-4. a query is final when it has k candidates and the k-th is within ``D``;
-   the others are searched again with ``D`` = their k-th distance (or doubled),
-   which is then guaranteed to finish them. Every round's result is written to
-   the shared checkpoint folder, so a lost executor only repeats one round.
+Spark has no neighbour join, and candidate pairs as rows would be sorted and spilled in
+proportion to the product of queries and training rows. The search here is exact and blocked:
+
+1. training rows are numbered in the order that breaks ties (their id); of equal vectors only
+   the first k can be among any k nearest. Equal query vectors are searched once;
+2. queries and training rows are dealt to blocks, and each pair of blocks is one task: matrix
+   products bound all its distances, and what may be among a query's k nearest is computed
+   again term by term, so distances and ties are those of the plain sum of squares;
+3. k rows a query and training block leave a task; a window keeps the k best (a
+   WindowGroupLimit).
+
+Work is the product of queries and training rows (exact search has no less in many
+dimensions); rows moved are ``queries x training blocks + training rows x query blocks``, and
+a task holds one block of each.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import time
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabforge.operators.ordinal import row_positions
 from tabforge.session import materialize
 
-MAX_ROUNDS = 30
-ROWS_PER_RING, MAX_RINGS = 2048, 65536  # a ring is the pilot round's candidate block
-SALT_ROWS = 8192  # training rows of a ring in one task
-_DEBUG = bool(os.environ.get("TABFORGE_DEBUG"))
-
-
-def _sqdist(a: Column, b: Column) -> Column:
-    """Squared distance with higher-order functions (any length; interpreted)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                       lambda acc, v: acc + v)
-
-
-def sqdist_flat(a: str, b: str, d: int) -> Column:
-    """Squared distance of two length-``d`` array columns as one flat arithmetic
-    expression (stays inside whole-stage codegen)."""
-    terms = [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(d)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+SALT_ROWS = 65_536  # training rows of a block
+QUERY_ROWS = 16_384  # queries of a block
+PAIRS_AT_ONCE = 1 << 22  # distances that a task holds at once
 
 
 def centroid(df: DataFrame, vec: str) -> list[float]:
@@ -57,97 +41,89 @@ def centroid(df: DataFrame, vec: str) -> list[float]:
     return [float(x) for x in m.toArray()]
 
 
+def block_nearest(q: np.ndarray, t: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``q``, number, distance) of the k rows of ``t`` (numbers ``r``) nearest to each
+    row of ``q``, ties to the smaller number. Products only rule rows out: their error is
+    bounded, and distances of what remains are summed term by term."""
+    k = min(k, len(t))
+    middle = t.mean(axis=0)
+    tc = t - middle
+    tt = (tc * tc).sum(axis=1)
+    step = max(1, PAIRS_AT_ONCE // len(t))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(q), step):
+        qc = q[at:at + step] - middle
+        qq = (qc * qc).sum(axis=1)
+        near = (qq[:, None] + tt) - 2 * (qc @ tc.T)
+        slack = 16 * (t.shape[1] + 4) * np.finfo(float).eps * (qq + tt.max())
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] + slack
+        row, col = np.nonzero(~(near > bound[:, None]))
+        x = np.zeros(len(row))
+        for i in range(t.shape[1]):  # one dimension at a time: the order of the plain sum
+            d = q[at + row, i] - t[col, i]
+            x += d * d
+        x = np.sqrt(x)
+        order = np.lexsort((r[col], x, row))
+        row, col, x = row[order], col[order], x[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < k
+        out.append((at + row[best], r[col[best]], x[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _search(queries: DataFrame, train: DataFrame, k: int, q_blocks: int, t_blocks: int) -> DataFrame:
+    """(u, r, dist): the k nearest training rows (r, v) of every query (u, v)."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("i", deal("u", q_blocks)).withColumn("j", every(t_blocks))
+    right = train.withColumn("j", deal("r", t_blocks)).withColumn("i", every(q_blocks))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "r": [], "dist": []}).astype({"u": "int64", "r": "int64", "dist": "float64"})
+        place, r, dist = block_nearest(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), b["r"].to_numpy(), k)
+        return pd.DataFrame({"u": a["u"].to_numpy()[place], "r": r, "dist": dist})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, "u long, r long, dist double")
+    w = Window.partitionBy("u").orderBy("dist", "r")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
 def knn(train: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str = "vec",
         label: str = "label", rings: int | None = None) -> DataFrame:
     """Exact k nearest training rows of every query row.
 
     ``train``: (id_col, vec, label); ``query``: (id_col, vec). Output:
     ``q_id, t_id, t_label, dist, rank`` with rank 1..k (ties by training id).
-
-    Round 0 is a pilot over the query's own ring: it is exact for queries whose
-    k-th candidate is closer than the ring's edges and gives every other query
-    an upper bound of its k-th distance; round 1 searches exactly that radius,
-    which finishes every query (later rounds only run when a ring held fewer
-    than k rows)."""
+    ``rings``: at least so many blocks of training rows (more tasks of fewer rows). Rows
+    without a whole vector, and queries without an id, take no part."""
     spark = train.sparkSession
-    cen = centroid(train, vec)
-    d = len(cen)
-    c = F.array(*[F.lit(x) for x in cen])
-    t = train.select(F.col(id_col).alias("t_id"), F.col(vec).cast("array<double>").alias("t_vec"),
-                     F.col(label).alias("t_label"))
-    t = t.withColumn("t_r", F.sqrt(_sqdist(F.col("t_vec"), c)))
-    stats = t.agg(F.min("t_r").alias("lo"), F.max("t_r").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    n_train = stats["n"] or 0
+    d = len(centroid(train, vec))
+    whole = F.col("v").isNotNull() & (F.size("v") == d) & ~F.exists("v", lambda x: x.isNull())
+    v = F.col(vec).cast("array<double>").alias("v")
+    t = train.select(F.col(id_col).alias("t_id"), v, F.col(label).alias("t_label")).where(whole)
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("t_id", "t_label"))
+    t = materialize(t.withColumn("copy", copy).where(F.col("copy") <= k).drop("copy"), "knn-train")
+    n_train = t.count()
     if n_train == 0:
         raise ValueError("empty training set")
-    need = min(k, n_train)
-    lo, hi = stats["lo"], stats["hi"]
-    n_rings = rings or max(1, min(MAX_RINGS, n_train // ROWS_PER_RING))
-    width = max((hi - lo) / n_rings, 1e-12)
-    ring_of = lambda r: F.least(F.floor((r - F.lit(lo)) / F.lit(width)), F.lit(n_rings - 1)).cast("long")
-    # Few rings would mean few join keys and idle cores (and one hot ring would
-    # be one hot task): training rows also get a salt, queries are replicated
-    # over the salts, so every pair is still formed exactly once.
-    # Rings have equal widths, and distances to one point concentrate: the number of
-    # salts follows each ring's measured size (at most MAX_RINGS rows are broadcast).
+    t = materialize(row_positions(t, ["t_id"], "r"), "knn-numbered")
+    q = query.select(F.col(id_col).alias("q_id"), v).where(whole & F.col("q_id").isNotNull())
+    # the numbers are written with the vectors: any will do
+    points = materialize(q.select("v").distinct().withColumn("u", F.monotonically_increasing_id()), "knn-queries")
+    t_blocks = max(rings or 1, math.ceil(n_train / SALT_ROWS))
+    q_blocks = max(1, math.ceil(points.count() / QUERY_ROWS))
+    # small tables: smaller blocks keep the cores busy
     par = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = max(1, math.ceil(4 * par / n_rings))
-    t = t.withColumn("ring", ring_of(F.col("t_r")))
-    salts = materialize(t.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).select(
-        "ring", F.greatest(F.lit(least), F.ceil(F.col("n") / F.lit(SALT_ROWS))).cast("long").alias("salts")))
-    t = (t.join(F.broadcast(salts), "ring").withColumn("salt", F.pmod(F.xxhash64("t_id"), F.col("salts"))).drop("salts"))
-
-    q = query.select(F.col(id_col).alias("q_id"), F.col(vec).cast("array<double>").alias("q_vec"))
-    q = q.withColumn("q_r", F.sqrt(_sqdist(F.col("q_vec"), c)))
-    # pilot: own ring only; exact within the distance to the ring's edges
-    own = ring_of(F.col("q_r"))
-    edge_lo = F.when(own == 0, F.lit(float("inf"))).otherwise(F.col("q_r") - (F.lit(lo) + own * F.lit(width)))
-    edge_hi = F.when(own == n_rings - 1, F.lit(float("inf"))).otherwise(
-        F.lit(lo) + (own + 1) * F.lit(width) - F.col("q_r"))
-    q = q.select("q_id", "q_vec", "q_r", own.alias("r_lo"), own.alias("r_hi"),
-                 F.least(edge_lo, edge_hi).alias("radius"))
-    done = None
-    for rnd in range(MAX_ROUNDS):
-        last = rnd == MAX_ROUNDS - 1
-        if last:
-            q = q.withColumn("r_lo", F.lit(0).cast("long")).withColumn("r_hi", F.lit(n_rings - 1).cast("long")) \
-                 .withColumn("radius", F.lit(float("inf")))
-        qe = (q.withColumn("ring", F.explode(F.sequence("r_lo", "r_hi")))
-              .join(F.broadcast(salts), "ring")
-              .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts"))
-        cand = (qe.join(t, ["ring", "salt"])
-                .where(F.abs(F.col("t_r") - F.col("q_r")) <= F.col("radius") + F.lit(width) * 2)
-                .select("q_id", "radius", "t_id", "t_label",
-                        F.sqrt(sqdist_flat("q_vec", "t_vec", d)).alias("dist")))
-        w = Window.partitionBy("q_id").orderBy("dist", "t_id")
-        _t0 = time.time()
-        top = (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-               .transform(materialize))
-        if _DEBUG:
-            print(f"knn round {rnd}: top-k {time.time() - _t0:.1f}s", flush=True)
-        per_q = top.groupBy("q_id").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("kth"),
-                                        F.first("radius").alias("radius"))
-        ok = per_q.where((F.col("m") >= need) & ((F.col("kth") <= F.col("radius")) | F.lit(last)))
-        final = top.join(ok.select("q_id"), "q_id", "left_semi").select("q_id", "t_id", "t_label", "dist", "rank")
-        done = final if done is None else done.unionByName(final)
-        # next round: the k-th distance found bounds the search (finishes the query);
-        # with fewer than k candidates, widen to every ring
-        nxt = (q.join(ok.select("q_id"), "q_id", "left_anti")
-               .join(per_q.select("q_id", "m", "kth"), "q_id", "left")
-               .withColumn("radius", F.when(F.col("m") >= need, F.col("kth")).otherwise(F.lit(float("inf")))))
-        nxt = (nxt.withColumn("r_lo", F.greatest(ring_of(F.col("q_r") - F.col("radius")), F.lit(0)).cast("long"))
-               .withColumn("r_hi", ring_of(F.when(F.col("radius") == float("inf"), F.lit(hi))
-                                           .otherwise(F.col("q_r") + F.col("radius"))))
-               .withColumn("r_lo", F.when(F.col("radius") == float("inf"), F.lit(0).cast("long"))
-                           .otherwise(F.col("r_lo")))
-               .select("q_id", "q_vec", "q_r", "r_lo", "r_hi", "radius")).transform(materialize)
-        if _DEBUG:
-            print(f"knn round {rnd}: left {nxt.count()}", flush=True)
-        if nxt.isEmpty():
-            break
-        q = nxt
-    return done if done is not None else spark.createDataFrame(
-        [], "q_id long, t_id long, t_label long, dist double, rank int")
+    q_blocks = max(q_blocks, min(math.ceil(2 * par / t_blocks), math.ceil(points.count() / 512)))
+    near = materialize(_search(points, t.select("r", "v"), k, q_blocks, t_blocks), "knn-near")
+    near = near.join(t.select("r", "t_id", "t_label"), "r").select("u", "t_id", "t_label", "dist")
+    near = near.groupBy("u").agg(F.collect_list(F.struct("dist", "t_id", "t_label")).alias("near"))
+    rows = q.join(points, "v").select("q_id", "u").join(near, "u").select("q_id", F.explode("near").alias("x"))
+    # a repeated query id takes the best of all its rows
+    w = Window.partitionBy("q_id").orderBy("x.dist", "x.t_id")
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("q_id", "x.t_id", "x.t_label", "x.dist", "rank").transform(materialize))
 
 
 def vote(neigh: DataFrame, k: int | None = None) -> DataFrame:
