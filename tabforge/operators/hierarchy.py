@@ -2,8 +2,9 @@
 
 Ward's criterion is reducible: merging all pairs of clusters that are each other's nearest
 neighbour at once gives the same hierarchy as merging one closest pair at a time. So a round
-finds every cluster's nearest neighbour (blocks of clusters against blocks of clusters, each
-pair of blocks one task), merges the reciprocal pairs, and writes the next clusters. Once no
+finds the nearest neighbour of every new cluster and of those whose neighbour was merged (blocks
+of clusters against blocks of clusters, each pair of blocks one task), merges the reciprocal
+pairs, and writes the next clusters. Once no
 more than BLOCK clusters are left, a single task plays the remaining rounds. Equal points come first, without
 rounds: their merges, all at distance 0, are numbered by rank. Steps are numbered by merge
 distance, which Ward's criterion never lowers from a merge to the next.
@@ -16,6 +17,8 @@ driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
@@ -28,6 +31,8 @@ from tabforge.operators.ordinal import dense_codes, ordered_cumsum, row_position
 from tabforge.session import materialize
 
 LEAVES, BLOCK = 256, 1024
+#: Clusters of a block in a round are NEAR_BLOCKS times BLOCK; distances that a task holds at once.
+NEAR_BLOCKS, PAIRS_AT_ONCE = 16, 1 << 21
 
 
 def _leaves(df: DataFrame, id_col: str, vec: str, leaves: int | None) -> DataFrame:
@@ -46,15 +51,36 @@ def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def nearest_rows(a, b) -> pd.DataFrame:
-    """(id, d, other) for clusters ``a`` among clusters ``b`` (in order of id)."""
+    """(id, d, other) for clusters ``a`` among clusters ``b`` (in order of id). Matrix products
+    rule out what is certainly farther than the nearest (their error is bounded); the distances
+    of what remains are computed one by one."""
     (ia, na, ca), (ib, nb, cb) = a, b
-    out_d, out_o = [], []
-    for k in range(len(ia)):  # one row at a time: memory stays linear
-        d = np.sqrt(2 * na[k] * nb / (na[k] + nb)) * np.sqrt(((cb - ca[k]) ** 2).sum(axis=1))
-        d[ib == ia[k]] = np.inf
-        at = int(np.argmin(d))
-        out_d.append(d[at])
-        out_o.append(ib[at])
+    middle = cb.mean(axis=0)
+    bc = cb - middle
+    bb = (bc * bc).sum(axis=1)
+    err = 16 * (cb.shape[1] + 4) * np.finfo(float).eps
+    own = np.searchsorted(ib, ia)
+    own[ib[np.minimum(own, len(ib) - 1)] != ia] = -1
+    out_d, out_o = np.full(len(ia), np.inf), np.zeros(len(ia), dtype=np.int64)
+    step = max(1, PAIRS_AT_ONCE // len(ib))
+    for at in range(0, len(ia), step):
+        n, c = na[at:at + step, None], ca[at:at + step] - middle
+        aa = (c * c).sum(axis=1)[:, None]
+        weight, cross = n * nb / (n + nb), 2 * (c @ bc.T)
+        least = weight * ((aa + bb) * (1 - err) - cross)
+        mine = np.flatnonzero(own[at:at + step] >= 0)
+        least[mine, own[at:at + step][mine]] = np.inf
+        rows = np.arange(len(c))
+        first = np.argmin(least, axis=1)
+        most = weight[rows, first] * ((aa[:, 0] + bb[first]) * (1 + err) - cross[rows, first])
+        row, col = np.nonzero(~(least > most[:, None]))  # all of them where a number is not finite
+        cuts = np.searchsorted(row, np.arange(len(c) + 1))
+        for k in range(len(c)):
+            some, i = col[cuts[k]:cuts[k + 1]], at + k
+            d = np.sqrt(2 * na[i] * nb[some] / (na[i] + nb[some])) * np.sqrt(((cb[some] - ca[i]) ** 2).sum(axis=1))
+            d[ib[some] == ia[i]] = np.inf
+            best = int(np.argmin(d))
+            out_d[i], out_o[i] = d[best], ib[some[best]]
     return pd.DataFrame({"id": ia, "d": out_d, "other": out_o})
 
 
@@ -89,13 +115,21 @@ def _finisher(base: int):
     return lambda pdf: finish(pdf, base)
 
 
-def _nearest(clusters: DataFrame, blocks: int) -> DataFrame:
-    """(id, d, other): each cluster's nearest by Ward distance sqrt(2 ab / (a + b)) |ca - cb|,
-    ties to the smaller id."""
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = clusters.withColumn("i", own).withColumn("j", every)
-    right = clusters.withColumn("j", own).withColumn("i", every)
+def _blocks(spark, count: int) -> int:
+    """Blocks of at most NEAR_BLOCKS * BLOCK rows; more of them keep the cores busy."""
+    par = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    busy = min(math.ceil(math.sqrt(2 * par)), math.ceil(count / BLOCK))
+    return max(1, math.ceil(count / (NEAR_BLOCKS * BLOCK)), busy)
+
+
+def _nearest(wanted: DataFrame, clusters: DataFrame, n_wanted: int, count: int) -> DataFrame:
+    """(id, d, other): the nearest of each ``wanted`` cluster among all by Ward distance
+    sqrt(2 ab / (a + b)) |ca - cb|, ties to the smaller id."""
+    a, b = _blocks(clusters.sparkSession, n_wanted), _blocks(clusters.sparkSession, count)
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.withColumn("i", deal(a)).withColumn("j", every(b))
+    right = clusters.withColumn("j", deal(b)).withColumn("i", every(a))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -128,6 +162,7 @@ def _merges(clusters: DataFrame, count: int) -> DataFrame:
     one node that all of a merge's nodes hang on: its new one, or the first of equal points."""
     found, clusters = _equal_points(clusters, count)
     base, count = 2 * count + 1, clusters.count()
+    near, whole = None, False
     while True:
         if count <= 1:
             return found
@@ -136,7 +171,8 @@ def _merges(clusters: DataFrame, count: int) -> DataFrame:
                 _finisher(base), "a long, b long, new long, distance double, size long")
             last = materialize(last.withColumn("hub", F.col("new")), "ward-last")
             return found.unionByName(last)
-        near = materialize(_nearest(clusters, -(-count // BLOCK)), "ward-nearest")
+        if near is None:
+            near, whole = materialize(_nearest(clusters, clusters, count, count), "ward-nearest"), True
         back = near.select(F.col("id").alias("b"), F.col("other").alias("back"))
         pairs = (near.join(back, (F.col("other") == F.col("b")) & (F.col("id") == F.col("back"))).where("id < other")
                  .select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("distance")))
@@ -149,13 +185,24 @@ def _merges(clusters: DataFrame, count: int) -> DataFrame:
         joined = materialize(joined, "ward-merged")
         merged = joined.count()
         if not merged:
-            raise ValueError("distances are not finite")
+            if whole:
+                raise ValueError("distances are not finite")
+            near = None  # rounding hid a pair: every nearest neighbour anew
+            continue
         gone = joined.select(F.explode(F.array("a", "b")).alias("id"))
         clusters = materialize(clusters.join(gone, "id", "left_anti").unionByName(joined.select("id", "n", "c")), "ward-clusters")
         step = joined.select("a", "b", F.col("id").alias("new"), "distance", F.col("n").cast("long").alias("size"),
                              F.col("id").alias("hub"))
         found = found.unionByName(step)
         count, base = count - merged, base + merged
+        if count > BLOCK:
+            # a merged cluster is no nearer to the others than its parts were: a nearest
+            # neighbour that is still there stays the nearest
+            kept = near.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("other")), "other", "left_anti")
+            kept = materialize(kept.select("id", "d", "other"), "ward-kept")
+            wanted = materialize(clusters.join(kept.select("id"), "id", "left_anti"), "ward-wanted")
+            n_wanted = wanted.count()
+            near, whole = materialize(kept.unionByName(_nearest(wanted, clusters, n_wanted, count)), "ward-nearest"), n_wanted == count
 
 
 def ward(df: DataFrame, id_col: str, vec: str, n_clusters: int = 2, leaves: int | None = LEAVES):
