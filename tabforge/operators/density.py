@@ -176,15 +176,22 @@ def dbscan(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples:
 
 def dbscan_pairs(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_samples: int = MIN_SAMPLES,
                  grid_dims: int = 3) -> DataFrame:
-    """M11 for more than ``grid_dims`` dimensions: every pair within eps (grid of
-    side eps on the first dimensions, then the full distance)."""
-    pairs = neighbour_pairs(df, id_col, vec, eps, grid_dims).transform(materialize)
-    counts = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_nb"))
-    core = counts.where(F.col("n_nb") >= min_samples).select("node")
+    """M11 for more than ``grid_dims`` dimensions: every pair of different points within eps
+    (grid of side eps on the first dimensions, then the full distance). Identical points are
+    merged first (weight = multiplicity): they are one another's neighbours, and all core or
+    none, so pairs grow with the different points only."""
+    v = F.col(vec).cast("array<double>")
+    pts = (df.select(F.col(id_col).alias("_id"), v.alias("v")).groupBy("v")
+           .agg(F.min("_id").alias("pid"), F.count(F.lit(1)).alias("w"))).transform(materialize)
+    pairs = neighbour_pairs(pts, "pid", "v", eps, grid_dims).transform(materialize)
+    weights = pts.groupBy(F.col("pid").alias("b")).agg(F.sum("w").alias("w"))
+    counts = (pairs.distinct().join(weights, "b").groupBy(F.col("a").alias("node"))
+              .agg(F.sum("w").alias("n_nb")))
+    core = counts.where(F.col("n_nb") >= min_samples).select("node").transform(materialize)
     core_ids = core.withColumnRenamed("node", "a")
-    core_edges = (pairs.join(core_ids, "a", "left_semi")
+    core_edges = (pairs.where("a != b").join(core_ids, "a", "left_semi")
                   .join(core_ids.withColumnRenamed("a", "b"), "b", "left_semi"))
-    comp = connected_min_labels(core, core_edges)
+    comp = connected_min_labels(core, core_edges).transform(materialize)
     numbers = dense_codes(comp, "label", "cluster")
     core_lab = comp.join(numbers, "label").select("node", "cluster")
     border = (pairs.join(core_lab.select(F.col("node").alias("b"), "cluster"), "b")
@@ -192,7 +199,7 @@ def dbscan_pairs(df: DataFrame, id_col: str, vec: str, eps: float = EPS, min_sam
               .groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("cluster")))
     labelled = core_lab.withColumn("is_core", F.lit(True)).unionByName(
         border.withColumn("is_core", F.lit(False)))
-    out = (df.select(F.col(id_col)).join(labelled.withColumnRenamed("node", id_col), id_col, "left")
-           .select(id_col, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"),
-                   F.coalesce("is_core", F.lit(False)).alias("is_core")))
-    return out
+    point_lab = pts.select("v", F.col("pid").alias("node")).join(labelled, "node").select("v", "cluster", "is_core")
+    return (df.select(F.col(id_col), v.alias("v")).join(point_lab, "v", "left")
+            .select(id_col, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"),
+                    F.coalesce("is_core", F.lit(False)).alias("is_core")))

@@ -158,3 +158,54 @@ def test_knn_with_one_crowded_ring(spark, monkeypatch):
         got.setdefault(r.q_id, []).append((r["rank"], r.t_id))
     want = _brute_knn([(i, v, y) for i, v, y in rows], [(i, v) for i, v, _ in rows], 4)
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i, _ in v] for q, v in want.items()}
+
+
+def test_block_nearest_ties_and_far_offsets():
+    """Products only rule rows out: ties to the smaller number, also far from zero."""
+    rng = np.random.default_rng(4)
+    for offset in (0.0, 1e6):
+        t = rng.integers(0, 4, size=(300, 5)).astype(float) + offset
+        q = rng.integers(0, 4, size=(40, 5)).astype(float) + offset
+        r = rng.permutation(300)
+        place, number, dist = neighbors.block_nearest(q, t, r, 7)
+        for i in range(40):
+            d = np.sqrt(((t - q[i]) ** 2).sum(axis=1))
+            want = sorted(zip(d, r))[:7]
+            assert list(zip(dist[place == i], number[place == i])) == want
+
+
+def test_knn_copies_form_no_pairs(spark, monkeypatch):
+    """Only k of a vector's copies, and each query vector once, enter the search."""
+    seen = {}
+    search = neighbors._search
+    monkeypatch.setattr(neighbors, "_search", lambda q, t, *a: seen.update(q=q.count(), t=t.count()) or search(q, t, *a))
+    rows = [(i, [float(i % 3), 1.0], i % 2) for i in range(300)]
+    t = spark.createDataFrame(rows, "id long, vec array<double>, label long")
+    got = {}
+    for r in neighbors.knn(t, t.select("id", "vec"), 4).collect():
+        got.setdefault(r.q_id, []).append((r["rank"], r.t_id))
+    assert seen == {"q": 3, "t": 12}
+    assert all([i for _, i in sorted(v)] == [q % 3 + 3 * j for j in range(4)] for q, v in got.items()) and len(got) == 300
+
+
+def test_dbscan_copies_in_many_dimensions(spark, monkeypatch):
+    """Copies are merged before pairs are formed; labels are those of plain DBSCAN."""
+    pairs = {}
+    plain = density.neighbour_pairs
+    monkeypatch.setattr(density, "neighbour_pairs", lambda df, *a: pairs.setdefault("out", plain(df, *a)))
+    pts = [[0.1 * (i % 4), 0.0, 0.0, 1.0] for i in range(80)] + [[5.0, 0.0, 0.0, float(i)] for i in range(3)] + [[9.0, 9.0, 9.0, 9.0]] * 5
+    df = spark.createDataFrame(list(enumerate(pts)), "id long, v array<double>")
+    got = {r.id: r.cluster for r in density.dbscan(df, "id", "v", eps=0.15, min_samples=5).collect()}
+    assert [got[i] for i in range(len(pts))] == _brute_dbscan(pts, 0.15, 5)
+    assert pairs["out"].count() == 10 + 3 + 1
+
+
+def test_ward_nearest_rows_by_products():
+    rng = np.random.default_rng(6)
+    c = np.concatenate([rng.integers(0, 3, size=(200, 4)).astype(float), rng.normal(size=(200, 4)) + 1e5])
+    n, ids = rng.integers(1, 9, size=400).astype(float), np.sort(rng.choice(5000, 400, replace=False))
+    near = hierarchy.nearest_rows((ids, n, c), (ids, n, c))
+    for k in range(400):
+        d = np.sqrt(2 * n[k] * n / (n[k] + n)) * np.sqrt(((c - c[k]) ** 2).sum(axis=1))
+        d[k] = np.inf
+        assert (near["d"][k], near["other"][k]) == (d.min(), ids[np.argmin(d)])
