@@ -154,29 +154,29 @@ def _beats_majority(spark, sf_dir, build) -> DataFrame:
 
 
 def q_fact_decision_tree(spark, sf_dir):
-    return _beats_majority(spark, sf_dir, lambda e: models.decision_tree(False).fit(e).transform(e))
+    return _beats_majority(spark, sf_dir, lambda e: models.decision_tree(False).fit(models.spread(e)).transform(e))
 
 
 def q_fact_bagging(spark, sf_dir):
-    return _beats_majority(spark, sf_dir, lambda e: models.bagging(max_depth=12).fit(e).transform(e))
+    return _beats_majority(spark, sf_dir, lambda e: models.bagging(max_depth=12).fit(models.spread(e)).transform(e))
 
 
 def q_fact_forest_classifier(spark, sf_dir):
-    return _beats_majority(spark, sf_dir, lambda e: models.forest_classifier(max_depth=8).fit(e).transform(e))
+    return _beats_majority(spark, sf_dir, lambda e: models.forest_classifier(max_depth=8).fit(models.spread(e)).transform(e))
 
 
 def q_fact_svm(spark, sf_dir):
     def build(e):
         prepare, ovr = models.svm_rbf(e, ["embedding"], "label")
-        z = prepare(e.drop("features"))
-        return ovr.fit(z).transform(z)
+        z = e.drop("features")
+        return ovr.fit(prepare(models.spread(z))).transform(prepare(z))
     return _beats_majority(spark, sf_dir, build)
 
 
 def q_fact_forest_regressor(spark, sf_dir):
     """The forest's training error is below the target's variance."""
     d = models.assemble(C.table(spark, sf_dir, "part"), ["p_size", "p_partkey"]).withColumn("label", F.col("p_retailprice"))
-    out = models.forest_regressor(max_depth=10).fit(d).transform(d)
+    out = models.forest_regressor(max_depth=10).fit(models.spread(d)).transform(d)
     return out.agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("label") - F.col("prediction")) ** 2) < F.var_pop("label")).alias("below_variance"))
 
 

@@ -78,8 +78,8 @@ def run_model(prep: PrepResult, model_type: str, k_neighbors: int = 5,
         pred, model = _knn(std, key, feats, cont, k_neighbors)
     else:
         est, prepare = _estimator(mt, train, cont, feats, degree)
-        fit_in = prepare(train) if prepare else train
-        model = est.fit(fit_in)
+        fit_in = models.spread(train) if mt in models.MANY_PASSES else train
+        model = est.fit(prepare(fit_in) if prepare else fit_in)
         out = model.transform(prepare(std) if prepare else std)
         extra["gamma"] = getattr(prepare, "gamma", None)
         cols = [key, *feats, "is_test", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred")]

@@ -182,3 +182,12 @@ def test_prep_targets_dates_and_decimals(spark):
     assert {r.k: r.y for r in text.data.collect()} == {i: i % 2 for i in range(24)}
     from tabforge.operators import profile
     assert profile.continuity(df, ["price"]).first()["value_range"] == 5.75
+
+
+def test_fit_input_is_spread_over_partitions(spark):
+    """One file of many rows is no longer one task of every pass; small tables stay as they are."""
+    one = spark.range(1000).coalesce(1)
+    out = models.spread(one, 100)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100 and out.distinct().count() == 1000
+    assert models.spread(one, 1000) is one and models.spread(one.limit(0), 10).count() == 0
