@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabforge.session import materialize
@@ -29,6 +29,8 @@ from tabforge.sources.charset import byte_lines
 #: Splits that begin inside a quoted field are sent to the tasks as a table up to this many
 #: (some 100 bytes each); beyond, lines are joined with them.
 BROADCAST_SPLITS = 100_000
+#: Bytes of records that a worker holds before it hands them on.
+PIECE_BYTES = 4_000_000
 
 
 def ends_inside(line: bytes, sep: bytes, inside: bool) -> bool:
@@ -107,6 +109,25 @@ def open_splits(functions: DataFrame, blocks: DataFrame) -> DataFrame:
             .where("inside = 1").select("file", "block", "origin"))
 
 
+def decoded(col: str, encoding: str) -> Column:
+    """Binary column as text, malformed bytes as U+FFFD. The charsets that most files have are
+    decoded without Python."""
+    if encoding.lower() == "utf-8":
+        return F.make_valid_utf8(F.col(col).cast("string"))
+    latin = F.decode(F.col(col), "ISO-8859-1")
+    if encoding.lower() == "iso-8859-1":
+        return latin
+    if encoding.lower() == "cp1252":  # ISO-8859-1 but for 0x80 to 0x9F
+        there = bytes(range(0x80, 0xa0))
+        return F.when(latin.rlike(r"[\x80-\x9f]"), F.translate(latin, there.decode("iso-8859-1"), there.decode("cp1252", "replace"))).otherwise(latin)
+
+    @F.pandas_udf("string")
+    def text(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: bytes(b).decode(encoding, "replace"))
+
+    return text(col)
+
+
 def csv_records(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """The records of a CSV file or folder: ``record`` (decoded text, line breaks inside quotes
     kept) and ``header`` (is it its file's first one?)."""
@@ -131,7 +152,7 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", encoding: str =
             return place[0], state["origin"] if state["head"] else place[1], place[1], b"\n".join(held), state["first"]
 
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for file, block, origin, value in zip(pdf["file"], pdf["block"], pdf["origin"], pdf["value"]):
                 if (file, block) != place:
                     if held:
@@ -148,6 +169,10 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", encoding: str =
                 if not state["open"]:
                     out.append(piece(True))
                     held, state["head"], state["first"] = [], False, False
+                    size += len(out[-1][3])
+                    if size > PIECE_BYTES:
+                        yield frame(out)
+                        out, size = [], 0
             if out:
                 yield frame(out)
         if held:
@@ -160,14 +185,10 @@ def csv_records(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     pieces = materialize(tagged.select("file", "block", "origin", "value").mapInPandas(
         run, "file string, began long, block long, body binary, header boolean"), "csv-pieces")
 
-    @F.pandas_udf("string")
-    def text(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: bytes(b).decode(encoding, "replace"))
-
     # a record that crosses splits: its pieces in file order
     crossing = (pieces.where("began IS NOT NULL").groupBy("file", "began")
                 .agg(F.sort_array(F.collect_list(F.struct("block", "body", "header"))).alias("p"))
                 .select(F.expr("aggregate(slice(p, 2, size(p)), p[0].body, (a, x) -> a || X'0A' || x.body)").alias("body"),
                         F.expr("p[0].header").alias("header")))
     whole = pieces.where("began IS NULL").select("body", "header")
-    return whole.unionByName(crossing).select(F.regexp_replace(text("body"), "\r$", "").alias("record"), "header")
+    return whole.unionByName(crossing).select(F.regexp_replace(decoded("body", encoding), "\r$", "").alias("record"), "header")

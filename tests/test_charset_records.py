@@ -122,3 +122,14 @@ def test_literal_quotes_and_a_quote_never_closed(spark, tmp_dir, tiny_splits, mo
     recs = [r["record"] for r in csv_records(spark, path).collect()]
     assert len(recs) == 103 and '5" pipe,1' in recs
     assert max(recs, key=len) == 'y,"open\n' + "z,3\n" * 199 + "z,3"
+
+
+def test_records_are_decoded_as_by_python(spark):
+    from tabforge.sources import records
+    raw = [bytes(range(256)), b"plain", "café € \U0001f600".encode(), b"\xe2\x82 x\xf0\x9f\x98", b"\xc0\xaf\xed\xa0\x80", b""]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "i int, b binary")
+    for encoding in ("utf-8", "iso-8859-1", "cp1252", "big5"):
+        col = records.decoded("b", encoding)
+        assert ("text(" in str(col)) == (encoding == "big5")
+        got = {r.i: r.t for r in df.select("i", col.alias("t")).collect()}
+        assert got == {i: b.decode(encoding, "replace") for i, b in enumerate(raw)}
