@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from tabforge.llm.common import free_names
 from tabforge.llm.shingles import shingle_sets
 from tabforge.operators.density import connected_min_labels
-from tabforge.session import materialize, release
+from tabforge.session import materialize, release, small_batches
 
 PERCENT = 75
 SLOTS, BLOCKS, SALTS = 1 << 18, 16, 1024
@@ -60,7 +60,7 @@ FIRST_PARTNERS = 2
 SHARE = 8  # rows of a hand in the first sampled round, and partners a member tries of it
 FEW_PAIRS = 4  # pairs a row that the exact round takes without sampling first
 GROWTH = 16  # sampling goes on while a round adds a document to this many linked ones
-FLUSH = 500_000  # shingles a worker holds before it hands rows on
+FLUSH = 100_000  # shingles a worker holds before it hands rows on
 NEED_BITS = 1 << 24
 
 
@@ -453,6 +453,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     the component, also where components share a doc_id or have none)."""
     src = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
     spark = docs.sparkSession
+    small_batches(spark)
     profile = materialize(_profile(src), "ngram-profile")
     level, salts = frequency_classes(_sketch(profile))
     prefixes = _prefixes(src, spark.sparkContext.broadcast(level), spark.sparkContext.broadcast(salts), percent)

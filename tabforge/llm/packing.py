@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import ranked_in_groups
-from tabforge.session import materialize
+from tabforge.session import materialize, small_batches
 
 WINDOW, END_ID = 2048, 1
 #: Most rows of the placement plan that are broadcast; a larger plan is joined by range.
@@ -277,6 +277,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
          text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, doc_tokens, start, length, ids_crc32 (ids), sequence_id,
     offset. A sequence's pieces lie one after another from offset 0."""
+    small_batches(docs.sparkSession)
     cut = materialize(pieces(docs, path, window, end_id, doc_id, text, with_ids), "pack-pieces")
     return assign(cut, window)
 

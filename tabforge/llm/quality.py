@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabforge.llm.common import free_names
+from tabforge.session import small_batches
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 GUARD_CHARS, GUARD_WORDS = 400, 300
@@ -144,6 +145,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang",
                     sums[key] = sums.get(key, 0) + row
         yield pd.DataFrame([[k, *v] for k, v in sums.items()], columns=["lang", *cols])
 
+    small_batches(docs.sparkSession)
     src = docs.selectExpr(f"`{text}` AS text", f"`{lang}` AS lang")
     out = src.mapInPandas(run, "lang string, " + ", ".join(f"{c} double" for c in cols))
     rows = out.groupBy("lang").agg(*[F.sum(c).alias(c) for c in cols]).collect()
@@ -202,6 +204,7 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], text:
                 out["kept"] = ~out["base_failed"] & ~(cd > char_limit) & ~(wd > wide)
             yield out
 
+    small_batches(docs.sparkSession)
     (name,) = free_names(docs.columns, "quality")
     return docs.withColumn(name, run(F.col(text), F.col(lang)))
 

@@ -6,9 +6,10 @@
   exploded to its 3^g neighbouring cell keys and equi-joined on the key, then the
   full distance is checked. No cross join.
 * Core rows: at least ``min_samples`` neighbours within ``eps`` (self included).
-* Clusters: connected components of the core graph by alternating large-star /
-  small-star rounds; each round's edge set is checkpointed to the shared folder
-  (lineage stays short and a lost executor repeats one round only).
+* Clusters: connected components of the core graph: tasks join their own edges by union-find,
+  a bounded number at a time, then alternating large-star / small-star rounds; each round's
+  edge set is checkpointed to the shared folder (lineage stays short and a lost executor
+  repeats one round only).
 * Numbering as the reference: clusters are numbered by their smallest core row
   id, a border row takes the lowest-numbered adjacent cluster, noise is -1.
 """
@@ -17,7 +18,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ from tabforge.session import materialize
 from tabforge.operators.ordinal import dense_codes
 
 MAX_ROUNDS = 200
+CHUNK = 100_000  # edges that a task joins at a time before the star rounds
 EPS, MIN_SAMPLES = 0.5, 5  # fixed values: library defaults used by the reference
 
 
@@ -68,11 +73,55 @@ def _small_star(e: DataFrame) -> DataFrame:
     return _sym(spokes.union(centre).union(keep))
 
 
+def _forest(e: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: a task joins at most CHUNK edges at a time and hands
+    on, for each node it met but the smallest of its tree, the edge (node, smallest)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            if n and n + len(pdf) > CHUNK:
+                yield joined(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+            held.append(pdf)
+            n += len(pdf)
+        if n:
+            yield joined(pd.concat(held, ignore_index=True))
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, nodes = pd.factorize(pd.concat([pdf["a"], pdf["b"]], ignore_index=True), sort=True)
+        up = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(codes[:len(pdf)].tolist(), codes[len(pdf):].tolist()):
+            x, y = top(x), top(y)
+            up[max(x, y)] = min(x, y)
+        tops = np.array([top(x) for x in range(len(up))], dtype=np.int64)
+        low = np.flatnonzero(tops != np.arange(len(up)))
+        return pd.DataFrame({"a": nodes[low], "b": nodes[tops[low]]})
+
+    kind = e.schema["a"].dataType.simpleString()
+    return e.mapInPandas(run, f"a {kind}, b {kind}")
+
+
 def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label = smallest node id of its component) by alternating large-star
-    and small-star rounds (O(log^2 n) rounds); the edge set is checkpointed to the
+    """(node, label = smallest node id of its component). Tasks first join their own edges
+    (CHUNK at a time); what a single chunk cannot join follows by alternating large-star
+    and small-star rounds (O(log^2 n) rounds). The edge set is checkpointed to the
     shared folder after every round. ``nodes``: (node); ``edges``: (a, b)."""
-    e = _sym(edges).transform(materialize)
+    half = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    half = half.distinct().transform(materialize)
+    chunks = -(-half.count() // CHUNK)
+    if chunks <= 1:
+        lab = _forest(half.coalesce(1))
+        lab = lab.select(F.col("a").alias("node"), F.col("b").alias("m"))
+        return (nodes.join(lab, "node", "left")
+                .select("node", F.coalesce("m", "node").alias("label")))
+    e = _sym(_forest(half.coalesce(chunks))).transform(materialize)
     n_e = e.count()
     for _ in range(MAX_ROUNDS):
         nxt = _small_star(_large_star(e)).transform(materialize)
