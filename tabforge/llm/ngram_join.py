@@ -152,7 +152,7 @@ def _profile(src: DataFrame) -> DataFrame:
                 parts.append(part_counts(s) if key else None)
                 slots.append(slot_of(s))
                 held += len(s)
-                if held > 1_000_000:
+                if held > FLUSH:
                     counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
                     slots, held = [], 0
             if slots:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SHINGLE = 5
-CHUNK = 1_000_000  # bytes of text hashed at once (a longer text is a chunk of its own)
+CHUNK = 250_000  # bytes of text hashed at once (a longer text is a chunk of its own)
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

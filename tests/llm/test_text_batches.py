@@ -48,8 +48,8 @@ def test_components_of_one_chunk_take_no_rounds(spark, monkeypatch):
 
 
 def test_components_across_chunks(spark, monkeypatch):
-    monkeypatch.setattr(density, "CHUNK", 50)
-    nodes, edges, want = _path(spark, 150)
+    monkeypatch.setattr(density, "CHUNK", 20)
+    nodes, edges, want = _path(spark, 60)
     assert {r.node: r.label for r in density.connected_min_labels(nodes, edges).collect()} == want
     none = density.connected_min_labels(nodes, edges.limit(0))
     assert {r.node: r.label for r in none.collect()} == {x: x for x in want}
