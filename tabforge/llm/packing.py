@@ -27,6 +27,9 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import compress, filterfalse, repeat
+from operator import not_
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -63,21 +66,18 @@ class WordTokenizer:
         self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, s: str) -> np.ndarray:
-        return np.asarray(self.tok.encode(s, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tok.encode_batch_fast([s], add_special_tokens=False)[0].ids, dtype="<u4")  # no offsets kept
 
     def _learn(self, fresh: set[bytes]) -> None:
         cache = self.cache
-        cores = {w for w in fresh if w.isalpha()}
-        parts: list[tuple[bytes, bytes]] = []
-        for w in fresh - cores:
-            core = w.strip(PUNCT)
-            if core.isalpha() or core.decode().isalpha():
-                if core is not w:
-                    parts.append((w, core))
-                if core not in cache:
-                    cores.add(core)
-            else:
-                cache[w] = self._ids(w.decode()).tobytes()
+        cores = set(filter(bytes.isalpha, fresh))
+        rest = list(fresh - cores)
+        inner = list(map(bytes.strip, rest, repeat(PUNCT)))
+        # letters that stay letters in the tokenizer's normal form
+        letters = [c.isalpha() and (c.isascii() or normalize("NFC", c).lower().isalpha()) for c in map(bytes.decode, inner)]
+        for w in compress(rest, map(not_, letters)):
+            cache[w] = self._ids(w.decode()).tobytes()
+        cores.update(filterfalse(cache.__contains__, compress(inner, letters)))
         todo = list(cores)
         for i in range(0, len(todo), 4096):
             some = todo[i:i + 4096]
@@ -89,9 +89,11 @@ class WordTokenizer:
             else:
                 for c in some:
                     cache[c] = self._ids(c.decode()).tobytes()
-        for w, core in parts:
-            at = w.index(core)
-            cache[w] = self._piece(w[:at]) + cache[core] + self._piece(w[at + len(core):])
+        for w, core in zip(compress(rest, letters), compress(inner, letters)):
+            if core is not w:
+                at = 0 if w.startswith(core) else w.index(core)
+                ids = cache[core] + self._piece(w[at + len(core):])
+                cache[w] = self._piece(w[:at]) + ids if at else ids
 
     def _piece(self, s: bytes) -> bytes:
         x = self.cache.get(s)
@@ -101,28 +103,32 @@ class WordTokenizer:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         get = self.cache.get
-        split: list[list[bytes]] = []
-        out: list[list[bytes | None] | bytes] = []
+        out: list[bytes] = []
+        late: list[tuple[int, list[bytes], list[bytes | None], list[int]]] = []  # texts with new words, and where
         fresh: set[bytes] = set()
         for t in texts:
             if t and "<|" in t:
-                split.append([])
                 out.append(self._ids(t).tobytes())
                 continue
             ws = t.encode("utf-8").lower().split() if t else []
             found = list(map(get, ws))
-            if None in found:
-                fresh.update([w for w, x in zip(ws, found) if x is None])
-            split.append(ws)
-            out.append(found)
+            new = [i for i, x in enumerate(found) if x is None]
+            if new:
+                fresh.update(map(ws.__getitem__, new))
+                late.append((len(out), ws, found, new))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
         if fresh:
-            if len(self.cache) + len(fresh) > CACHE_WORDS:  # start anew, with this batch's words
+            if len(self.cache) + len(fresh) > CACHE_WORDS:  # start anew, with this batch's new words
                 self.cache = {}
-                fresh = set().union(*split)
-                out = [x if isinstance(x, bytes) else [None] for x in out]
             self._learn(fresh)
-        get = self.cache.get
-        return [x if isinstance(x, bytes) else b"".join(map(get, ws) if None in x else x) for ws, x in zip(split, out)]
+            ids = self.cache.__getitem__
+            for at, ws, found, new in late:
+                for i in new:
+                    found[i] = ids(ws[i])
+                out[at] = b"".join(found)
+        return out
 
 
 def tokenizer_in_worker(path: str) -> WordTokenizer:
