@@ -62,6 +62,8 @@ FEW_PAIRS = 4  # pairs a row that the exact round takes without sampling first
 GROWTH = 16  # sampling goes on while a round adds a document to this many linked ones
 FLUSH = 100_000  # shingles a worker holds before it hands rows on
 NEED_BITS = 1 << 24
+FILE_ROWS = 100_000  # rows of a written table for which a file more than one a core is worth while
+SET_ROWS = 20  # such rows that a set counts for
 
 
 # ---- arithmetic of the filters ------------------------------------------------------------
@@ -308,7 +310,7 @@ def _screened(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 # ---- pass 3: verification -----------------------------------------------------------------------
-def _sets(src: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> list[DataFrame]:
+def _sets(src: DataFrame, pairs: DataFrame, known: list[DataFrame], rows: int) -> list[DataFrame]:
     """The written tables (id, set_key, body) that hold the sets of the candidate pairs:
     those ``known`` and, where ids are missing there, one more."""
     spark = src.sparkSession
@@ -351,7 +353,7 @@ def _sets(src: DataFrame, pairs: DataFrame, known: list[DataFrame]) -> list[Data
     found = src.mapInPandas(sets, "id long, set_key string, body binary").dropDuplicates(["id", "set_key"])
     for t in known:  # ids that share a place of the bitmap
         found = found.join(t.select("id"), "id", "left_anti")
-    return [*known, materialize(found, "ngram-sets")]
+    return [*known, _written(found, "ngram-sets", SET_ROWS * rows)]
 
 
 def _verified(pairs: DataFrame, sets: list[DataFrame], percent: int) -> DataFrame:
@@ -371,24 +373,35 @@ def _verified(pairs: DataFrame, sets: list[DataFrame], percent: int) -> DataFram
             .select("key_a", F.col("a").alias("id_a"), "key_b", F.col("b").alias("id_b")))
 
 
-def _labels(edges: DataFrame) -> DataFrame:
+def _written(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``materialize`` for a table of ``rows`` rows or so: one file a core, and one for each
+    FILE_ROWS rows beyond. A round's tables are small and many, and a file for every shuffle
+    partition costs more (on a local file system a process started to set its mode) than its rows."""
+    return materialize(df.coalesce(_files(df, rows)), name)
+
+
+def _files(df: DataFrame, rows: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def _labels(edges: DataFrame, rows: int) -> DataFrame:
     """(node, label) of the nodes of edges (a, b), by connected component."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return connected_min_labels(nodes, edges)
+    return connected_min_labels(nodes, edges, _files(edges, rows))
 
 
 def _key_edges(links: DataFrame) -> DataFrame:
     return links.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def _more_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _more_labels(labels: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """The labels after further links: components of the components."""
     edges = _key_edges(links)
     for side in ("a", "b"):
         named = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
         edges = edges.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    edges = materialize(edges.select("a", "b", "la", "lb"), "ngram-edges2")
-    over = _labels(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(
+    edges = _written(edges.select("a", "b", "la", "lb"), "ngram-edges2", rows)
+    over = _labels(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")), rows).select(
         F.col("node").alias("label"), F.col("label").alias("top"))
     new = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("label")),
                                          F.struct(F.col("b").alias("node"), F.col("lb").alias("label")))).alias("x")).select("x.*")
@@ -463,40 +476,41 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     hubs = salted.groupBy("h").agg(F.min(F.struct("n", "id", "pos")).alias("top"))
     across = (salted.alias("s").join(hubs.select("h", "top.*").alias("t"), F.col("s.h") == F.col("t.h"))
               .where(may_link_sql("s", "t", percent)).select(F.col("s.id").alias("a"), F.col("t.id").alias("b")))
-    suffixes = materialize(profile.where("set_key IS NOT NULL").select("id", "set_key", "n", "parts")
-                           .dropDuplicates(["id", "set_key"]).select("id", "n", "parts"), "ngram-suffixes")
+    suffixes = _written(profile.where("set_key IS NOT NULL").select("id", "set_key", "n", "parts")
+                        .dropDuplicates(["id", "set_key"]).select("id", "n", "parts"), "ngram-suffixes", profile.count())
+    n_sets, n_live = suffixes.count(), live.count()  # footers only
     none = spark.createDataFrame([], "key_a string, id_a long, key_b string, id_b long")
     links, bodies, tried = [], [], []
 
-    def verify(pairs: DataFrame) -> DataFrame | None:
-        """Screens and verifies new pairs; the links found, None if there are none."""
+    def verify(pairs: DataFrame, rows: int) -> DataFrame | None:
+        """Screens and verifies new pairs (``rows`` or so); the links found, None if there are none."""
         nonlocal bodies
-        tried.append(materialize(pairs, "ngram-pairs"))
-        screened = materialize(_screened(tried[-1], suffixes, percent), "ngram-screened")
+        tried.append(_written(pairs, "ngram-pairs", rows))
+        screened = _written(_screened(tried[-1], suffixes, percent), "ngram-screened", tried[-1].count())
         if screened.isEmpty():
             release(screened)
             return None
-        bodies = _sets(src, screened, bodies)
-        found = materialize(_verified(screened, bodies, percent), "ngram-links")
+        bodies = _sets(src, screened, bodies, n_sets)
+        found = _written(_verified(screened, bodies, percent), "ngram-links", SET_ROWS * screened.count())
         release(screened)
         links.append(found)
         return None if found.isEmpty() else found
 
-    found = verify(_pairs(_first_round(live), across))
-    labels = materialize(_labels(_key_edges(none if found is None else found)), "ngram-labels")
+    found = verify(_pairs(_first_round(live), across), FIRST_PARTNERS * n_sets)
+    labels = _written(_labels(_key_edges(none if found is None else found), n_sets), "ngram-labels", n_sets)
     share, nodes, grown = SHARE, labels.count(), None
     while True:
-        mixed = materialize(_mixed(live, _by_id(_all(links, none), labels)), "ngram-mixed")
+        mixed = _written(_mixed(live, _by_id(_all(links, none), labels)), "ngram-mixed", n_live)
         size, most = mixed.agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") != F.col("main"), F.col("rows")))).first()
         # the pairs that are left are few, or the last sampled round joined few documents
         whole = (most or 0) <= FEW_PAIRS * size or (grown is not None and GROWTH * grown < nodes)
         near = _pairs(_apart(mixed, percent, None if whole else share, share))
         for t in tried:
             near = near.join(t, ["a", "b"], "left_anti")
-        found = verify(near)
+        found = verify(near, int(most or 0) if whole else min(int(most or 0), share * n_sets))
         release(mixed)
         if found is not None:
-            older, labels = labels, materialize(_more_labels(labels, found), "ngram-labels")
+            older, labels = labels, _written(_more_labels(labels, found, n_sets), "ngram-labels", n_sets)
             release(older)
         if whole:
             break
@@ -510,7 +524,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     named = labels.join(degree, "node").withColumnRenamed("node", "set_key")
     keys = (sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("least"))
             .join(named, "set_key", "left").withColumn("root", F.coalesce("label", "set_key")))
-    keys = materialize(keys, "ngram-keys")
+    keys = _written(keys, "ngram-keys", n_sets)
     roots = keys.groupBy("root").agg(F.min("least").alias("component_id"))
     keys = keys.join(roots, "root").select("set_key", "component_id", "n_links", "root")
     return (sets.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(keys, "set_key", "left")

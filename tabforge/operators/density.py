@@ -108,13 +108,15 @@ def _forest(e: DataFrame) -> DataFrame:
     return e.mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def connected_min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_min_labels(nodes: DataFrame, edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, label = smallest node id of its component). Tasks first join their own edges
     (CHUNK at a time); what a single chunk cannot join follows by alternating large-star
     and small-star rounds (O(log^2 n) rounds). The edge set is checkpointed to the
-    shared folder after every round. ``nodes``: (node); ``edges``: (a, b)."""
+    shared folder after every round. ``nodes``: (node); ``edges``: (a, b), first written in at
+    most ``files`` files."""
     half = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    half = half.distinct().transform(materialize)
+    half = half.distinct()
+    half = materialize(half.coalesce(files) if files else half)
     chunks = -(-half.count() // CHUNK)
     if chunks <= 1:
         lab = _forest(half.coalesce(1))
