@@ -468,9 +468,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     spark = docs.sparkSession
     small_batches(spark)
     profile = materialize(_profile(src), "ngram-profile")
-    level, salts = frequency_classes(_sketch(profile))
+    counts = _sketch(profile)
+    level, salts = frequency_classes(counts)
     prefixes = _prefixes(src, spark.sparkContext.broadcast(level), spark.sparkContext.broadcast(salts), percent)
-    live = materialize(_live(prefixes, percent), "ngram-live")
+    # a prefix is the share of a set that may be missing, and one shingle more
+    live = _written(_live(prefixes, percent), "ngram-live", int(counts.sum()) * (100 - percent) // 100 + profile.count())
 
     salted = live.where("first AND salts > 1")  # one row per part of a frequent bucket
     hubs = salted.groupBy("h").agg(F.min(F.struct("n", "id", "pos")).alias("top"))
@@ -491,7 +493,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
             release(screened)
             return None
         bodies = _sets(src, screened, bodies, n_sets)
-        found = _written(_verified(screened, bodies, percent), "ngram-links", SET_ROWS * screened.count())
+        found = _verified(screened, bodies, percent)
+        # dealt, not coalesced: a task that verifies several partitions keeps all their Python queues
+        found = materialize(found.repartition(_files(found, screened.count())), "ngram-links")
         release(screened)
         links.append(found)
         return None if found.isEmpty() else found
@@ -543,7 +547,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     Only documents that may be in a group of two or more rows are shuffled: the ids of such
     groups are hashed to at most ``slots`` numbers, a bounded broadcast table; rows outside
     stay where they are, rows inside meet the exact list in a join."""
-    groups = materialize(components(docs, doc_id, text, percent), "ngram-groups")
+    groups = components(docs, doc_id, text, percent)
+    groups = _written(groups, "ngram-groups", docs.count())
     grouped = groups.where("set_key IS NOT NULL")
     # NULL ids hash like any other value, so they meet the exact list too
     sizes = grouped.groupBy("root").agg(
@@ -566,5 +571,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     stay = sizes.select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.set_key").alias("stay_key"))
     chosen = (inside.join(stay, F.col(doc_id).eqNullSafe(F.col("stay_id")) & (F.col(key) == F.col("stay_key")), "left_semi")
               .dropDuplicates([doc_id, key]))
+    chosen = chosen.coalesce(_files(chosen, SET_ROWS * groups.count()))  # whole rows
     empty = inside.where(F.col(key).isNull())
     return outside.unionByName(chosen.select(*docs.columns)).unionByName(empty.select(*docs.columns))
